@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,12 +41,12 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(tokens: Column) -> Column:
-    """Neighbouring tokens, without a window or a shuffle."""
-    return F.transform(
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda second, i: F.struct(F.get(tokens, i).alias("w1"), second.alias("w2")),
-    )
+def _with_next(tokens: Column) -> Column:
+    """``(w1, w2)`` for every token and the one after it; the last has a NULL ``w2``.
+
+    Neighbours come from the row itself, without a window or a shuffle.
+    """
+    return F.arrays_zip(tokens.alias("w1"), F.slice(tokens, 2, F.size(tokens)).alias("w2"))
 
 
 def learn_phrases(
@@ -57,26 +57,27 @@ def learn_phrases(
     """``(w1, w2, n, score)`` of word pairs seen together more often than by chance.
 
     The score is ``(n12 - min_count) / n1 / n2 * V``, V being the number of distinct words
-    and pairs. One pass counts both. The counts, read four times, and the phrases are written
-    to the shared folder.
+    and pairs. One pass over the tokens counts the pairs. Every token is the first of one
+    pair, the last token of a pair without a second, so words are counted from the pairs.
+    Counts and phrases are written to the shared folder, as they are read several times.
     """
-    words = F.transform("tokens", lambda w: F.struct(w.alias("w1"), F.lit(None).cast("string").alias("w2")))
-    counts = stage(
-        tokens.select(F.explode(F.concat(words, _pairs(F.col("tokens")))).alias("entry"))
-        .groupBy("entry.w1", "entry.w2")
+    pairs = stage(
+        tokens.where(F.size("tokens") > 0)
+        .select(F.inline(_with_next(F.col("tokens"))).alias("w1", "w2"))
+        .groupBy("w1", "w2")
         .agg(F.count(F.lit(1)).alias("n")),
-        "phrase_counts",
+        "pair_counts",
     )
-    entries = counts.agg(F.count(F.lit(1)).cast("double")).scalar()
-    single = counts.where("w2 is null")
-    # With a threshold of zero or more only these can pass, and few pairs are left to join.
-    floor = F.col("n") > min_count if threshold >= 0 else F.lit(True)
+    words = pairs.groupBy("w1").agg(F.sum("n").alias("n1"))
+    entries = words.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count("w2")).scalar()
+    candidates = pairs.where("w2 is not null")
+    if threshold >= 0:
+        # Only these can pass, and they are few; so are the rows of a frequent word below.
+        candidates = candidates.where(F.col("n") > min_count)
     scored = (
-        counts.where("w2 is not null")
-        .where(floor)
-        .join(single.select("w1", F.col("n").alias("n1")), "w1")
-        .join(single.select(F.col("w1").alias("w2"), F.col("n").alias("n2")), "w2")
-        .withColumn("score", (F.col("n") - min_count) / F.col("n1") / F.col("n2") * entries)
+        candidates.join(words, "w1")
+        .join(words.select(F.col("w1").alias("w2"), F.col("n1").alias("n2")), "w2")
+        .withColumn("score", (F.col("n") - min_count) / F.col("n1") / F.col("n2") * entries.cast("double"))
         .where(F.col("score") > threshold)
         .select("w1", "w2", "n", "score")
     )
@@ -85,7 +86,7 @@ def learn_phrases(
 
 def _merge_by_join(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """Any number of phrases: only the matched positions are shuffled, then joined back by id."""
-    pairs = tokens.select("id", F.posexplode(_pairs(F.col("tokens"))).alias("pos", "pair"))
+    pairs = tokens.select("id", F.posexplode(_with_next(F.col("tokens"))).alias("pos", "pair"))
     hits = pairs.select("id", "pos", "pair.*").join(phrases.select("w1", "w2").distinct(), ["w1", "w2"])
     # Overlapping matches form runs of neighbouring positions; left to right, a run gives
     # its first, third, fifth ... pair.
@@ -159,19 +160,17 @@ def apply_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
 def term_counts(tokens: DataFrame) -> DataFrame:
     """``(term, df, tf)``: documents that hold a term and occurrences, in one shuffle.
 
-    Sorting the tokens inside each row marks the first occurrence per document, so no
-    (document, term) pairs are shuffled and the counts are summed before they move.
+    With the tokens of a row sorted, a term that differs from the one before it is the first
+    of its document. So no (document, term) pairs are shuffled, and the counts are summed
+    before they move.
     """
-    in_order = F.array_sort("tokens")
-    marked = F.transform(
-        "tokens",
-        lambda term, i: F.struct(term.alias("term"), ((i == 0) | (F.get("tokens", i - 1) != term)).alias("first")),
-    )
+    in_order = tokens.select(F.sort_array("tokens").alias("sorted"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("sorted", 1, F.size("sorted") - 1))
     return (
-        tokens.select(in_order.alias("tokens"))
-        .select(F.explode(marked).alias("entry"))
-        .groupBy(F.col("entry.term").alias("term"))
-        .agg(F.count_if("entry.first").alias("df"), F.count(F.lit(1)).alias("tf"))
+        in_order.where(F.size("sorted") > 0)
+        .select(F.inline(F.arrays_zip(F.col("sorted").alias("term"), before.alias("before"))))
+        .groupBy("term")
+        .agg(F.count_if(~F.col("before").eqNullSafe(F.col("term"))).alias("df"), F.count(F.lit(1)).alias("tf"))
     )
 
 
@@ -181,28 +180,46 @@ def build_vocabulary(
     max_doc_share: float = MAX_DOC_SHARE,
     max_terms: int = MAX_TERMS,
 ) -> DataFrame:
-    """``(term_id, term, df, tf)``: terms neither rare nor everywhere, most frequent first."""
+    """``(term, df, tf)``: terms neither rare nor everywhere, at most ``max_terms`` by ``df``."""
     documents = tokens.agg(F.count(F.lit(1))).scalar()
-    kept = (
+    return (
         term_counts(tokens)
         .where((F.col("df") >= min_docs) & (F.col("df") <= F.floor(F.lit(max_doc_share) * documents)))
         .orderBy(F.desc("df"), "term")
         .limit(max_terms)
     )
-    # At most max_terms rows are numbered here.
-    number = F.row_number().over(W.orderBy(F.desc("df"), "term")) - 1
-    return kept.select(number.alias("term_id"), "term", "df", "tf")
 
 
-def vectoriser(vocabulary: DataFrame, output: str = "features") -> CountVectorizerModel:
-    """A transformer of tokens to sparse counts; the vocabulary is limited by construction."""
-    terms = [row.term for row in vocabulary.orderBy("term_id").select("term").collect()]
-    return CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol=output)
+def fit_vectoriser(
+    tokens: DataFrame,
+    min_docs: int = MIN_DOCS,
+    max_doc_share: float = MAX_DOC_SHARE,
+    max_terms: int = MAX_TERMS,
+) -> CountVectorizerModel:
+    """A transformer of ``tokens`` to sparse counts over the terms of ``build_vocabulary``.
+
+    Spark's estimator finds the same terms, but when there are more than ``max_terms`` it
+    keeps those with most occurrences instead of most documents; then the table decides.
+    """
+    columns = {"inputCol": "tokens", "outputCol": "features"}
+    share = {"maxDF": max_doc_share} if max_doc_share < 1 else {}
+    fitted = CountVectorizer(minDF=min_docs, vocabSize=max_terms, **share, **columns).fit(tokens)
+    if len(fitted.vocabulary) < max_terms:
+        return fitted
+    ranked = build_vocabulary(tokens, min_docs, max_doc_share, max_terms)
+    return CountVectorizerModel.from_vocabulary([row.term for row in ranked.collect()], **columns)
+
+
+def vocabulary_terms(spark: SparkSession, vectoriser: CountVectorizerModel) -> DataFrame:
+    """``(term_id, term)`` of a fitted model; its size is limited when it is fitted."""
+    return spark.createDataFrame(pd.DataFrame({"term": vectoriser.vocabulary}).reset_index(names="term_id")).select(
+        F.col("term_id").cast("int").alias("term_id"), "term"
+    )
 
 
-def bags_of_words(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def bags_of_words(tokens: DataFrame, vectoriser: CountVectorizerModel) -> DataFrame:
     """``(id, features)`` with sparse vectors over ``term_id``; unknown terms are dropped."""
-    return vectoriser(vocabulary).transform(tokens).drop("tokens")
+    return vectoriser.transform(tokens).drop("tokens")
 
 
 def flat_bags_of_words(bags: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.staging import path_exists, shared_dir, stage
 from newsloom.operators.articles import top_rows_per
-from newsloom.operators.features import apply_phrases, tokenise
+from newsloom.operators.features import apply_phrases, tokenise, vocabulary_terms
 
 MIN_PROB = 0.1
 TOP_WORDS = 10
@@ -103,9 +103,8 @@ def write_topics(vectors: DataFrame, path: str) -> None:
 
 def topic_words(model: TopicModel, spark: SparkSession, normalised: bool = False) -> DataFrame:
     """``(topic_id, term_id, term, weight)`` for all topics and terms of the model."""
-    terms = model.vectoriser.vocabulary
-    vocabulary = spark.createDataFrame(list(enumerate(terms)), "term_id int, term string")
-    described = model.lda.describeTopics(len(terms))
+    vocabulary = vocabulary_terms(spark, model.vectoriser)
+    described = model.lda.describeTopics(model.lda.vocabSize())
     weights = described.select(
         F.col("topic").alias("topic_id"),
         F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))),

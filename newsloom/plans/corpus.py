@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 
-from newsloom.functions.staging import stage
 from newsloom.operators import articles as A
 from newsloom.operators import features as C
 from newsloom.operators import trends as T
@@ -59,23 +59,26 @@ class ArticleCorpus:
 
     def learn_phrases(self, min_count: int = C.PHRASE_MIN_COUNT, threshold: float = C.PHRASE_THRESHOLD) -> DataFrame:
         self.phrases = C.learn_phrases(self.plain_tokens(), min_count, threshold)
-        self.__dict__.pop("vocabulary", None)
+        self.__dict__.pop("vectoriser", None)
         return self.phrases
 
     @cached_property
+    def vectoriser(self) -> CountVectorizerModel:
+        """Fitted once: every bag of words needs it."""
+        return C.fit_vectoriser(self.tokens())
+
     def vocabulary(self) -> DataFrame:
-        """Written once: every bag of words needs it."""
-        return stage(C.build_vocabulary(self.tokens()), "vocabulary")
+        return C.vocabulary_terms(self.spark, self.vectoriser)
 
     def bags_of_words(self, max_count: int | None = None) -> DataFrame:
-        return C.bags_of_words(self.tokens(max_count), self.vocabulary)
+        return C.bags_of_words(self.tokens(max_count), self.vectoriser)
 
     def bag_of(self, ids: int | list[int] | DataFrame) -> DataFrame:
         """``(id, term_id, n)`` of given articles; only their tokens are read."""
         found = A.rows_of(self.plain_tokens(), ids)
         if self.phrases is not None:
             found = C.apply_phrases(found, self.phrases)
-        return C.flat_bags_of_words(C.bags_of_words(found, self.vocabulary))
+        return C.flat_bags_of_words(C.bags_of_words(found, self.vectoriser))
 
     def __contains__(self, article_id: int) -> bool:
         return not A.rows_of(self.texts.select("id"), article_id).isEmpty()
@@ -105,4 +108,4 @@ class ArticleCorpus:
     def train(self, num_topics: int, optimizer: str = "online", **params) -> TopicModel:
         """``optimizer='em'`` stands in for training by Gibbs sampling."""
         lda = train_lda(self.bags_of_words(), num_topics, optimizer, **params)
-        return TopicModel(C.vectoriser(self.vocabulary), lda, self.phrases)
+        return TopicModel(self.vectoriser, lda, self.phrases)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.functions.staging import stage
 from newsloom.operators import clustering as H
 from newsloom.operators import ranking as R
 from newsloom.operators import topic_model as E
@@ -72,7 +71,7 @@ def _clusters(t, sims):
     ),
 )
 def excluded_topics(t):
-    sims = stage(similarities(t), "similarities")
+    sims = similarities(t)
     return H.excluded_topics(
         sims, NUM_TOPICS, exclude_common=True, exclude_standalone=True, threshold_percentile=95
     )
@@ -85,13 +84,13 @@ def selected_similarities(t):
 
 @query("h2_spectral_clusters")
 def spectral_clusters(t):
-    sims = stage(similarities(t), "similarities")
+    sims = similarities(t)
     return H.spectral_clusters(H.selected_similarities(sims, _excluded(t)), n_clusters=3)
 
 
 @query("h2_cluster_topics")
 def cluster_topics(t):
-    sims = stage(similarities(t), "similarities")
+    sims = similarities(t)
     return H.cluster_topics(sims, NUM_TOPICS, n_clusters=3, exclude_common=True, exclude_standalone=True)
 
 
@@ -143,7 +142,7 @@ def cluster_scores(t):
 )
 def clusters_table(t):
     table = R.topics_table(R.topic_scores(t.doc_topics, NUM_TOPICS), E.top_words(t.topic_words))
-    placed = H.clusters_table(_clusters(t, stage(similarities(t), "similarities")), table)
+    placed = H.clusters_table(_clusters(t, similarities(t)), table)
     return rounded(placed.drop("words"), "score")
 
 
@@ -159,5 +158,5 @@ def clusters_table(t):
     ),
 )
 def clustered_heat_map(t):
-    sims = stage(similarities(t), "similarities")
+    sims = similarities(t)
     return rounded(H.clustered_heat_map(sims, _clusters(t, sims)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
 from newsloom.functions.staging import scratch_path, stage
+from newsloom.plans.corpus import ArticleCorpus
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import TOKEN_DIGESTS_SQL, token_digests
@@ -85,18 +86,19 @@ def merge_phrases_by_join(t):
     return token_digests(C._merge_by_join(tokens, C.learn_phrases(tokens)))
 
 
-@query("c6_vocabulary", sql("SELECT term_id, term, df, tf FROM vocabulary", "vocabulary"))
+@query("c6_vocabulary", sql("SELECT term, df, tf FROM vocabulary", "vocabulary"))
 def vocabulary(t):
     return C.build_vocabulary(C.tokenise(t.texts))
 
 
 @query(
     "c7_bags_of_words",
-    sql("SELECT id, term_id, count(*) AS n FROM words JOIN vocabulary USING (term) GROUP BY ALL", "words", "vocabulary"),
+    sql("SELECT id, term, count(*) AS n FROM words JOIN vocabulary USING (term) GROUP BY ALL", "words", "vocabulary"),
 )
 def bags_of_words(t):
-    tokens = C.tokenise(t.texts)
-    return C.flat_bags_of_words(C.bags_of_words(tokens, C.build_vocabulary(tokens)))
+    corpus = ArticleCorpus(t.texts, tokens_path=scratch_path(t.spark, "tokens"))
+    flat = C.flat_bags_of_words(corpus.bags_of_words())
+    return flat.join(F.broadcast(corpus.vocabulary()), "term_id").select("id", "term", "n")
 
 
 INDEX_SQL = """SELECT DISTINCT token, id FROM (

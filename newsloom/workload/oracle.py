@@ -25,8 +25,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "vocabulary": (
         ("words",),
-        """SELECT CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS term_id, term, df, tf
-        FROM (SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM words GROUP BY term)
+        """SELECT term, df, tf FROM (SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM words GROUP BY term)
         WHERE df >= 5 AND df <= floor(0.6 * (SELECT count(*) FROM documents))""",
     ),
     "pair_words": (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions.staging import stage
 from newsloom.operators import similarity as G
 from newsloom.operators import topic_model as E
 from newsloom.workload.oracle import sql
@@ -12,7 +13,8 @@ from newsloom.workload.tables import NUM_TOPICS
 
 
 def similarities(t):
-    return G.topic_similarities(t.vectors, t.topic_words, NUM_TOPICS)
+    """A row per pair of topics, written once: percentiles read it again."""
+    return stage(G.topic_similarities(t.vectors, t.topic_words, NUM_TOPICS), "similarities")
 
 
 def rounded(cells, *columns):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.staging import scratch_path
 from newsloom.operators import topic_model as E
 from newsloom.operators import trends as T
-from newsloom.operators.features import build_vocabulary, bags_of_words, flat_bags_of_words, tokenise
+from newsloom.operators.features import flat_bags_of_words, tokenise
+from newsloom.plans.corpus import ArticleCorpus
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import TIMESTAMP_TEXT, token_digests
@@ -139,7 +140,7 @@ def tokens_by_time(t):
 @query(
     "t8_bags_by_time",
     sql(
-        f"""SELECT id, slice, term_id, count(*) AS n
+        f"""SELECT id, slice, term, count(*) AS n
         FROM words JOIN vocabulary USING (term) JOIN ({SLICES_SQL}) USING (id) GROUP BY ALL""",
         "words",
         "vocabulary",
@@ -147,9 +148,9 @@ def tokens_by_time(t):
     ),
 )
 def bags_by_time(t):
-    tokens = tokenise(t.texts)
-    dated = T.by_time(bags_of_words(tokens, build_vocabulary(tokens)), t.dates)
-    return flat_bags_of_words(dated).select("id", "slice", "term_id", "n")
+    corpus = ArticleCorpus(t.texts, t.dates, tokens_path=scratch_path(t.spark, "tokens"))
+    flat = flat_bags_of_words(corpus.bags_by_time())
+    return flat.join(F.broadcast(corpus.vocabulary()), "term_id").select("id", "slice", "term", "n")
 
 
 @query("t9_topic_shares", sql("SELECT id, topic_id, prob FROM doc_topics WHERE topic_id = 3 AND prob > 0.05", "doc_topics"))
