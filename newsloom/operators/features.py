@@ -44,7 +44,9 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
 def _with_next(tokens: Column) -> Column:
     """``(w1, w2)`` for every token and the one after it; the last has a NULL ``w2``.
 
-    Neighbours come from the row itself, without a window or a shuffle.
+    Neighbours come from the row itself, without a window or a shuffle. Here and below rows
+    are made by outer generators and empty ones dropped afterwards: before an inner one
+    Spark tests the array for emptiness, which would tokenise every text twice.
     """
     return F.arrays_zip(tokens.alias("w1"), F.slice(tokens, 2, F.size(tokens)).alias("w2"))
 
@@ -62,8 +64,8 @@ def learn_phrases(
     Counts and phrases are written to the shared folder, as they are read several times.
     """
     pairs = stage(
-        tokens.where(F.size("tokens") > 0)
-        .select(F.inline(_with_next(F.col("tokens"))).alias("w1", "w2"))
+        tokens.select(F.inline_outer(_with_next(F.col("tokens"))).alias("w1", "w2"))
+        .where("w1 is not null")
         .groupBy("w1", "w2")
         .agg(F.count(F.lit(1)).alias("n")),
         "pair_counts",
@@ -86,8 +88,8 @@ def learn_phrases(
 
 def _merge_by_join(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """Any number of phrases: only the matched positions are shuffled, then joined back by id."""
-    pairs = tokens.select("id", F.posexplode(_with_next(F.col("tokens"))).alias("pos", "pair"))
-    hits = pairs.select("id", "pos", "pair.*").join(phrases.select("w1", "w2").distinct(), ["w1", "w2"])
+    pairs = tokens.select("id", F.posexplode_outer(_with_next(F.col("tokens"))).alias("pos", "pair"))
+    hits = pairs.select("id", "pos", "pair.*").where("w2 is not null").join(phrases.select("w1", "w2").distinct(), ["w1", "w2"])
     # Overlapping matches form runs of neighbouring positions; left to right, a run gives
     # its first, third, fifth ... pair.
     by_position = W.partitionBy("id").orderBy("pos")
@@ -165,10 +167,11 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     before they move.
     """
     in_order = tokens.select(F.sort_array("tokens").alias("sorted"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("sorted", 1, F.size("sorted") - 1))
+    length = F.greatest(F.size("sorted") - 1, F.lit(0))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("sorted", 1, length))
     return (
-        in_order.where(F.size("sorted") > 0)
-        .select(F.inline(F.arrays_zip(F.col("sorted").alias("term"), before.alias("before"))))
+        in_order.select(F.inline_outer(F.arrays_zip(F.col("sorted").alias("term"), before.alias("before"))))
+        .where("term is not null")
         .groupBy("term")
         .agg(F.count_if(~F.col("before").eqNullSafe(F.col("term"))).alias("df"), F.count(F.lit(1)).alias("tf"))
     )

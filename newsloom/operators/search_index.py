@@ -45,7 +45,8 @@ def index_documents(
     forms = F.array_distinct("tokens")
     if preprocess_tokens:
         forms = F.array_union("tokens", preprocessor(F.col("tokens")))
-    return tokens.select(F.explode(forms).alias("token"), "id")
+    # An inner explode would test the forms for emptiness first, and so tokenise twice.
+    return tokens.select(F.explode_outer(forms).alias("token"), "id").where("token is not null")
 
 
 def add_to_index(postings: DataFrame, documents: DataFrame, **options) -> DataFrame:
@@ -73,7 +74,7 @@ def posting_blocks(postings: DataFrame, block_ids: int = BLOCK_IDS) -> DataFrame
 
     A token may occur in a third of all documents, so its whole list is never one row.
     """
-    block = F.floor(F.col("id") / F.lit(block_ids)).cast("long")
+    block = F.expr(f"(id - pmod(id, {block_ids}L)) div {block_ids}L")
     return (
         postings.groupBy("token", block.alias("block"))
         .agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -13,7 +13,8 @@ ID_FILE_PATTERN = r"([0-9]+)\.txt$"
 def read_text_folder(spark: SparkSession, path: str, id_pattern: str = ID_FILE_PATTERN) -> DataFrame:
     """``(id, text)`` with one row per file; the id is the first group of ``id_pattern``.
 
-    Bytes that are not utf8 fail the job rather than being replaced.
+    Bytes that are not utf8 fail the job rather than being replaced. Spark's file sources
+    skip files of length zero, so an article without any text has no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(

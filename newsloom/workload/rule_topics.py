@@ -16,7 +16,7 @@ LETTER_WEIGHT = 3
 
 def _words(texts: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return texts.select("id", F.explode(found).alias("term"))
+    return texts.select("id", F.explode_outer(found).alias("term")).where("term is not null")
 
 
 def _length_topic() -> Column:
