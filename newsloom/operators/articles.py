@@ -35,8 +35,14 @@ def valid_articles(articles: DataFrame, min_points: int = MIN_POINTS) -> DataFra
 
 
 def first_articles(articles: DataFrame, max_count: int | None = None) -> DataFrame:
-    """The first articles by id, counted before any other filter."""
-    return articles if max_count is None else articles.orderBy("id").limit(max_count)
+    """The first articles by id, counted before any other filter. Ids must be unique.
+
+    Only ids are sorted; the texts are filtered by the last of them where they are.
+    """
+    if max_count is None:
+        return articles
+    last = articles.select("id").orderBy("id").limit(max_count).agg(F.max("id")).scalar()
+    return articles.where(F.col("id") <= last)
 
 
 def stream_articles(

@@ -230,4 +230,5 @@ def flat_bags_of_words(bags: DataFrame) -> DataFrame:
     vector = F.unwrap_udt("features")
     entries = F.arrays_zip(vector["indices"].alias("term_id"), vector["values"].alias("n"))
     kept = [name for name in bags.columns if name != "features"]
-    return bags.select(*kept, F.inline(entries)).withColumn("n", F.col("n").cast("long"))
+    flat = bags.select(*kept, F.inline_outer(entries)).where("term_id is not null")
+    return flat.withColumn("n", F.col("n").cast("long"))

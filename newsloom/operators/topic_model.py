@@ -29,7 +29,7 @@ class TopicModel:
 
     @property
     def num_topics(self) -> int:
-        return self.lda.topicsMatrix().numCols
+        return self.lda.getK()
 
     def save(self, path: str) -> None:
         self.vectoriser.write().overwrite().save(f"{path}/vectoriser")
@@ -84,18 +84,24 @@ def infer_topics(model: TopicModel, tokens: DataFrame) -> DataFrame:
 
 
 def long_topics(vectors: DataFrame) -> DataFrame:
-    """``(id, topic_id, prob)`` for every article and topic."""
-    return vectors.select("id", F.posexplode("shares").alias("topic_id", "prob"))
+    """``(id, topic_id, prob)`` for every article and topic.
+
+    The outer generator matters: before an inner one Spark adds a test of the array, and
+    with shares that are being inferred that would infer them twice.
+    """
+    return vectors.select("id", F.posexplode_outer("shares").alias("topic_id", "prob")).where("topic_id is not null")
 
 
 def write_topics(vectors: DataFrame, path: str) -> None:
     """Two layouts: by article for scans and lookups by id, by topic and share for retrieval.
 
-    In the second a query for one topic above a bound skips all other row groups, and a
-    topic found in most articles is spread over many files.
+    Inference runs once and keeps the order of its input, so tokens clustered by id give
+    shares clustered by id without a shuffle. The second layout is sorted from the first;
+    there a query for one topic above a bound skips all other row groups, and a topic found
+    in most articles is spread over many files.
     """
-    vectors.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/by_article")
-    by_topic = long_topics(vectors).where("prob > 0")
+    vectors.write.mode("overwrite").parquet(f"{path}/by_article")
+    by_topic = long_topics(vectors.sparkSession.read.parquet(f"{path}/by_article")).where("prob > 0")
     by_topic.repartitionByRange("topic_id", "prob").sortWithinPartitions("topic_id", "prob").write.mode(
         "overwrite"
     ).parquet(f"{path}/by_topic")
@@ -145,10 +151,10 @@ def article_topics(vectors: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
     ranked = F.array_sort(F.filter(pairs, lambda pair: -pair["order"] > min_prob))
     rows = vectors.select(
         *[name for name in vectors.columns if name not in ("shares", "has_terms")],
-        F.posexplode(ranked).alias("pos", "pair"),
+        F.posexplode_outer(ranked).alias("pos", "pair"),
     )
     kept = [name for name in rows.columns if name not in ("pos", "pair")]
-    return rows.select(
+    return rows.where("pos is not null").select(
         *kept,
         (F.col("pos") + 1).alias("rank"),
         F.col("pair.topic_id").alias("topic_id"),

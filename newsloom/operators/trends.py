@@ -54,7 +54,8 @@ def topic_trends(
     daily = (
         vectors.select("id", wanted.alias("topics"))
         .join(posts.select("id", "created_date"), "id")
-        .select("created_date", F.inline("topics"))
+        .select("created_date", F.inline_outer("topics"))
+        .where("topic_id is not null")
         .groupBy("topic_id", "created_date")
         .agg(F.sum("prob").alias("value"))
     )

@@ -7,10 +7,12 @@ from functools import cached_property
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 
+from newsloom.functions.staging import stage
 from newsloom.operators import articles as A
 from newsloom.operators import features as C
 from newsloom.operators import trends as T
 from newsloom.operators.topic_model import TopicModel, train_lda
+from newsloom.sources.articles import clustered_by_id
 from newsloom.sources.tokens import materialise_tokens
 
 
@@ -43,14 +45,17 @@ class ArticleCorpus:
     def articles(self, max_count: int | None = None, min_points: int = A.MIN_POINTS) -> DataFrame:
         return A.stream_articles(self.texts, self._posts, max_count, min_points)
 
-    def _tokenised(self) -> DataFrame:
-        tokens = C.tokenise(self.texts)
-        return tokens if self.lemmas is None else C.lemmatise(tokens, self.lemmas)
+    def _tokenised(self, texts: DataFrame) -> DataFrame:
+        tokens = C.tokenise(texts)
+        if self.lemmas is None:
+            return tokens
+        # Looking lemmas up shuffles the words, and the order by id is lost.
+        return clustered_by_id(stage(C.lemmatise(tokens, self.lemmas), "lemmas"))
 
     def plain_tokens(self) -> DataFrame:
         if self.tokens_path is None:
-            return self._tokenised()
-        return materialise_tokens(self.spark, self.tokens_path, self._tokenised)
+            return self._tokenised(self.texts)
+        return materialise_tokens(self.spark, self.tokens_path, self.texts, self._tokenised)
 
     def tokens(self, max_count: int | None = None) -> DataFrame:
         """Token lists, with phrases merged once they are learned."""

@@ -1,4 +1,11 @@
-from newsloom.sources.articles import append_ids, read_manifest, read_text_folder, read_work_list, write_articles
+from newsloom.sources.articles import (
+    append_ids,
+    clustered_by_id,
+    read_manifest,
+    read_text_folder,
+    read_work_list,
+    write_articles,
+)
 from newsloom.sources.pages import article_text_from_html, extract_articles, rejected_pages
 from newsloom.sources.posts import POSTS_SCHEMA, read_posts
 from newsloom.sources.progress import article_metrics, throughput
@@ -10,6 +17,7 @@ __all__ = [
     "append_ids",
     "article_metrics",
     "article_text_from_html",
+    "clustered_by_id",
     "extract_articles",
     "materialise_tokens",
     "read_corpus_file",

@@ -23,12 +23,18 @@ def read_text_folder(spark: SparkSession, path: str, id_pattern: str = ID_FILE_P
     )
 
 
+def clustered_by_id(rows: DataFrame) -> DataFrame:
+    """Sorted by id within ranges of ids, so that stored rows can be looked up by id.
+
+    Spark evaluates its input twice for this, first to find the ranges: cluster stored
+    rows and compute on them afterwards, which keeps the order.
+    """
+    return rows.repartitionByRange("id").sortWithinPartitions("id")
+
+
 def write_articles(articles: DataFrame, path: str, clustered: bool = True) -> None:
-    """Texts sorted by id within range partitions, so that lookups by id skip row groups."""
     rows = articles.select("id", "text")
-    if clustered:
-        rows = rows.repartitionByRange("id").sortWithinPartitions("id")
-    rows.write.mode("overwrite").parquet(path)
+    (clustered_by_id(rows) if clustered else rows).write.mode("overwrite").parquet(path)
 
 
 def read_work_list(spark: SparkSession, path: str) -> DataFrame:

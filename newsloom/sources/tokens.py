@@ -7,14 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from newsloom.functions.staging import path_is_complete
+from newsloom.sources.articles import clustered_by_id
 
 
-def materialise_tokens(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Tokens at ``path``; built and written there if no finished copy exists.
+def materialise_tokens(
+    spark: SparkSession,
+    path: str,
+    texts: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Tokens at ``path``; ``build`` makes them from the texts if no finished copy exists.
 
-    Rows are range-partitioned and sorted by id, so one id touches one or two row groups.
+    The texts are clustered by id before they are tokenised, so that one id touches one or
+    two row groups.
     """
     if not path_is_complete(spark, path):
-        tokens = build()
-        tokens.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+        build(clustered_by_id(texts)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

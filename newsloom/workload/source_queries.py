@@ -167,12 +167,12 @@ def appended_ids(t):
 @query("a8_materialised_tokens", sql(TOKEN_DIGESTS_SQL + " FROM tokens", "tokens"))
 def materialised_tokens(t):
     path = scratch_path(t.spark, "tokens")
-    materialise_tokens(t.spark, path, lambda: tokenise(t.texts))
+    materialise_tokens(t.spark, path, t.texts, tokenise)
 
-    def rebuilt():
+    def rebuilt(texts):
         raise AssertionError("the finished copy is read back")
 
-    return token_digests(materialise_tokens(t.spark, path, rebuilt))
+    return token_digests(materialise_tokens(t.spark, path, t.texts, rebuilt))
 
 
 @query(

@@ -112,6 +112,7 @@ def test_explorer_answers(spark, corpus, model, tmp_path):
     assert explorer.similar_topics(0, top_n=1).count() == 1
     assert explorer.show_similar_topics(0, top_n=2).count() == 2
     assert explorer.similar_pairs().count() == 3
+    assert explorer.show_similar_pairs(top_n=2).first().label_i
     assert explorer.heat_map().count() == 9
     clusters = explorer.cluster_topics(n_clusters=2)
     assert explorer.clusters_table(clusters).count() == 3

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.staging import path_is_complete
 from newsloom.functions.text import alphabetic_words, first_bytes, surface_tokens
+from newsloom.operators.features import tokenise
 from newsloom.plans.ingest import ingest_pages, stored_articles
 from newsloom.sources import (
     append_ids,
@@ -95,6 +96,7 @@ PAGES = {
     5: None,
     6: "",
     7: "plain 1 < 2 text &lt;b&gt; &amp;lt;",
+    9: "<p>&#8211;&#x2014;&#65;&eacute;&hellip; &#1114112; &#xD800; &bogus; &#38;lt; &#160;&lsquo;x&rsquo; &#128512;</p>",
     8: "<ARTICLE class='a'><P>Upper</P><BR/>case<ul><li>x</li><li>y</li></ul></ARTICLE>",
 }
 
@@ -110,6 +112,7 @@ def test_article_text(spark):
         2: ("", "No article element"),
         3: ("", "kept"),
         7: ("", "plain 1 < 2 text <b> &lt;"),
+        9: ("", "–—Aé… &#1114112; &#xD800; &bogus; &lt; ‘x’ 😀"),
         8: ("", "Upper\n\ncase\n\nx\n\ny"),
     }
 
@@ -126,13 +129,14 @@ def test_pages_are_parsed_once(spark):
 
 def test_tokens_are_built_once(spark, tmp_path):
     path, calls = str(tmp_path / "tokens"), []
+    texts = spark.createDataFrame([(2, "b"), (1, "a")], "id long, text string")
 
-    def build():
+    def build(rows):
         calls.append(1)
-        return spark.createDataFrame([(2, ["b"]), (1, ["a"])], "id long, tokens array<string>")
+        return tokenise(rows)
 
     for _ in range(2):
-        assert materialise_tokens(spark, path, build).count() == 2
+        assert materialise_tokens(spark, path, texts, build).count() == 2
     assert len(calls) == 1
 
 
@@ -141,7 +145,8 @@ def test_half_written_tokens_are_replaced(spark, tmp_path):
     (tmp_path / "tokens" / "part-00000.parquet").write_bytes(b"half")
     path = str(tmp_path / "tokens")
     assert not path_is_complete(spark, path)
-    built = materialise_tokens(spark, path, lambda: spark.createDataFrame([(1, ["a"])], "id long, tokens array<string>"))
+    texts = spark.createDataFrame([(1, "a")], "id long, text string")
+    built = materialise_tokens(spark, path, texts, tokenise)
     assert built.count() == 1
 
 
@@ -164,9 +169,9 @@ def test_ingest_skips_what_is_done(spark, tmp_path):
     first = ingest_pages(work.where("id < 3"), all_pages, articles, done)
     assert first["articles"] == 2 and first["articles_per_second"] > 0
     second = ingest_pages(work, all_pages, articles, done, min_article_length=5)
-    assert second["articles"] == 2  # 7 and 8; 3 is too short
+    assert second["articles"] == 3  # 7, 8 and 9; 3 is too short
     rows = stored_articles(spark, articles, done).collect()
-    assert sorted(r.id for r in rows) == [1, 2, 7, 8]
+    assert sorted(r.id for r in rows) == [1, 2, 7, 8, 9]
 
 
 def test_unfinished_run_is_not_read(spark, tmp_path):
