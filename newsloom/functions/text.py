@@ -25,7 +25,8 @@ def first_bytes(text: Column, max_length: int | None) -> Column:
     """At most ``max_length`` utf8 bytes of ``text``, never ending inside a character."""
     if max_length is None:
         return text
-    raw = F.encode(text, "utf-8")
+    # As many characters hold at least as many bytes.
+    raw = F.encode(F.substring(text, 1, max_length), "utf-8")
     tries = [
         F.try_validate_utf8(F.substring(raw, 1, max(max_length - cut, 0)).cast("string"))
         for cut in range(MAX_CUT_BYTES + 1)

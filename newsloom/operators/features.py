@@ -36,7 +36,7 @@ def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", term.alias("term"))))
     return (
         looked_up.groupBy("id")
-        .agg(F.array_sort(pairs).alias("pairs"))
+        .agg(F.sort_array(pairs).alias("pairs"))
         .select("id", F.col("pairs.term").alias("tokens"))
     )
 

@@ -55,7 +55,7 @@ def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **par
     ``em`` keeps every document in each step.
     """
     spark = bags.sparkSession
-    shared_dir(spark)
+    shared_dir(spark)  # where 'em' puts its checkpoints
     # A document without known terms says nothing about the topics.
     known = F.size(F.unwrap_udt("features")["values"]) > 0
     training = stage(bags.where(known).select("features"), "bags").persist(StorageLevel.MEMORY_AND_DISK)
@@ -102,7 +102,8 @@ def write_topics(vectors: DataFrame, path: str) -> None:
     """
     vectors.write.mode("overwrite").parquet(f"{path}/by_article")
     by_topic = long_topics(vectors.sparkSession.read.parquet(f"{path}/by_article")).where("prob > 0")
-    by_topic.repartitionByRange("topic_id", "prob").sortWithinPartitions("topic_id", "prob").write.mode(
+    # Copies of an article share their shares; with the id in the key they do not share a task.
+    by_topic.repartitionByRange("topic_id", "prob", "id").sortWithinPartitions("topic_id", "prob").write.mode(
         "overwrite"
     ).parquet(f"{path}/by_topic")
 
@@ -133,7 +134,7 @@ def normalise_topic_words(words: DataFrame) -> DataFrame:
 def top_words(words: DataFrame, top_n: int = TOP_WORDS) -> DataFrame:
     """``(topic_id, words, label)``: the heaviest words of each topic, in order."""
     ranked = top_rows_per(words.select("topic_id", "term", "weight"), "topic_id", [F.desc("weight"), F.asc("term")], top_n)
-    in_order = F.array_sort(F.collect_list(F.struct("rank", "term")))
+    in_order = F.sort_array(F.collect_list(F.struct("rank", "term")))
     return (
         ranked.groupBy("topic_id")
         .agg(in_order.alias("ranked"))
@@ -148,7 +149,7 @@ def article_topics(vectors: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
     Ranked inside each row: no window and no shuffle, on streams as well.
     """
     pairs = F.transform("shares", lambda share, topic: F.struct((-share).alias("order"), topic.alias("topic_id")))
-    ranked = F.array_sort(F.filter(pairs, lambda pair: -pair["order"] > min_prob))
+    ranked = F.sort_array(F.filter(pairs, lambda pair: -pair["order"] > min_prob))
     rows = vectors.select(
         *[name for name in vectors.columns if name not in ("shares", "has_terms")],
         F.posexplode_outer(ranked).alias("pos", "pair"),

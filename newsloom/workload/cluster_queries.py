@@ -57,19 +57,17 @@ def _clusters(t, sims):
     return H.topic_clusters(labelled, H.silhouettes(matrix, labelled))
 
 
-@query(
-    "h1_excluded_topics",
-    sql(
-        f"""SELECT topic_id, min(kind) AS kind FROM (
-            SELECT topic_id, 'common' AS kind FROM (
-                SELECT i AS topic_id, count(*) FILTER (WHERE sim >= {percentile(zeroed('word_doc_sim'), 0.95)}) AS n
-                FROM ({zeroed('word_doc_sim')}) GROUP BY i HAVING n >= 0.2 * 10 ORDER BY n DESC, topic_id LIMIT 10)
-            UNION ALL SELECT i, 'standalone' FROM ({zeroed('word_doc_sim')}) GROUP BY i
-                HAVING bool_and(sim <= {percentile(zeroed('word_doc_sim'), 0.95)}))
-        GROUP BY topic_id""",
-        "sims",
-    ),
-)
+def kinds_sql(p: float) -> str:
+    matrix = zeroed("word_doc_sim")
+    return f"""SELECT topic_id, min(kind) AS kind FROM (
+        SELECT topic_id, 'common' AS kind FROM (
+            SELECT i AS topic_id, count(*) FILTER (WHERE sim >= {percentile(matrix, p)}) AS n
+            FROM ({matrix}) GROUP BY i HAVING n >= 0.2 * 10 ORDER BY n DESC, topic_id LIMIT 10)
+        UNION ALL SELECT i, 'standalone' FROM ({matrix}) GROUP BY i HAVING bool_and(sim <= {percentile(matrix, p)}))
+    GROUP BY topic_id"""
+
+
+@query("h1_excluded_topics", sql(kinds_sql(0.95), "sims"))
 def excluded_topics(t):
     sims = similarities(t)
     return H.excluded_topics(
@@ -88,6 +86,23 @@ def spectral_clusters(t):
     return H.spectral_clusters(H.selected_similarities(sims, _excluded(t)), n_clusters=3)
 
 
+@query(
+    "h2_clustered_kinds",
+    sql(
+        f"""SELECT t.topic_id, coalesce(x.kind, 'cluster') AS kind, x.kind IS NULL AS has_cluster
+        FROM topics t LEFT JOIN ({kinds_sql(0.85)}) x ON x.topic_id = t.topic_id""",
+        "sims",
+        "topics",
+    ),
+)
+def clustered_kinds(t):
+    """Every topic is in a cluster, common or stand-alone."""
+    clusters = H.cluster_topics(
+        similarities(t), NUM_TOPICS, n_clusters=3, exclude_common=True, exclude_standalone=True
+    )
+    return clusters.select("topic_id", "kind", F.col("cluster").isNotNull().alias("has_cluster"))
+
+
 @query("h2_cluster_topics")
 def cluster_topics(t):
     sims = similarities(t)

@@ -13,6 +13,7 @@ from newsloom.sources.pages import extract_articles
 from newsloom.streaming import read_article_stream, tag_stream, write_tags
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
+from newsloom.workload.source_queries import PAGES_SQL
 from newsloom.workload.tables import NUM_TOPICS
 
 ONLINE = {"maxIter": 10, "subsamplingRate": 0.2, "docConcentration": [0.1], "seed": 7}
@@ -109,6 +110,28 @@ def _turns(t):
     return conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
+def _known_sql(source: str) -> str:
+    """Share sums of other texts, by the vocabulary of the articles."""
+    return rf"""SELECT id, any_value(known) AS has_terms, CAST(10 AS INTEGER) AS n_topics,
+        CASE WHEN any_value(known) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS total
+    FROM (SELECT id, len(list_intersect(regexp_extract_all(lower(text), '\p{{L}}+'),
+                              (SELECT list(term) FROM vocabulary))) > 0 AS known FROM ({source}))
+    GROUP BY id"""
+
+
+TURNS_SQL = "SELECT conv_id * 1000 + turn AS id, text FROM conversations"
+
+
+@query("e6_share_sums", sql(_known_sql(TURNS_SQL), "vocabulary"))
+def text_share_sums(t):
+    return share_sums(E.infer_topics(model(t), tokenise(_turns(t))))
+
+
+@query("e7_share_sums", sql(_known_sql(f"SELECT id, text FROM ({PAGES_SQL}) WHERE length(text) > 0"), "vocabulary"))
+def page_share_sums(t):
+    return share_sums(E.infer_topics(model(t), tokenise(extract_articles(t.pages).select("id", "text"))))
+
+
 @query("e6_tag_texts")
 def tag_texts(t):
     return E.tag_texts(model(t), _turns(t))
@@ -125,6 +148,33 @@ def show_text_topics(t):
     return E.with_labels(E.tag_texts(model(t), _turns(t)), labels)
 
 
+@query("f8_show_page_topics")
+def show_page_topics(t):
+    labels = E.top_words(E.topic_words(model(t), t.spark)).select("topic_id", "label")
+    return E.with_labels(E.tag_texts(model(t), extract_articles(t.pages).select("id", "text")), labels)
+
+
+@query("e5_stored_by_article", sql("SELECT id, topic_id, prob FROM doc_topics", "doc_topics"))
+def stored_by_article(t):
+    path = scratch_path(t.spark, "topics")
+    E.write_topics(t.vectors, path)
+    return E.long_topics(t.spark.read.parquet(f"{path}/by_article")).where("prob > 0")
+
+
+@query("e5_stored_by_topic", sql("SELECT id, topic_id, prob FROM doc_topics", "doc_topics"))
+def stored_by_topic(t):
+    path = scratch_path(t.spark, "topics")
+    E.write_topics(t.vectors, path)
+    return t.spark.read.parquet(f"{path}/by_topic")
+
+
+@query("a10_explorer_from_tables", sql("SELECT rank, topic_id, round(score, 9) AS score, label FROM topic_table", "topic_table"))
+def explorer_from_tables(t):
+    """Tables made elsewhere, here by the topic rule, answer the same questions."""
+    explorer = TopicExplorer(t.vectors, t.topic_words, NUM_TOPICS, posts=t.posts, texts=t.texts)
+    return explorer.topics_table().select("rank", "topic_id", F.round("score", 9).alias("score"), "label")
+
+
 @query("a9_model_round_trip", sql(SHARE_SUMS_SQL, "texts", "words", "vocabulary"))
 def model_round_trip(t):
     path = scratch_path(t.spark, "model")
@@ -139,8 +189,7 @@ def explorer_from_model(t):
     return explorer.topics_table().select("rank", "topic_id", "score", "label")
 
 
-@query("l1_tag_stream")
-def tagged_stream(t):
+def _streamed(t):
     """Documents arrive as files; the query stops when all are tagged."""
     arriving, tags, progress = (scratch_path(t.spark, name) for name in ("arriving", "tags", "progress"))
     t.texts.write.parquet(arriving)
@@ -148,3 +197,17 @@ def tagged_stream(t):
     tagged = tag_stream(model(t), stream)
     write_tags(tagged, tags, progress, available_now=True).awaitTermination()
     return t.spark.read.schema(tagged.schema).parquet(tags)
+
+
+@query("l1_tag_stream")
+def tagged_stream(t):
+    return _streamed(t)
+
+
+@query("l1_stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS n_different")
+def stream_equals_batch(t):
+    """Tags that only the stream or only the batch job has."""
+    columns = ["id", "rank", "topic_id", "prob"]
+    streamed, batch = _streamed(t).select(columns), E.tag_texts(model(t), t.texts).select(columns)
+    different = streamed.exceptAll(batch).unionAll(batch.exceptAll(streamed))
+    return different.agg(F.count(F.lit(1)).alias("n_different"))
