@@ -201,16 +201,13 @@ def fit_vectoriser(
 ) -> CountVectorizerModel:
     """A transformer of ``tokens`` to sparse counts over the terms of ``build_vocabulary``.
 
-    Spark's estimator finds the same terms, but when there are more than ``max_terms`` it
-    keeps those with most occurrences instead of most documents; then the table decides.
+    Spark's estimator would count the tokens itself, but row by row and with a cap by
+    occurrences instead of documents. So it is given the finished vocabulary, one term per
+    row, which also keeps the terms inside the JVM. The order of its terms is arbitrary.
     """
-    columns = {"inputCol": "tokens", "outputCol": "features"}
-    share = {"maxDF": max_doc_share} if max_doc_share < 1 else {}
-    fitted = CountVectorizer(minDF=min_docs, vocabSize=max_terms, **share, **columns).fit(tokens)
-    if len(fitted.vocabulary) < max_terms:
-        return fitted
-    ranked = build_vocabulary(tokens, min_docs, max_doc_share, max_terms)
-    return CountVectorizerModel.from_vocabulary([row.term for row in ranked.collect()], **columns)
+    vocabulary = build_vocabulary(tokens, min_docs, max_doc_share, max_terms)
+    estimator = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max_terms)
+    return estimator.fit(vocabulary.select(F.array("term").alias("tokens")))
 
 
 def vocabulary_terms(spark: SparkSession, vectoriser: CountVectorizerModel) -> DataFrame:

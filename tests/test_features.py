@@ -94,7 +94,7 @@ def test_vocabulary_cap_ranks_by_documents(spark):
     options = {"min_docs": 1, "max_doc_share": 1.0, "max_terms": 2}
     assert [r.term for r in C.build_vocabulary(tokens, **options).collect()] == ["often", "mid"]
     # By occurrences 'burst' would be first.
-    assert C.fit_vectoriser(tokens, **options).vocabulary == ["often", "mid"]
+    assert set(C.fit_vectoriser(tokens, **options).vocabulary) == {"often", "mid"}
 
 
 def test_bags_of_words(spark):
