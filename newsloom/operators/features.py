@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -126,28 +129,51 @@ def _stretch(begin: Column, end: Column) -> tuple[Column, Column]:
     return begin + 1, end - begin
 
 
+def _merged_lists(lists: pa.Array, words: pa.Array, phrases: np.ndarray) -> pa.Array:
+    """One Arrow batch of token lists with phrases joined, without a loop over tokens.
+
+    ``phrases`` holds sorted codes of pairs, ``first * len(words) + second`` by position in
+    ``words``.
+    """
+    flat = lists.flatten()
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    ends = np.cumsum(lengths)
+    code = pc.fill_null(pc.index_in(flat, value_set=words), -1).to_numpy().astype(np.int64)
+    pair = code[:-1] * len(words) + code[1:]
+    pair[(code[:-1] < 0) | (code[1:] < 0)] = -1
+    across = ends[(ends > 0) & (ends < len(flat))] - 1  # pairs of two documents
+    pair[across] = -1
+    place = np.minimum(np.searchsorted(phrases, pair), len(phrases) - 1)
+    hits = np.flatnonzero(phrases[place] == pair)
+    # In a run of overlapping hits, left to right, the first, third, fifth ... are taken.
+    number = np.arange(len(hits))
+    opens = np.diff(hits, prepend=-2) != 1
+    starts = hits[(number - np.maximum.accumulate(np.where(opens, number, 0))) % 2 == 0]
+
+    joined = pc.binary_join_element_wise(flat.take(pa.array(starts)), flat.take(pa.array(starts + 1)), PHRASE_DELIMITER)
+    first, kept = np.zeros(len(flat), bool), np.ones(len(flat), bool)
+    first[starts] = True
+    kept[starts + 1] = False
+    values = pc.replace_with_mask(flat, pa.array(first), joined).filter(pa.array(kept))
+    lost = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(lengths))
+    offsets = np.concatenate([[0], np.cumsum(lengths - lost)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
+
+
 def _merge_by_lookup(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     """A phrase set of checked size: no shuffle, so it also works on a stream."""
-    pairs = {(row.w1, row.w2) for row in phrases.select("w1", "w2").collect()}
-    known = tokens.sparkSession.sparkContext.broadcast(pairs)
-
-    @F.pandas_udf("array<string>")
-    def merge(column: pd.Series) -> pd.Series:
-        phrase_set = known.value
-
-        def merged(words):
-            out, skip = [], False
-            for word, following in zip(words, [*words[1:], None]):
-                if skip:
-                    skip = False
-                elif (word, following) in phrase_set:
-                    out.append(f"{word}{PHRASE_DELIMITER}{following}")
-                    skip = True
-                else:
-                    out.append(word)
-            return out
-
-        return column.map(merged, na_action="ignore")
+    pairs = phrases.select("w1", "w2").distinct().toArrow()
+    if pairs.num_rows == 0:
+        return tokens
+    words = pc.unique(pa.chunked_array([*pairs["w1"].chunks, *pairs["w2"].chunks]).combine_chunks())
+    first, second = (pc.index_in(pairs[name], value_set=words).to_numpy().astype(np.int64) for name in ("w1", "w2"))
+    known = tokens.sparkSession.sparkContext.broadcast((words, np.sort(first * len(words) + second)))
+
+    @F.arrow_udf("array<string>")
+    def merge(lists: pa.Array) -> pa.Array:
+        if len(lists.flatten()) < 2:
+            return lists
+        return _merged_lists(lists, *known.value)
 
     return tokens.withColumn("tokens", merge("tokens"))
 

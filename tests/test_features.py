@@ -38,7 +38,9 @@ def greedy(words, phrases):
 
 @pytest.mark.parametrize("merge", [C._merge_by_lookup, C._merge_by_join])
 def test_merge_left_to_right(spark, merge):
-    tokens = token_table(spark, {1: ["a", "b", "c"], 2: ["b", "c", "a", "b"], 3: [], 4: ["a"], 5: ["x", "y"]})
+    # 7 ends and 8 begins with the halves of a phrase.
+    documents = {1: ["a", "b", "c"], 2: ["b", "c", "a", "b"], 3: [], 4: ["a"], 5: ["x", "y"], 6: [], 7: ["a"], 8: ["b", "a"]}
+    tokens = token_table(spark, documents).coalesce(1)
     phrases = spark.createDataFrame([("a", "b"), ("b", "c")], "w1 string, w2 string")
     assert as_dict(merge(tokens, phrases)) == {
         1: ["a_b", "c"],
@@ -46,12 +48,24 @@ def test_merge_left_to_right(spark, merge):
         3: [],
         4: ["a"],
         5: ["x", "y"],
+        6: [],
+        7: ["a"],
+        8: ["b", "a"],
     }
 
 
+def test_merge_keeps_missing_lists(spark):
+    tokens = spark.createDataFrame([(1, None), (2, ["a", "b"]), (3, None)], "id long, tokens array<string>").coalesce(1)
+    phrases = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
+    rows = C._merge_by_lookup(tokens, phrases).collect()
+    assert {r.id: r.tokens for r in rows} == {1: None, 2: ["a_b"], 3: None}
+    assert C._merge_by_lookup(tokens, phrases.where("w1 = 'z'")).count() == 3
+
+
+@pytest.mark.parametrize("seed", [3, 4])
 @pytest.mark.parametrize("merge", [C._merge_by_lookup, C._merge_by_join])
-def test_merge_equals_brute_force(spark, merge):
-    documents = random_documents(3)
+def test_merge_equals_brute_force(spark, merge, seed):
+    documents = random_documents(seed, n=300)
     phrases = {("a", "a"), ("a", "bb"), ("bb", "ccc"), ("ccc", "a"), ("d", "d")}
     table = spark.createDataFrame(sorted(phrases), "w1 string, w2 string")
     wanted = {i: greedy(words, phrases) for i, words in documents.items()}
