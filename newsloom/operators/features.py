@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -214,7 +214,7 @@ def build_vocabulary(
     return (
         term_counts(tokens)
         .where((F.col("df") >= min_docs) & (F.col("df") <= F.floor(F.lit(max_doc_share) * documents)))
-        .orderBy(F.desc("df"), "term")
+        .orderBy(F.desc("df"), F.asc("term"))
         .limit(max_terms)
     )
 
@@ -227,13 +227,14 @@ def fit_vectoriser(
 ) -> CountVectorizerModel:
     """A transformer of ``tokens`` to sparse counts over the terms of ``build_vocabulary``.
 
-    Spark's estimator would count the tokens itself, but row by row and with a cap by
-    occurrences instead of documents. So it is given the finished vocabulary, one term per
-    row, which also keeps the terms inside the JVM. The order of its terms is arbitrary.
+    Spark's estimator would cap by occurrences instead of documents and leave the order of
+    equally frequent terms to chance; here the order is fixed, so that a seed decides what
+    a model trained on the counts looks like. The terms, at most ``max_terms``, pass through
+    the driver, as they do in the estimator.
     """
     vocabulary = build_vocabulary(tokens, min_docs, max_doc_share, max_terms)
-    estimator = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max_terms)
-    return estimator.fit(vocabulary.select(F.array("term").alias("tokens")))
+    terms = [row.term for row in vocabulary.select("term").collect()]
+    return CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="features")
 
 
 def vocabulary_terms(spark: SparkSession, vectoriser: CountVectorizerModel) -> DataFrame:
