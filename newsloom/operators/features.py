@@ -24,7 +24,9 @@ PHRASE_DELIMITER = "_"
 
 
 def tokenise(texts: DataFrame) -> DataFrame:
-    return texts.select("id", alphabetic_words(F.col("text")).alias("tokens"))
+    """Lower-cased words of each text; a missing text has none."""
+    none = F.array().cast("array<string>")
+    return texts.select("id", F.coalesce(alphabetic_words(F.col("text")), none).alias("tokens"))
 
 
 def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:

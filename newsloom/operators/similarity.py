@@ -20,6 +20,7 @@ COMMON_SHARE = 0.2
 # Similarities are rounded before they are compared with a percentile of themselves, so
 # that the order in which a cluster adds numbers up cannot move a cell across the bound.
 SIMILARITY_DIGITS = 12
+TASKS_PER_CORE = 4
 
 
 def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_PROB) -> DataFrame:
@@ -55,9 +56,13 @@ def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_P
                 names=["i", "j", "dot", "both"],
             )
 
+    # One partial matrix per task: a few tasks per core are enough of them. Coalescing moves
+    # no rows, and does nothing to an input with fewer partitions.
+    tasks = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
     return (
         vectors.select(column)
         .where(F.col(column).isNotNull())
+        .coalesce(tasks)
         .mapInArrow(partial, "i int, j int, dot double, both bigint")
         .groupBy("i", "j")
         .agg(F.sum("dot").alias("dot"), F.sum("both").alias("both"))

@@ -76,8 +76,9 @@ def test_topic_words_are_normalised(spark, model):
 
 
 def test_unknown_words(spark, model):
-    texts = spark.createDataFrame([(1, "qqq zzz"), (2, ""), (3, "apple fig pear")], "id long, text string")
+    texts = spark.createDataFrame([(1, "qqq zzz"), (2, ""), (3, "apple fig pear"), (4, None)], "id long, text string")
     rows = {r.id: r for r in E.infer_topics(model, tokenise(texts)).collect()}
+    assert rows[4].shares == [0, 0, 0]
     assert rows[1].shares == [0, 0, 0] and not rows[1].has_terms and not rows[2].has_terms
     assert sum(rows[3].shares) == pytest.approx(1) and rows[3].has_terms
     assert {r.id for r in E.tag_texts(model, texts).collect()} == {3}

@@ -65,6 +65,8 @@ def test_mean_share_counts_absent_as_zero(spark):
     sparse = spark.createDataFrame([(1, 0, 0.6), (2, 0, 0.3), (2, 1, 0.5), (3, 1, 0.1)], "id long, topic_id int, prob double")
     found = [(r.id, r.prob) for r in R.topic_articles(sparse, [0, 1], min_prob=0.1).collect()]
     assert found == [(2, pytest.approx(0.4)), (1, pytest.approx(0.3))]
+    twice = {r.id: r.prob for r in R.topic_articles(sparse, [0, 0, 1], min_prob=0.1).collect()}
+    assert twice == {1: pytest.approx(0.4), 2: pytest.approx(1.1 / 3)}
 
 
 def test_article_topics_rank_inside_the_row(spark):
