@@ -101,7 +101,13 @@ def test_phrases_belong_to_the_model(spark, tmp_path):
     assert any("_" in term for term in merged.vectoriser.vocabulary)
     merged.save(str(tmp_path / "model"))
     loaded = E.TopicModel.load(spark, str(tmp_path / "model"))
-    assert E.tag_texts(loaded, texts).count() == E.tag_texts(merged, texts).count() > 0
+    tagged = sorted(tuple(r) for r in E.tag_texts(merged, texts).collect())
+    assert tagged and [tuple(r) for r in tagged] == sorted(tuple(r) for r in E.tag_texts(loaded, texts).collect())
+    # Phrases are merged on streams too.
+    texts.write.parquet(str(tmp_path / "arriving"))
+    stream = tag_stream(loaded, read_article_stream(spark, str(tmp_path / "arriving")))
+    write_tags(stream, str(tmp_path / "tags"), str(tmp_path / "progress"), available_now=True).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "tags")).collect()) == tagged
 
 
 def test_stream_equals_batch(spark, corpus, model, tmp_path):
