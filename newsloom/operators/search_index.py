@@ -25,11 +25,11 @@ def latest_documents(documents: DataFrame, batch: str = "batch") -> DataFrame:
     """One row per id, from its last batch; ids are unique within a batch.
 
     The last batches are found on two narrow columns and summed up before they move, so an
-    id that was indexed very often costs no more than others. Texts are then kept by a join
-    that builds on the narrow side and sorts no texts.
+    id that was indexed very often costs no more than others. The texts are shuffled once,
+    by a join that adaptive execution splits where an id is hot.
     """
     last = documents.groupBy("id").agg(F.max(batch).alias(batch))
-    return documents.join(last.hint("shuffle_hash"), ["id", batch], "left_semi").drop(batch)
+    return documents.join(last, ["id", batch], "left_semi").drop(batch)
 
 
 def index_documents(

@@ -1,5 +1,6 @@
 from newsloom.plans.corpus import ArticleCorpus
 from newsloom.plans.explorer import TopicExplorer
 from newsloom.plans.ingest import ingest_pages
+from newsloom.plans.search import SearchIndex
 
-__all__ = ["ArticleCorpus", "TopicExplorer", "ingest_pages"]
+__all__ = ["ArticleCorpus", "SearchIndex", "TopicExplorer", "ingest_pages"]

@@ -31,19 +31,19 @@ class ArticleCorpus:
     ):
         self.spark = texts.sparkSession
         self.texts = texts
-        self._posts = posts
+        self.metadata = posts
         self.tokens_path = tokens_path
         self.lemmas = lemmas
         self.phrases: DataFrame | None = None
 
     @property
     def posts(self) -> DataFrame:
-        if self._posts is None:
+        if self.metadata is None:
             raise ValueError("this needs post metadata")
-        return self._posts
+        return self.metadata
 
     def articles(self, max_count: int | None = None, min_points: int = A.MIN_POINTS) -> DataFrame:
-        return A.stream_articles(self.texts, self._posts, max_count, min_points)
+        return A.stream_articles(self.texts, self.metadata, max_count, min_points)
 
     def _tokenised(self, texts: DataFrame) -> DataFrame:
         tokens = C.tokenise(texts)

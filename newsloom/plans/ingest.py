@@ -1,7 +1,12 @@
-"""From raw pages to stored article texts."""
+"""From raw pages to stored article texts.
+
+As a job: ``spark-submit --py-files newsloom.zip newsloom/plans/ingest.py --work ids.txt
+--pages pages --articles articles --manifest done --min-article-length 500``.
+"""
 
 from __future__ import annotations
 
+import argparse
 import time
 import uuid
 
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.sizing import broadcast_if_small
 from newsloom.functions.staging import path_exists
 from newsloom.operators.articles import long_enough, not_done
-from newsloom.sources.articles import append_ids, read_manifest
+from newsloom.sources.articles import append_ids, read_manifest, read_work_list
 from newsloom.sources.pages import extract_articles
 from newsloom.sources.progress import article_metrics, throughput
 
@@ -53,3 +58,26 @@ def stored_articles(spark: SparkSession, articles_path: str, manifest_path: str)
     stored = spark.read.schema(f"{ARTICLE_SCHEMA}, run string").parquet(articles_path)
     finished = spark.read.schema("id long, run string").csv(manifest_path)
     return stored.join(finished, ["id", "run"], "left_semi").drop("run")
+
+
+def main(arguments: list[str] | None = None) -> None:
+    parser = argparse.ArgumentParser(description="Extract and store the articles of a work list.")
+    parser.add_argument("--work", required=True, help="text lines of id and url")
+    parser.add_argument("--pages", required=True, help="Parquet of page_id, url, html")
+    parser.add_argument("--articles", required=True, help="where article texts are stored")
+    parser.add_argument("--manifest", required=True, help="where the ids of stored articles are listed")
+    parser.add_argument("--min-article-length", type=int, help="shorter articles are left out; default none")
+    options = parser.parse_args(arguments)
+    spark = SparkSession.builder.appName("ingest").getOrCreate()
+    counts = ingest_pages(
+        read_work_list(spark, options.work),
+        spark.read.parquet(options.pages),
+        options.articles,
+        options.manifest,
+        options.min_article_length,
+    )
+    print(", ".join(f"{name} {value:.6g}" for name, value in counts.items()))
+
+
+if __name__ == "__main__":
+    main()

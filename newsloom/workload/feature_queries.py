@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
 from newsloom.functions.staging import scratch_path, stage
-from newsloom.plans.corpus import ArticleCorpus
+from newsloom.plans import ArticleCorpus, SearchIndex
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import TOKEN_DIGESTS_SQL, token_digests
@@ -139,6 +139,22 @@ def reindex(t):
     return D.add_to_index(D.index_documents(t.texts), D.latest_documents(_turns(t)))
 
 
+@query(
+    "d1_search_index",
+    rf"""SELECT token, count(*) AS n_docs FROM (
+        SELECT DISTINCT id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}]')) AS token
+        FROM ({LATEST_SQL})) GROUP BY token""",
+)
+def search_index(t):
+    """Articles in one batch, then the last turn of every conversation in another."""
+    index = SearchIndex(t.spark)
+    index.index(t.texts)
+    index.index(D.latest_documents(_turns(t)))
+    path = scratch_path(t.spark, "index")
+    index.save(path)
+    return SearchIndex.load(t.spark, path).document_frequency()
+
+
 @query("d2_query_term", sql("SELECT DISTINCT id FROM surface WHERE list_contains(tokens, 'the')", "surface"))
 def query_term(t):
     path = scratch_path(t.spark, "index")

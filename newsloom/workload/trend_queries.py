@@ -12,6 +12,7 @@ from newsloom.plans.corpus import ArticleCorpus
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import TIMESTAMP_TEXT, token_digests
+from newsloom.workload.tables import NUM_TOPICS
 
 
 def trends_sql(window: int) -> str:
@@ -56,14 +57,14 @@ def topic_trends_odd_window(t):
     "t4_trend_series",
     sql(
         f"""SELECT topic_id, 'Topic #' || topic_id AS name, label, created_date AS x, rolling AS y
-        FROM ({trends_sql(30)}) JOIN labels10 USING (topic_id) WHERE topic_id = 3""",
+        FROM ({trends_sql(30)}) JOIN labels10 USING (topic_id)""",
         "doc_topics",
         "posts",
         "labels10",
     ),
 )
 def trend_series(t):
-    series = T.topic_trend_series(T.topic_trends(t.vectors, t.dates, 3), E.top_words(t.topic_words))
+    series = T.topic_trend_series(T.topic_trends(t.vectors, t.dates), E.top_words(t.topic_words))
     return series.withColumn("x", F.col("x").cast("string")).withColumn("y", F.round("y", 6))
 
 
@@ -153,16 +154,16 @@ def bags_by_time(t):
     return flat.join(F.broadcast(corpus.vocabulary()), "term_id").select("id", "slice", "term", "n")
 
 
-@query("t9_topic_shares", sql("SELECT id, topic_id, prob FROM doc_topics WHERE topic_id = 3 AND prob > 0.05", "doc_topics"))
+@query("t9_topic_shares", sql("SELECT id, topic_id, prob FROM doc_topics WHERE prob > 0.05", "doc_topics"))
 def topic_shares(t):
-    return T.topic_shares(t.doc_topics, 3)
+    return T.topic_shares(t.doc_topics, list(range(NUM_TOPICS)))
 
 
 @query(
     "t10_share_histogram",
     sql(
         """SELECT g.topic_id, g.bin, g.bin / 10 AS bin_start, coalesce(c.n, 0) AS n
-        FROM (SELECT topic_id, CAST(range AS INTEGER) AS bin FROM topics, range(10) WHERE topic_id IN (1, 3, 9)) g
+        FROM (SELECT topic_id, CAST(range AS INTEGER) AS bin FROM topics, range(10)) g
         LEFT JOIN (SELECT topic_id, CAST(least(floor(prob * 10), 9) AS INTEGER) AS bin, count(*) AS n
                    FROM doc_topics WHERE prob > 0.05 GROUP BY ALL) c ON c.topic_id = g.topic_id AND c.bin = g.bin""",
         "topics",
@@ -170,4 +171,4 @@ def topic_shares(t):
     ),
 )
 def share_histogram(t):
-    return T.share_histogram(t.doc_topics, [1, 3, 9])
+    return T.share_histogram(t.doc_topics, list(range(NUM_TOPICS)))

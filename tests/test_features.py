@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
-from newsloom.plans import ArticleCorpus
+from newsloom.plans import ArticleCorpus, SearchIndex
 
 
 def token_table(spark, documents):
@@ -172,6 +172,18 @@ def test_reindexing_replaces(spark):
     assert ids(postings, "cat") == [] and ids(postings, "new") == [1] and ids(postings, "the") == [3]
 
 
+def test_search_index_by_batches(spark, tmp_path):
+    index = SearchIndex(spark, preprocess_tokens=True)
+    index.index(documents_table(spark))
+    index.index(documents_table(spark, {2: "A COW", 5: "the end"}))
+    assert sorted(r.id for r in index.query("cow").collect()) == [2]
+    assert sorted(r.id for r in index.query("dog").collect()) == [3]
+    index.save(str(tmp_path / "index"))
+    loaded = SearchIndex.load(spark, str(tmp_path / "index"))
+    assert sorted(r.id for r in loaded.query("the").collect()) == [1, 3, 5]
+    assert {r.id: r.text for r in loaded.documents.collect()} == DOCUMENTS | {2: "A COW", 5: "the end"}
+
+
 def test_hot_token_is_split_into_blocks(spark):
     """One token in every document, also with negative ids."""
     documents = spark.range(-50, 1000).select("id", F.lit("hot").alias("text"))

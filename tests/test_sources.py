@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.staging import path_is_complete
 from newsloom.functions.text import alphabetic_words, first_bytes, surface_tokens
 from newsloom.operators.features import tokenise
-from newsloom.plans.ingest import ingest_pages, stored_articles
+from newsloom.plans.ingest import ingest_pages, main, stored_articles
 from newsloom.sources import (
     append_ids,
     extract_articles,
@@ -174,6 +174,15 @@ def test_ingest_skips_what_is_done(spark, tmp_path):
     assert sorted(r.id for r in rows) == [1, 2, 7, 8, 9]
 
 
+def test_ingest_as_a_job(spark, tmp_path, capsys):
+    (tmp_path / "work").write_text("1 http://p/1\n4 http://p/4\n")
+    pages(spark).write.parquet(str(tmp_path / "pages"))
+    main([f"--{name}={tmp_path / name}" for name in ("work", "pages", "articles", "manifest")])
+    assert capsys.readouterr().out.startswith("articles 1, characters ")
+    stored = stored_articles(spark, str(tmp_path / "articles"), str(tmp_path / "manifest"))
+    assert [r.id for r in stored.collect()] == [1]
+
+
 def test_unfinished_run_is_not_read(spark, tmp_path):
     articles, done = str(tmp_path / "articles"), str(tmp_path / "done")
     ingest_pages(pages(spark).selectExpr("page_id as id", "url").where("id = 1"), pages(spark), articles, done)
