@@ -15,10 +15,15 @@ def is_small(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> bool:
-    """Counts rows and bytes in one aggregation, which ships one row per task."""
+    """Counts rows and bytes in one aggregation, which ships one row per task.
+
+    Arrays, maps and structs are not measured, so a table that has any is not small.
+    """
     width = F.lit(0)
     for field in df.schema.fields:
-        if isinstance(field.dataType, T.StringType):
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return False
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
         else:
             width = width + F.lit(16)

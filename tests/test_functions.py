@@ -36,6 +36,7 @@ def test_size_is_checked(spark):
     assert not sizing.is_small(rows, max_rows=99)
     assert not sizing.is_small(rows, max_bytes=1_000)
     assert sizing.is_small(rows.where("id < 0"))
+    assert not sizing.is_small(rows.selectExpr("array(s) as a"))
 
 
 def test_only_small_inputs_are_spread(spark):
