@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import bpe
+from newsloom.llm import bpe, katz, mixing, neighbours, pii, quality, set_join, token_counts, url_filter, vector_dedup
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,12 +15,62 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(_read(spark, sf_dir, "documents"))
+
+
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), k=10)
+
+
+def op3_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(_read(spark, sf_dir, "documents"))
+
+
+def op4_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(_read(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = set_join.group_documents(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(_read(spark, sf_dir, "documents"))
+
+
+def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_katz": op1_katz,
+    "op2_learned_partitions": op2_learned_partitions,
+    "op3_flow_mix": op3_flow_mix,
+    "op4_projection_passes": op4_projection_passes,
+    "op5_url_trees": op5_url_trees,
     "op6_bpe": op6_bpe,
+    "op7_skip_chain_pii": op7_skip_chain_pii,
+    "op8_set_join": op8_set_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_importance": op10_importance,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_token_counts": r"""
+SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+FROM documents""",
+}

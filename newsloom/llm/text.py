@@ -128,3 +128,15 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
             own = hashes[bounds[row] : bounds[row + 1]]
             out[out_bounds[row]] = (own * factors[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own))
     return mix(out, 3), out_bounds
+
+
+def pieces(batches, column: int, limit: int = 8 << 20):
+    """Cut record batches so that a piece has about ``limit`` bytes of the text column, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(batch_bytes(batch.column(column))[1])
+        group = np.cumsum(sizes) // limit
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows])).tolist()
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(low, high - low)
