@@ -331,7 +331,7 @@ def _links_between_groups(entries: DataFrame, classes: DataFrame, docs: DataFram
         near.select(F.col("a").alias("g_a"), F.col("b").alias("g_b"))
         .join(left, "g_a")
         .join(right, ["shingle", "g_b"])
-        .where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("component_a") <> F.col("component_b")))
+        .where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("component_a") != F.col("component_b")))
         .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b")
         .agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
     )

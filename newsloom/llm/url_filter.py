@@ -23,6 +23,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.text import batch_bytes
 
@@ -79,7 +80,7 @@ def _suffixes(host: Column) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _lexical(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> pd.Series:
     """Lengths, share of digits, entropy, depth, parameters, labels of the host, digits of the path."""
 

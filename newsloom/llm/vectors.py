@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_valid(vector: Column) -> Column:
@@ -16,7 +17,7 @@ def is_valid(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & nonzero, F.lit(False))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def to_bytes(vectors: pd.Series) -> pd.Series:
     """Components as little-endian doubles."""
     return vectors.map(lambda v: np.asarray(v, dtype="<f8").tobytes())
