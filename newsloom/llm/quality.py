@@ -10,7 +10,8 @@ has one letter per run of characters of a kind (lower case, upper case, digits,
 punctuation mark); a word that repeats the one before it has a shape of its own.
 
 The raw model counts every document. The target model is fitted on at most ``max_targets`` labelled
-documents, those whose ids come first in the order of a hash.
+documents, those whose ids come first in the order of a hash; it leans on the raw model where it has few
+counts, so that words it has not met weigh little.
 
 A null or empty text has no features and weight 0 (log scale). Rows with equal ids get equal noise. All
 rows that tie with the k-th are kept. Without target documents all weights are equal. An empty table
@@ -27,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.staging import stage
 from newsloom.llm.text import LOWER, batch_bytes, hash_spans, mix, word_bounds
@@ -37,6 +39,10 @@ PAIR_BUCKETS = 1 << 14
 FAMILIES = (WORD_BUCKETS, SHAPE_BUCKETS, PAIR_BUCKETS)
 STARTS = tuple(int(x) for x in np.cumsum((0, *FAMILIES)))
 MAX_TARGETS = 20_000
+# Features of the raw model that are added to the target counts, per bucket of a family.
+PRIOR = 10.0
+# By default as many documents are kept as have this log weight or more.
+LEAST_LOG_WEIGHT = -2.0
 SEED = 1
 BINS = 4096
 
@@ -123,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_targets: int = MAX_TARGETS) -> n
         return ratios
     for start, size in zip(STARTS, FAMILIES, strict=False):
         part = slice(start, start + size)
-        raw, target = ((t[part] + 1) / (t[part].sum() + size) for t in tables)
+        raw = (tables[0, part] + 1) / (tables[0, part].sum() + size)
+        target = (tables[1, part] + PRIOR * size * raw) / (tables[1, part].sum() + PRIOR * size)
         ratios[part] = np.log(target) - np.log(raw)
     return ratios
 
@@ -135,7 +142,7 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
-    """``(doc_id, log_weight, key, n_features)``; key is the log weight with noise."""
+    """``(doc_id, log_weight, key)``; key is the log weight with noise."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,29 +190,28 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, max_targe
     """``(doc_id, log_weight, key, kept)`` per document.
 
     ``k`` is how many to keep. By default it is the number of documents that the target model explains
-    at least as well as the raw one (log weight of 0 or more), so that the sample drops what is unlike
-    the target and keeps the rest.
+    about as well as the raw one (``LEAST_LOG_WEIGHT`` or more), so that the sample drops what is
+    unlike the target and keeps the rest.
     """
-    weighed = stage(weigh(docs, fit(docs, labels, max_targets), seed), "weights")
-    if k is None:
-        k = weighed.where("log_weight >= 0").count()
-    least = kth_largest(weighed, "key", k)
+    weighed, least = _sample(docs, fit(docs, labels, max_targets), k, seed)
     return weighed.withColumn("kept", F.col("key") >= F.lit(least))
 
 
-def select(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents kept, with their columns. Rows that share an id share their fate if they share
-    their text; a row without id is judged by its text and the noise of id -1."""
-    spark = docs.sparkSession
-    max_targets, seed, k = options.get("max_targets", MAX_TARGETS), options.get("seed", SEED), options.get("k")
-    ratios = fit(docs, labels, max_targets)
+def _sample(docs: DataFrame, ratios: np.ndarray, k: int | None, seed: int) -> tuple[DataFrame, float]:
+    """The weights of all documents and the least key that is kept."""
     weighed = stage(weigh(docs, ratios, seed), "weights")
     if k is None:
-        k = weighed.where("log_weight >= 0").count()
-    least = kth_largest(weighed, "key", k)
-    sent = spark.sparkContext.broadcast(ratios)
+        k = weighed.where(F.col("log_weight") >= LEAST_LOG_WEIGHT).count()
+    return weighed, kth_largest(weighed, "key", k)
+
+
+def select(docs: DataFrame, labels: DataFrame, k: int | None = None, max_targets: int = MAX_TARGETS, seed: int = SEED) -> DataFrame:
+    """The documents kept, with their columns; a row without id is judged with the noise of id -1."""
+    ratios = fit(docs, labels, max_targets)
+    weighed, least = _sample(docs, ratios, k, seed)
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def is_kept(ids: pd.Series, texts: pd.Series) -> pd.Series:
         numbers, rows = features(pa.array(texts, pa.binary()))
         weights = np.bincount(rows, weights=sent.value[numbers], minlength=len(ids))

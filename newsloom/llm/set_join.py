@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.functions.staging import stage
 from newsloom.llm.graph import connected_components
@@ -103,7 +104,7 @@ def _index(docs: DataFrame, frequent: Broadcast, buckets: int, percent: int, wid
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
             heavy = np.where(known[at] == flat, weight[at], 0) if len(known) else np.zeros(len(flat), np.int64)
             kept, places, owners = [], [], []
-            for row in first[sizes[first] > 0].tolist():
+            for row in np.sort(first[sizes[first] > 0]).tolist():
                 own, n = slice(bounds[row], bounds[row + 1]), int(sizes[row])
                 prefix = n - -(-percent * n // 100) + 1
                 order = np.argsort(heavy[own], kind="stable")[:prefix] if heavy[own].any() else np.arange(prefix)
@@ -363,15 +364,29 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
     )
 
 
+NO_ID = -(1 << 63)
+
+
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` with one row of each group of similar texts: the one with the smallest id,
-    and among equal ids any one of the smallest text. Texts without words are no copies of each other."""
-    grouped = group_documents(docs, percent, width)
-    chosen = stage(
-        grouped.where("n_shingles > 0")
+    or a row without id where no row has one. Texts without words are no copies of each other and all
+    stay."""
+
+    @F.pandas_udf(T.LongType())
+    def set_of(texts: pd.Series) -> pd.Series:
+        _, bounds, ids = _sets(pa.array(texts, pa.binary()), width)
+        return pd.Series(ids).where(np.diff(bounds) > 0).astype("Int64")
+
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_set", set_of(text))
+    last = F.lit((1 << 63) - 1)
+    chosen = (
+        group_documents(docs, percent, width)
+        .where("n_shingles > 0")
         .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_id")).alias("nameless"))
-        .agg(F.min(F.struct("doc_id", "set_id")).alias("kept"))
-        .select(F.col("kept.doc_id").alias("_id"), F.col("kept.set_id").alias("_set")),
-        "kept",
+        .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "set_id")).alias("kept"))
+        .select(F.when(F.col("kept.id") == last, F.lit(NO_ID)).otherwise(F.col("kept.id")).alias("_id"), F.col("kept.set_id").alias("_set"))
     )
-    return docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    keys = ["_id", "_set"]
+    kept = named.where("_set is not null").join(stage(chosen, "kept"), keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(named.where("_set is null")).select(*docs.columns)
