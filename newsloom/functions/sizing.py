@@ -31,18 +31,8 @@ def is_small(
     return rows <= max_rows and size <= max_bytes
 
 
-def broadcast_if_small(df: DataFrame, **bounds: int) -> DataFrame:
-    """A broadcast hint if the table fits; otherwise Spark joins by shuffle."""
-    return F.broadcast(df) if is_small(df, **bounds) else df
-
-
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input with fewer splits than cores over all cores, by ``key``.
-
-    One small file is one task however many cores there are. An input with a split
-    per core or more, which any large one has, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+def require_small(df: DataFrame, what: str, **bounds: int) -> DataFrame:
+    """``df`` if it may be sent to every task; else an error, instead of a cut or another way."""
+    if not is_small(df, **bounds):
+        raise ValueError(f"{what} is sent to every task and may have {MAX_BROADCAST_ROWS} rows and {MAX_BROADCAST_BYTES >> 20} MB at most")
+    return df

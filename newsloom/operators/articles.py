@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.functions.sizing import broadcast_if_small
 from newsloom.functions.text import first_bytes
 
 MIN_POINTS = 50
@@ -61,7 +60,7 @@ def posts_with_text(posts: DataFrame, texts: DataFrame) -> DataFrame:
 
 def posts_by_ids(posts: DataFrame, ids: DataFrame) -> DataFrame:
     """Posts for ``(id, pos)`` in the order of ``pos``; an id may be asked for twice."""
-    return broadcast_if_small(ids.select("id", "pos")).join(posts, "id").orderBy("pos", "id")
+    return ids.select("id", "pos").join(posts, "id").orderBy("pos", "id")
 
 
 def ids_without_post(ids: DataFrame, posts: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def ids_without_post(ids: DataFrame, posts: DataFrame) -> DataFrame:
 
 def posts_in(posts: DataFrame, ids: DataFrame) -> DataFrame:
     """Posts whose id is in ``ids``, each once."""
-    return posts.join(broadcast_if_small(ids.select("id")), "id", "left_semi")
+    return posts.join(ids.select("id"), "id", "left_semi")
 
 
 def rows_of(table: DataFrame, ids: int | list[int] | DataFrame) -> DataFrame:
@@ -79,7 +78,7 @@ def rows_of(table: DataFrame, ids: int | list[int] | DataFrame) -> DataFrame:
     Literal ids reach the Parquet scan, where row-group statistics skip the rest.
     """
     if isinstance(ids, DataFrame):
-        return table.join(broadcast_if_small(ids.select("id")), "id", "left_semi")
+        return table.join(ids.select("id"), "id", "left_semi")
     wanted = [ids] if isinstance(ids, int) else list(ids)
     return table.where(F.col("id").isin(wanted))
 

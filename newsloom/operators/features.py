@@ -10,14 +10,16 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from newsloom.functions.sizing import broadcast_if_small, is_small
+from newsloom.functions.sizing import is_small, require_small
 from newsloom.functions.staging import stage
 from newsloom.functions.text import alphabetic_words
 
 MIN_DOCS = 5
 MAX_DOC_SHARE = 0.6
-MAX_TERMS = 100_000
+# Terms a trained model can have: its vocabulary passes through the driver.
+MAX_MODEL_TERMS = 5_000_000
 PHRASE_MIN_COUNT = 5
 PHRASE_THRESHOLD = 10.0
 PHRASE_DELIMITER = "_"
@@ -32,18 +34,25 @@ def tokenise(texts: DataFrame) -> DataFrame:
 def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace forms by the lemmas of ``(form, lemma)``; other tokens stay.
 
-    ``id`` must be unique, and a form must have one lemma. The groups collected again are
-    single documents.
+    Forms are looked up inside the row, so nothing is shuffled, other columns stay and
+    streams work too. A lemma table is a dictionary: its size is checked. Of several lemmas
+    of a form the first in alphabetical order is taken.
     """
-    flat = tokens.select("id", F.posexplode_outer("tokens").alias("pos", "form"))
-    looked_up = flat.join(broadcast_if_small(lemmas.select("form", "lemma")), "form", "left")
-    term = F.coalesce("lemma", "form")
-    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", term.alias("term"))))
-    return (
-        looked_up.groupBy("id")
-        .agg(F.sort_array(pairs).alias("pairs"))
-        .select("id", F.col("pairs.term").alias("tokens"))
-    )
+    known = lemmas.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    table = require_small(known, "a lemma table").toArrow()
+    forms, found = (pa.chunked_array(table[name].chunks, pa.string()).combine_chunks() for name in ("form", "lemma"))
+    sent = tokens.sparkSession.sparkContext.broadcast((forms, found))
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def look_up(lists: pa.Array) -> pa.Array:
+        forms, found = sent.value
+        flat = lists.flatten()
+        terms = pc.coalesce(found.take(pc.index_in(flat, value_set=forms)), flat)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), terms, mask=lists.is_null())
+
+    return tokens.withColumn("tokens", look_up("tokens"))
 
 
 def _with_next(tokens: Column) -> Column:
@@ -92,18 +101,25 @@ def learn_phrases(
 
 
 def _merge_by_join(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Any number of phrases: only the matched positions are shuffled, then joined back by id."""
-    pairs = tokens.select("id", F.posexplode_outer(_with_next(F.col("tokens"))).alias("pos", "pair"))
-    hits = pairs.select("id", "pos", "pair.*").where("w2 is not null").join(phrases.select("w1", "w2").distinct(), ["w1", "w2"])
+    """Any number of phrases: the pairs of words are joined with them, and back by row.
+
+    Rows are numbered in a stored copy, so that ids may repeat and numbers stay.
+    """
+    if tokens.isStreaming:
+        raise ValueError("phrases on a stream are looked up in the row; this set is too large for that")
+    rows = stage(tokens.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    pairs = rows.select("_row", F.posexplode_outer(_with_next(F.col("tokens"))).alias("pos", "pair"))
+    wanted = phrases.select("w1", "w2").distinct()
+    hits = pairs.select("_row", "pos", "pair.*").where("w2 is not null").join(wanted, ["w1", "w2"])
     # Overlapping matches form runs of neighbouring positions; left to right, a run gives
     # its first, third, fifth ... pair.
-    by_position = W.partitionBy("id").orderBy("pos")
-    runs = hits.select("id", "pos", (F.col("pos") - F.row_number().over(by_position)).alias("run"))
-    in_run = W.partitionBy("id", "run").orderBy("pos")
+    by_position = W.partitionBy("_row").orderBy("pos")
+    runs = hits.select("_row", "pos", (F.col("pos") - F.row_number().over(by_position)).alias("run"))
+    in_run = W.partitionBy("_row", "run").orderBy("pos")
     starts = (
         runs.withColumn("nth", F.row_number().over(in_run))
         .where(F.col("nth") % 2 == 1)
-        .groupBy("id")
+        .groupBy("_row")
         .agg(F.sort_array(F.collect_list("pos")).alias("starts"))
     )
     # Copy the stretch before each phrase, then the phrase: linear in the number of tokens.
@@ -119,11 +135,9 @@ def _merge_by_join(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
         )
     )
     tail = F.slice("tokens", *_stretch(F.element_at("starts", -1) + 2, F.size("tokens")))
-    joined = tokens.select("id", "tokens").join(starts, "id", "left")
-    return joined.select(
-        "id",
-        F.when(F.col("starts").isNull(), F.col("tokens")).otherwise(F.concat(merged, tail)).alias("tokens"),
-    )
+    whole = F.when(F.col("starts").isNull(), F.col("tokens")).otherwise(F.concat(merged, tail))
+    joined = rows.join(starts, "_row", "left").withColumn("tokens", whole)
+    return joined.select(*tokens.columns)
 
 
 def _stretch(begin: Column, end: Column) -> tuple[Column, Column]:
@@ -181,7 +195,11 @@ def _merge_by_lookup(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def apply_phrases(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Join the words of known phrases, greedily from left to right."""
+    """Join the words of known phrases, greedily from left to right.
+
+    The size of the phrase set decides only how: both ways keep all rows and columns and
+    give the same tokens. Streams need a set that fits in a row's lookup.
+    """
     if is_small(phrases.select("w1", "w2")):
         return _merge_by_lookup(tokens, phrases)
     return _merge_by_join(tokens, phrases)
@@ -209,23 +227,24 @@ def build_vocabulary(
     tokens: DataFrame,
     min_docs: int = MIN_DOCS,
     max_doc_share: float = MAX_DOC_SHARE,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> DataFrame:
-    """``(term, df, tf)``: terms neither rare nor everywhere, at most ``max_terms`` by ``df``."""
+    """``(term, df, tf)``: terms neither rare nor everywhere.
+
+    All of them, unless the caller asks for the ``max_terms`` with the highest ``df``.
+    """
     documents = tokens.agg(F.count(F.lit(1))).scalar()
-    return (
-        term_counts(tokens)
-        .where((F.col("df") >= min_docs) & (F.col("df") <= F.floor(F.lit(max_doc_share) * documents)))
-        .orderBy(F.desc("df"), F.asc("term"))
-        .limit(max_terms)
+    terms = term_counts(tokens).where(
+        (F.col("df") >= min_docs) & (F.col("df") <= F.floor(F.lit(max_doc_share) * documents))
     )
+    return terms if max_terms is None else terms.orderBy(F.desc("df"), F.asc("term")).limit(max_terms)
 
 
 def fit_vectoriser(
     tokens: DataFrame,
     min_docs: int = MIN_DOCS,
     max_doc_share: float = MAX_DOC_SHARE,
-    max_terms: int = MAX_TERMS,
+    max_terms: int | None = None,
 ) -> CountVectorizerModel:
     """A transformer of ``tokens`` to sparse counts over the terms of ``build_vocabulary``.
 
@@ -240,7 +259,7 @@ def fit_vectoriser(
 
 
 def vocabulary_terms(spark: SparkSession, vectoriser: CountVectorizerModel) -> DataFrame:
-    """``(term_id, term)`` of a fitted model; its size is limited when it is fitted."""
+    """``(term_id, term)`` of a fitted model; its size is checked when it is fitted."""
     return spark.createDataFrame(pd.DataFrame({"term": vectoriser.vocabulary}).reset_index(names="term_id")).select(
         F.col("term_id").cast("int").alias("term_id"), "term"
     )
@@ -251,6 +270,23 @@ def bags_of_words(tokens: DataFrame, vectoriser: CountVectorizerModel) -> DataFr
     return vectoriser.transform(tokens).drop("tokens")
 
 
+def count_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(id, term, n)`` of the terms of a vocabulary table of any size, without the driver.
+
+    Terms are counted within their row first, so a frequent term has one row per document.
+    """
+    in_order = F.sort_array("tokens")
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1))
+    )
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("sorted")))
+    counted = F.zip_with("starts", ends, lambda a, b: F.struct(F.get("sorted", a).alias("term"), (b - a).cast("long").alias("n")))
+    # Each step stands in a variable, so that it is computed once per row.
+    rows = tokens.where(F.size("tokens") > 0).select("id", in_order.alias("sorted"))
+    rows = rows.withColumn("starts", starts).select("id", F.inline(counted))
+    return rows.join(vocabulary.select("term"), "term").select("id", "term", "n")
+
+
 def flat_bags_of_words(bags: DataFrame) -> DataFrame:
     """``(id, term_id, n)`` from sparse vectors, without a shuffle; other columns are kept."""
     vector = F.unwrap_udt("features")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ COMMON_SHARE = 0.2
 # Similarities are rounded before they are compared with a percentile of themselves, so
 # that the order in which a cluster adds numbers up cannot move a cell across the bound.
 SIMILARITY_DIGITS = 12
-TASKS_PER_CORE = 4
+# Partial matrices are added up in this many groups first.
+PARTIAL_GROUPS = 64
 
 
 def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_PROB) -> DataFrame:
@@ -28,11 +30,13 @@ def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_P
 
     ``dot`` is the sum of products and ``both`` the number of rows above ``threshold`` in
     both topics. Each task multiplies its rows as matrices and emits one row per pair of
-    topics, however many articles it reads, so little is shuffled and no key is hot.
+    topics, however many articles it reads. The rows of a pair, one per task, are added up
+    in groups and then over the groups.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dots, both = None, None
+        group = TaskContext.get().partitionId() % PARTIAL_GROUPS
         for batch in batches:
             rows = batch.num_rows
             if rows == 0:
@@ -52,20 +56,20 @@ def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_P
                     pa.array(j.astype(np.int32)),
                     pa.array(dots[i, j]),
                     pa.array(both[i, j].astype(np.int64)),
+                    pa.array(np.full(len(i), group, dtype=np.int32)),
                 ],
-                names=["i", "j", "dot", "both"],
+                names=["i", "j", "dot", "both", "part"],
             )
 
-    # One partial matrix per task: a few tasks per core are enough of them. Coalescing moves
-    # no rows, and does nothing to an input with fewer partitions.
-    tasks = TASKS_PER_CORE * vectors.sparkSession.sparkContext.defaultParallelism
+    sums = [F.sum("dot").alias("dot"), F.sum("both").alias("both")]
     return (
         vectors.select(column)
         .where(F.col(column).isNotNull())
-        .coalesce(tasks)
-        .mapInArrow(partial, "i int, j int, dot double, both bigint")
+        .mapInArrow(partial, "i int, j int, dot double, both bigint, part int")
+        .groupBy("i", "j", "part")
+        .agg(*sums)
         .groupBy("i", "j")
-        .agg(F.sum("dot").alias("dot"), F.sum("both").alias("both"))
+        .agg(*sums)
     )
 
 
@@ -211,11 +215,11 @@ def standalone_topics(
 
 
 def threshold_matrix(matrix: DataFrame, threshold_percentile: float | None) -> DataFrame:
-    """Cells at or below the percentile become zero; no percentile, no change."""
+    """Cells at or below the percentile, and NULL ones, become zero; no percentile, no change."""
     if not threshold_percentile:
         return matrix
-    low = F.col("sim") <= _threshold(matrix, threshold_percentile)
-    return matrix.withColumn("sim", F.when(low, 0.0).otherwise(F.col("sim")))
+    high = F.col("sim") > _threshold(matrix, threshold_percentile)
+    return matrix.withColumn("sim", F.when(high, F.col("sim")).otherwise(0.0))
 
 
 def heat_map(

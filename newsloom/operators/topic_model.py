@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -11,9 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.sizing import require_small
 from newsloom.functions.staging import path_exists, shared_dir, stage
 from newsloom.operators.articles import top_rows_per
-from newsloom.operators.features import apply_phrases, tokenise, vocabulary_terms
+from newsloom.operators.features import apply_phrases, lemmatise, tokenise, vocabulary_terms
 
 MIN_PROB = 0.1
 TOP_WORDS = 10
@@ -21,40 +23,80 @@ TOP_WORDS = 10
 
 @dataclass
 class TopicModel:
-    """A vocabulary, an LDA model over it and the phrases its tokens were merged with."""
+    """A vocabulary and an LDA model over it, with the lemmas and phrases its tokens were made with.
+
+    Both tables are looked up inside the row, on tables and streams alike, so their sizes are
+    checked when the model is made.
+    """
 
     vectoriser: CountVectorizerModel
     lda: LDAModel
     phrases: DataFrame | None = None
+    lemmas: DataFrame | None = None
+
+    def __post_init__(self) -> None:
+        if self.phrases is not None:
+            require_small(self.phrases.select("w1", "w2"), "the phrase set of a model")
+        if self.lemmas is not None:
+            require_small(self.lemmas.select("form", "lemma"), "the lemma table of a model")
 
     @property
     def num_topics(self) -> int:
         return self.lda.getK()
 
+    def prepare(self, texts: DataFrame) -> DataFrame:
+        """Tokens of ``(id, text)`` as the training texts had them, before phrases are merged."""
+        tokens = tokenise(texts)
+        return tokens if self.lemmas is None else lemmatise(tokens, self.lemmas)
+
     def save(self, path: str) -> None:
-        self.vectoriser.write().overwrite().save(f"{path}/vectoriser")
-        self.lda.write().overwrite().save(f"{path}/lda")
-        if self.phrases is not None:
-            self.phrases.write.mode("overwrite").parquet(f"{path}/phrases")
+        """Write all parts to a new folder and list it last, so that an older model under the same
+        path stays whole until then and none of its parts is mixed in."""
+        spark = SparkSession.getActiveSession()
+        versions = f"{path}/versions"
+        number = _last_version(spark, path)
+        name = f"model-{uuid.uuid4().hex}"
+        folder = f"{path}/{name}"
+        self.vectoriser.write().save(f"{folder}/vectoriser")
+        self.lda.write().save(f"{folder}/lda")
+        for part in ("phrases", "lemmas"):
+            if (table := getattr(self, part)) is not None:
+                table.write.parquet(f"{folder}/{part}")
+        row = (number + 1, name, self.phrases is not None, self.lemmas is not None)
+        spark.createDataFrame([row], VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(versions)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
-        phrases = f"{path}/phrases"
+        version = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").orderBy(F.desc("number")).first()
+        folder = f"{path}/{version['folder']}"
         return cls(
-            CountVectorizerModel.load(f"{path}/vectoriser"),
-            LocalLDAModel.load(f"{path}/lda"),
-            spark.read.parquet(phrases) if path_exists(spark, phrases) else None,
+            CountVectorizerModel.load(f"{folder}/vectoriser"),
+            LocalLDAModel.load(f"{folder}/lda"),
+            spark.read.parquet(f"{folder}/phrases") if version["has_phrases"] else None,
+            spark.read.parquet(f"{folder}/lemmas") if version["has_lemmas"] else None,
         )
 
 
+VERSION_SCHEMA = "number long, folder string, has_phrases boolean, has_lemmas boolean"
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    if not path_exists(spark, f"{path}/versions"):
+        return 0
+    return spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+
+
 def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **params) -> LDAModel:
     """LDA over ``features``; other parameters of the estimator are passed through.
 
     Every iteration reads the bags, so they are written once and cached over that copy: an
     executor that is lost costs a re-read. ``online`` is variational Bayes on mini batches,
-    ``em`` keeps every document in each step.
+    ``em`` keeps every document in each step. A batch is drawn with replacement; by default
+    it is as large as the collection, so that after n iterations a share of e**-n of the
+    documents has not been drawn. A lower ``subsamplingRate`` r leaves e**-(r n).
     """
     spark = bags.sparkSession
+    params.setdefault("subsamplingRate", 1.0)
     shared_dir(spark)  # where 'em' puts its checkpoints
     # A document without known terms says nothing about the topics.
     known = F.size(F.unwrap_udt("features")["values"]) > 0
@@ -67,7 +109,7 @@ def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **par
 
 
 def infer_topics(model: TopicModel, tokens: DataFrame) -> DataFrame:
-    """``(id, shares, has_terms)``: one share per topic, adding up to 1.
+    """``(id, shares, has_terms)`` of prepared tokens: one share per topic, adding up to 1.
 
     Row by row, so it needs no shuffle and runs on streams. A document without any known
     term is kept, with zeros and ``has_terms`` false. Other columns are kept too.
@@ -116,8 +158,7 @@ def topic_words(model: TopicModel, spark: SparkSession, normalised: bool = False
         F.col("topic").alias("topic_id"),
         F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))),
     )
-    # The vocabulary is limited when it is built, so it is small on every cluster.
-    joined = weights.join(F.broadcast(vocabulary), "term_id").select("topic_id", "term_id", "term", "weight")
+    joined = weights.join(vocabulary, "term_id").select("topic_id", "term_id", "term", "weight")
     return normalise_topic_words(joined) if normalised else joined
 
 
@@ -165,7 +206,7 @@ def article_topics(vectors: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
 
 def tag_texts(model: TopicModel, texts: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
     """Topics of unseen ``(id, text)``, prepared exactly as the training texts were."""
-    return article_topics(infer_topics(model, tokenise(texts)), min_prob)
+    return article_topics(infer_topics(model, model.prepare(texts)), min_prob)
 
 
 def with_labels(tagged: DataFrame, labels: DataFrame) -> DataFrame:

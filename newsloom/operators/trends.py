@@ -40,25 +40,37 @@ def topic_trends(
     topic_ids: int | list[int] | None = None,
     min_prob: float = MIN_PROB,
     window_size: int | None = TREND_WINDOW,
+    doc_topics: DataFrame | None = None,
 ) -> DataFrame:
     """``(topic_id, created_date, value, rolling)``: share sums per day, with a rolling mean.
 
-    Only shares above ``min_prob`` count, and days without such articles have no row. Each
-    article is joined to its date as one row that holds its few topics.
+    Only shares above ``min_prob`` count, and days without such articles have no row. Given
+    topics are read from ``doc_topics(id, topic_id, prob)`` if that is at hand, where both
+    filters reach the scan; all topics come from the vectors. Articles without a wanted share
+    are dropped before the join with the dates, the others are joined as one row each.
     """
+    if topic_ids is not None and doc_topics is not None:
+        chosen = [topic_ids] if isinstance(topic_ids, int) else list(topic_ids)
+        hits = doc_topics.where(F.col("topic_id").isin(chosen) & (F.col("prob") > min_prob))
+        dated = hits.select("id", "topic_id", "prob").join(posts.select("id", "created_date"), "id")
+        return _rolling(dated, window_size)
     topics = F.transform("shares", lambda share, topic: F.struct(topic.alias("topic_id"), share.alias("prob")))
     wanted = F.filter(topics, lambda t: t["prob"] > min_prob)
     if topic_ids is not None:
         chosen = [topic_ids] if isinstance(topic_ids, int) else list(topic_ids)
         wanted = F.filter(wanted, lambda t: t["topic_id"].isin(chosen))
-    daily = (
+    dated = (
         vectors.select("id", wanted.alias("topics"))
+        .where(F.size("topics") > 0)
         .join(posts.select("id", "created_date"), "id")
         .select("created_date", F.inline_outer("topics"))
         .where("topic_id is not null")
-        .groupBy("topic_id", "created_date")
-        .agg(F.sum("prob").alias("value"))
     )
+    return _rolling(dated, window_size)
+
+
+def _rolling(dated: DataFrame, window_size: int | None) -> DataFrame:
+    daily = dated.groupBy("topic_id", "created_date").agg(F.sum("prob").alias("value"))
     if window_size is None:
         return daily.withColumn("rolling", F.lit(None).cast("double"))
     return daily.withColumn("rolling", centred_mean("value", ["topic_id"], "created_date", window_size))
@@ -92,11 +104,15 @@ def ids_by_time(posts: DataFrame, texts: DataFrame, max_count: int | None = None
     return ordered if max_count is None else ordered.limit(max_count)
 
 
-def by_time(table: DataFrame, posts: DataFrame) -> DataFrame:
+def by_time(table: DataFrame, posts: DataFrame, max_count: int | None = None) -> DataFrame:
     """Rows of ``table`` (tokens or bags of words) with their date and the number of their month.
 
-    Months are numbered from 0 in a table with one row per month.
+    Months are numbered from 0 in a table with one row per month. ``max_count`` takes the
+    first rows in the order of time; only their ids are sorted.
     """
+    if max_count is not None:
+        first = ids_by_time(posts, table, max_count)
+        table = table.join(first.select("id"), "id", "left_semi")
     dated = table.join(posts.select("id", "created_at"), "id").withColumn("month", month_of(F.col("created_at")))
     months = posts.join(table.select("id"), "id", "left_semi").select(month_of(F.col("created_at")).alias("month"))
     numbered = months.distinct().withColumn("slice", F.row_number().over(W.orderBy("month")) - 1)

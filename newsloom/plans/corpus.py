@@ -7,12 +7,10 @@ from functools import cached_property
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 
-from newsloom.functions.staging import stage
 from newsloom.operators import articles as A
 from newsloom.operators import features as C
 from newsloom.operators import trends as T
 from newsloom.operators.topic_model import TopicModel, train_lda
-from newsloom.sources.articles import clustered_by_id
 from newsloom.sources.tokens import materialise_tokens
 
 
@@ -47,10 +45,7 @@ class ArticleCorpus:
 
     def _tokenised(self, texts: DataFrame) -> DataFrame:
         tokens = C.tokenise(texts)
-        if self.lemmas is None:
-            return tokens
-        # Looking lemmas up shuffles the words, and the order by id is lost.
-        return clustered_by_id(stage(C.lemmatise(tokens, self.lemmas), "lemmas"))
+        return tokens if self.lemmas is None else C.lemmatise(tokens, self.lemmas)
 
     def plain_tokens(self) -> DataFrame:
         if self.tokens_path is None:
@@ -104,13 +99,14 @@ class ArticleCorpus:
     def ids_by_time(self, max_count: int | None = None) -> DataFrame:
         return T.ids_by_time(self.posts, self.texts, max_count)
 
-    def tokens_by_time(self) -> DataFrame:
-        return T.by_time(self.tokens(), self.posts)
+    def tokens_by_time(self, max_count: int | None = None) -> DataFrame:
+        """Of the first ``max_count`` articles in the order of time, or all."""
+        return T.by_time(self.tokens(), self.posts, max_count)
 
-    def bags_by_time(self) -> DataFrame:
-        return T.by_time(self.bags_of_words(), self.posts)
+    def bags_by_time(self, max_count: int | None = None) -> DataFrame:
+        return T.by_time(self.bags_of_words(), self.posts, max_count)
 
     def train(self, num_topics: int, optimizer: str = "online", **params) -> TopicModel:
         """``optimizer='em'`` stands in for training by Gibbs sampling."""
         lda = train_lda(self.bags_of_words(), num_topics, optimizer, **params)
-        return TopicModel(self.vectoriser, lda, self.phrases)
+        return TopicModel(self.vectoriser, lda, self.phrases, self.lemmas)

@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.sizing import broadcast_if_small
 from newsloom.functions.staging import path_exists
 from newsloom.operators.articles import long_enough, not_done
 from newsloom.sources.articles import append_ids, read_manifest, read_work_list
@@ -40,7 +39,7 @@ def ingest_pages(
     spark = pages.sparkSession
     started = time.monotonic()
     todo = not_done(work, read_manifest(spark, manifest_path))
-    wanted = broadcast_if_small(todo.select(F.col("id").alias("page_id")))
+    wanted = todo.select(F.col("id").alias("page_id"))
     fetched = pages.join(wanted, "page_id", "left_semi")
     articles = long_enough(extract_articles(fetched), min_article_length)
     observed, observation = article_metrics(articles.select("id", "title", "text"), f"ingest-{uuid.uuid4().hex}")

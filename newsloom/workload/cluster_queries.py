@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import clustering as H
 from newsloom.operators import ranking as R
 from newsloom.operators import topic_model as E
+from newsloom.operators.similarity import METRICS
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.similarity_queries import percentile, rounded, similarities, thresholded, zeroed
@@ -80,10 +81,29 @@ def selected_similarities(t):
     return rounded(H.selected_similarities(similarities(t), _excluded(t)))
 
 
-@query("h2_spectral_clusters")
+# Nations as topics, similar within their region: each cluster is a region, named by its first nation.
+REGIONS_SQL = """SELECT CAST(n_nationkey AS INTEGER) AS topic_id, {columns}
+    CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS INTEGER) AS first_topic FROM nation"""
+
+
+def _region_similarities(t):
+    """``(i, j)`` and every metric: 0.8 within a region and 0 elsewhere; a cell per pair of nations."""
+    nations = t.read("nation").select(F.col("n_nationkey").cast("int").alias("i"), F.col("n_regionkey").alias("region_i"))
+    others = nations.select(F.col("i").alias("j"), F.col("region_i").alias("region_j"))
+    sim = F.when(F.col("i") == F.col("j"), 0.0).when(F.col("region_i") == F.col("region_j"), 0.8).otherwise(0.0)
+    cells = nations.crossJoin(F.broadcast(others)).withColumn("sim", sim)
+    return cells.select("i", "j", *[F.col("sim").alias(metric) for metric in METRICS])
+
+
+def _named_by_first(clusters):
+    first = clusters.groupBy("cluster").agg(F.min("topic_id").alias("first_topic"))
+    return clusters.join(first, "cluster").drop("cluster")
+
+
+@query("h2_spectral_clusters", REGIONS_SQL.format(columns=""))
 def spectral_clusters(t):
-    sims = similarities(t)
-    return H.spectral_clusters(H.selected_similarities(sims, _excluded(t)), n_clusters=3)
+    matrix = _region_similarities(t).select("i", "j", F.col("word_doc_sim").alias("sim"))
+    return _named_by_first(H.spectral_clusters(matrix, n_clusters=5))
 
 
 @query(
@@ -103,10 +123,11 @@ def clustered_kinds(t):
     return clusters.select("topic_id", "kind", F.col("cluster").isNotNull().alias("has_cluster"))
 
 
-@query("h2_cluster_topics")
+@query("h2_cluster_topics", REGIONS_SQL.format(columns="'cluster' AS kind, CAST(1.0 AS DOUBLE) / 1.0 * 0.8 AS silhouette,"))
 def cluster_topics(t):
-    sims = similarities(t)
-    return H.cluster_topics(sims, NUM_TOPICS, n_clusters=3, exclude_common=True, exclude_standalone=True)
+    """Within a region the distance is 0.2, to the others 1."""
+    clusters = H.cluster_topics(_region_similarities(t), 25, n_clusters=5, threshold_percentile=None)
+    return _named_by_first(clusters).withColumn("silhouette", F.round("silhouette", 9))
 
 
 @query(

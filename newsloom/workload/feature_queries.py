@@ -96,9 +96,21 @@ def vocabulary(t):
     sql("SELECT id, term, count(*) AS n FROM words JOIN vocabulary USING (term) GROUP BY ALL", "words", "vocabulary"),
 )
 def bags_of_words(t):
+    """Counted in the row and joined with the vocabulary as a table, whatever its size."""
+    corpus = ArticleCorpus(t.texts, tokens_path=scratch_path(t.spark, "tokens"))
+    tokens = corpus.tokens()
+    return C.count_terms(tokens, C.build_vocabulary(tokens))
+
+
+@query(
+    "c7_vectors",
+    sql("SELECT id, term, count(*) AS n FROM words JOIN vocabulary USING (term) GROUP BY ALL", "words", "vocabulary"),
+)
+def vectors_of_words(t):
+    """The sparse vectors that a model is trained on, spelled out."""
     corpus = ArticleCorpus(t.texts, tokens_path=scratch_path(t.spark, "tokens"))
     flat = C.flat_bags_of_words(corpus.bags_of_words())
-    return flat.join(F.broadcast(corpus.vocabulary()), "term_id").select("id", "term", "n")
+    return flat.join(corpus.vocabulary(), "term_id").select("id", "term", "n")
 
 
 INDEX_SQL = """SELECT DISTINCT token, id FROM (

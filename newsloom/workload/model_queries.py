@@ -3,9 +3,11 @@ must hold for any model: one share per topic adding up to 1, all articles, all t
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.functions.staging import scratch_path
+from newsloom.operators import features as C
 from newsloom.operators import topic_model as E
 from newsloom.operators.features import tokenise
 from newsloom.plans import ArticleCorpus, TopicExplorer
@@ -16,7 +18,7 @@ from newsloom.workload.registry import query
 from newsloom.workload.source_queries import PAGES_SQL
 from newsloom.workload.tables import NUM_TOPICS
 
-ONLINE = {"maxIter": 10, "subsamplingRate": 0.2, "docConcentration": [0.1], "seed": 7}
+ONLINE = {"maxIter": 10, "docConcentration": [0.1], "seed": 7}
 EM = {"maxIter": 5, "seed": 7}
 
 _corpora: dict[tuple[str, str], ArticleCorpus] = {}
@@ -62,19 +64,55 @@ def share_sums(found):
     return found.select("id", "has_terms", F.size("shares").alias("n_topics"), F.round(total, 6).alias("total"))
 
 
-@query("e1_train_online")
+# What holds for the ten heaviest words of every topic of a model.
+TRAINED_SQL = """SELECT topic_id, CAST(10 AS BIGINT) AS n_words, CAST(10 AS BIGINT) AS n_terms, true AS is_falling,
+    true AS is_positive, (SELECT count(*) FROM vocabulary) AS n_weights FROM topics"""
+
+
+def trained(t, optimizer: str):
+    """Distinct words of the vocabulary in falling, positive weight, and a weight for every term."""
+    words = E.topic_words(model(t, optimizer), t.spark)
+    weights = words.groupBy("topic_id").agg(F.count_distinct("term").alias("n_weights"))
+    listed = E.top_words(words).select("topic_id", F.posexplode("words").alias("pos", "term"))
+    vocabulary = C.build_vocabulary(C.tokenise(t.texts)).select("term", F.lit(1).alias("known"))
+    found = listed.join(words.select("topic_id", "term", "weight"), ["topic_id", "term"]).join(vocabulary, "term", "left")
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "weight")))
+    falling = F.array_sort(F.col("ranked.weight"), lambda a, b: F.signum(b - a).cast("int")) == F.col("ranked.weight")
+    return (
+        found.groupBy("topic_id")
+        .agg(in_order.alias("ranked"), F.count_distinct("term").alias("n_words"), F.count("known").alias("n_terms"), F.min("weight").alias("least"))
+        .join(weights, "topic_id")
+        .select("topic_id", "n_words", "n_terms", falling.alias("is_falling"), (F.col("least") > 0).alias("is_positive"), "n_weights")
+    )
+
+
+@query("e1_train_online", sql(TRAINED_SQL, "topics", "vocabulary"))
 def train_online(t):
-    return E.top_words(E.topic_words(model(t), t.spark)).select("topic_id", "label")
+    return trained(t, "online")
 
 
-@query("e2_train_em")
+@query("e2_train_em", sql(TRAINED_SQL, "topics", "vocabulary"))
 def train_em(t):
-    return E.top_words(E.topic_words(model(t, "em"), t.spark)).select("topic_id", "label")
+    return trained(t, "em")
 
 
-@query("e3_infer_topics")
+INFERRED_SQL = """SELECT t.id, k.known IS NOT NULL AS has_terms, CAST(10 AS BIGINT) AS n_topics, true AS is_share,
+    true AS adds_up FROM texts t LEFT JOIN (SELECT DISTINCT id, true AS known FROM words JOIN vocabulary USING (term)) k
+    ON k.id = t.id"""
+
+
+@query("e3_infer_topics", sql(INFERRED_SQL, "texts", "words", "vocabulary"))
 def infer_topics(t):
-    return E.long_topics(vectors(t))
+    """One share per topic and article, between 0 and 1, adding up to 1 where a term is known."""
+    found = vectors(t)
+    total = F.when(F.col("has_terms"), 1.0).otherwise(0.0)
+    return (
+        E.long_topics(found)
+        .groupBy("id")
+        .agg(F.count_distinct("topic_id").alias("n_topics"), F.every(F.col("prob").between(0.0, 1.0)).alias("is_share"), F.sum("prob").alias("total"))
+        .join(found.select("id", "has_terms", total.alias("wanted")), "id")
+        .select("id", "has_terms", "n_topics", "is_share", (F.abs(F.col("total") - F.col("wanted")) < 1e-6).alias("adds_up"))
+    )
 
 
 @query("e3_share_sums", sql(SHARE_SUMS_SQL, "texts", "words", "vocabulary"))
@@ -132,26 +170,81 @@ def page_share_sums(t):
     return share_sums(E.infer_topics(model(t), tokenise(extract_articles(t.pages).select("id", "text"))))
 
 
-@query("e6_tag_texts")
+# Texts with a known term; ten shares that add up to 1 are not all at the bound, so each has a topic.
+TAGGED_SQL = r"""SELECT DISTINCT id, true AS is_dense, true AS is_inferred{more} FROM (SELECT id, len(list_intersect(
+    regexp_extract_all(lower(text), '\p{{L}}+'), (SELECT list(term) FROM vocabulary))) > 0 AS known FROM ({source}))
+    WHERE known"""
+PAGE_TEXTS_SQL = f"SELECT id, text FROM ({PAGES_SQL}) WHERE length(text) > 0"
+
+
+def tagged_sql(source: str, more: str = "") -> str:
+    return sql(TAGGED_SQL.format(source=source, more=more), "vocabulary")
+
+
+def check_tags(tags, shares, *flags):
+    """Per text: are its ranks 1, 2, ... and its topics those of its shares above the bound, best first?"""
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "topic_id", "prob")))
+    found = tags.groupBy("id").agg(ranked.alias("found"), *flags)
+    above = E.long_topics(shares).where(F.col("prob") > E.MIN_PROB)
+    wanted = above.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("prob")).alias("order"), "topic_id"))).alias("wanted"))
+    same = (F.col("found.topic_id") == F.col("wanted.topic_id")) & (F.transform("found.prob", lambda p: -p) == F.col("wanted.order"))
+    dense = F.col("found.rank") == F.sequence(F.lit(1), F.size("found"))
+    names = [name for name in found.columns if name not in ("id", "found")]
+    joined = found.join(wanted, "id", "left")
+    return joined.select("id", dense.alias("is_dense"), F.coalesce(same, F.lit(False)).alias("is_inferred"), *names)
+
+
+def _page_texts(t):
+    return extract_articles(t.pages).select("id", "text")
+
+
+@query("e6_tag_texts", tagged_sql(TURNS_SQL))
 def tag_texts(t):
-    return E.tag_texts(model(t), _turns(t))
+    return check_tags(E.tag_texts(model(t), _turns(t)), E.infer_topics(model(t), tokenise(_turns(t))))
 
 
-@query("e7_tag_pages")
+@query("e7_tag_pages", tagged_sql(PAGE_TEXTS_SQL))
 def tag_pages(t):
-    return E.tag_texts(model(t), extract_articles(t.pages).select("id", "text"))
+    return check_tags(E.tag_texts(model(t), _page_texts(t)), E.infer_topics(model(t), tokenise(_page_texts(t))))
 
 
-@query("f8_show_text_topics")
-def show_text_topics(t):
+def _with_checked_labels(t, texts):
+    """The label of each topic is that of the model's heaviest words."""
     labels = E.top_words(E.topic_words(model(t), t.spark)).select("topic_id", "label")
-    return E.with_labels(E.tag_texts(model(t), _turns(t)), labels)
+    shown = E.with_labels(E.tag_texts(model(t), texts), labels).withColumnRenamed("label", "shown")
+    right = F.every(F.col("shown") == F.col("label")).alias("is_labelled")
+    return check_tags(shown.join(labels, "topic_id"), E.infer_topics(model(t), tokenise(texts)), right)
+
+
+@query("f8_show_text_topics", tagged_sql(TURNS_SQL, ", true AS is_labelled"))
+def show_text_topics(t):
+    return _with_checked_labels(t, _turns(t))
 
 
-@query("f8_show_page_topics")
+@query("f8_show_page_topics", tagged_sql(PAGE_TEXTS_SQL, ", true AS is_labelled"))
 def show_page_topics(t):
-    labels = E.top_words(E.topic_words(model(t), t.spark)).select("topic_id", "label")
-    return E.with_labels(E.tag_texts(model(t), extract_articles(t.pages).select("id", "text")), labels)
+    return _with_checked_labels(t, _page_texts(t))
+
+
+LEMMA_SQL = r"""SELECT w.id, count(*) AS n_tokens, md5(string_agg(coalesce(l.lemma, w.term), ' ' ORDER BY w.pos)) AS digest
+    FROM (SELECT id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM (
+        SELECT id, regexp_extract_all(lower(text), '\p{L}+') AS tokens FROM (%s))) w
+    LEFT JOIN (%s) l ON l.form = w.term GROUP BY w.id"""
+# A rule that makes a lemma table from the words at hand: longer words lose their last letter.
+LEMMAS_SQL = r"""SELECT DISTINCT form, left(form, length(form) - 1) AS lemma FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS form FROM conversations) WHERE length(form) > 4"""
+
+
+@query("e6_lemmatised_texts", LEMMA_SQL % (TURNS_SQL, LEMMAS_SQL))
+def lemmatised_texts(t):
+    """Unseen texts are prepared with the lemmas of the model, here all the words they may need."""
+    words = tokenise(_turns(t)).select(F.explode("tokens").alias("form")).where(F.length("form") > 4).distinct()
+    lemmas = words.select("form", F.expr("left(form, length(form) - 1)").alias("lemma"))
+    own = model(t)
+    prepared = E.TopicModel(own.vectoriser, own.lda, lemmas=lemmas).prepare(_turns(t)).where(F.size("tokens") > 0)
+    return prepared.select(
+        "id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest")
+    )
 
 
 @query("e5_stored_by_article", sql("SELECT id, topic_id, prob FROM doc_topics", "doc_topics"))
@@ -183,10 +276,27 @@ def model_round_trip(t):
     return share_sums(E.infer_topics(loaded, corpus(t).tokens()))
 
 
-@query("a10_explorer_from_model")
+@query(
+    "a10_explorer_from_model",
+    sql("SELECT topic_id, true AS is_ranked, true AS is_score, true AS is_labelled FROM topics", "topics"),
+)
 def explorer_from_model(t):
-    explorer = TopicExplorer.from_model(corpus(t), model(t), scratch_path(t.spark, "explorer"))
-    return explorer.topics_table().select("rank", "topic_id", "score", "label")
+    """Ranks, scores and labels against the built-in percentile over the stored shares."""
+    path = scratch_path(t.spark, "explorer")
+    explorer = TopicExplorer.from_model(corpus(t), model(t), path)
+    shown = explorer.topics_table().select("rank", "topic_id", "score", "label")
+    shares = t.spark.read.parquet(f"{path}/by_article").select(F.posexplode("shares").alias("topic_id", "prob"))
+    medians = shares.groupBy("topic_id").agg(F.expr("percentile(prob, 0.5) FILTER (WHERE prob >= 0.1)").alias("median"))
+    place = F.row_number().over(W.orderBy(F.desc_nulls_last("median"), "topic_id"))
+    labels = E.top_words(E.topic_words(model(t), t.spark)).select("topic_id", F.col("label").alias("wanted"))
+    joined = shown.join(medians.withColumn("place", place), "topic_id").join(labels, "topic_id")
+    close = F.coalesce(F.abs(F.col("score") - F.col("median")) < 1e-9, F.col("score").isNull() & F.col("median").isNull())
+    return joined.select(
+        "topic_id",
+        (F.col("rank") == F.col("place")).alias("is_ranked"),
+        close.alias("is_score"),
+        (F.col("label") == F.col("wanted")).alias("is_labelled"),
+    )
 
 
 def _streamed(t):
@@ -199,9 +309,10 @@ def _streamed(t):
     return t.spark.read.schema(tagged.schema).parquet(tags)
 
 
-@query("l1_tag_stream")
+@query("l1_tag_stream", tagged_sql("SELECT doc_id AS id, text FROM documents"))
 def tagged_stream(t):
-    return _streamed(t)
+    """Each streamed article has the topics that inference on the table gives it."""
+    return check_tags(_streamed(t), vectors(t))
 
 
 @query("l1_stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS n_different")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.sizing import spread_small_input
 from newsloom.sources.posts import with_created_date
 from newsloom.workload import rule_topics
 
@@ -22,12 +21,11 @@ class Tables:
 
     @property
     def texts(self) -> DataFrame:
-        texts = self.read("documents").select(F.col("doc_id").alias("id"), "text")
-        return spread_small_input(texts, "id")
+        return self.read("documents").select(F.col("doc_id").alias("id"), "text")
 
     @property
     def pages(self) -> DataFrame:
-        return spread_small_input(self.read("pages"), "page_id")
+        return self.read("pages")
 
     @property
     def dates(self) -> DataFrame:

@@ -151,7 +151,7 @@ def tokens_by_time(t):
 def bags_by_time(t):
     corpus = ArticleCorpus(t.texts, t.dates, tokens_path=scratch_path(t.spark, "tokens"))
     flat = flat_bags_of_words(corpus.bags_by_time())
-    return flat.join(F.broadcast(corpus.vocabulary()), "term_id").select("id", "slice", "term", "n")
+    return flat.join(corpus.vocabulary(), "term_id").select("id", "slice", "term", "n")
 
 
 @query("t9_topic_shares", sql("SELECT id, topic_id, prob FROM doc_topics WHERE prob > 0.05", "doc_topics"))
