@@ -24,14 +24,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsloom.functions.staging import stage
-from newsloom.llm.text import LOWER, batch_bytes, hash_spans, mix, word_bounds
+from newsloom.llm.text import LOWER, batch_bytes, hash_spans, mix, pieces, word_bounds
 
 WORD_BUCKETS = 1 << 16
 SHAPE_BUCKETS = 1 << 12
@@ -45,6 +43,8 @@ PRIOR = 10.0
 LEAST_LOG_WEIGHT = -2.0
 SEED = 1
 BINS = 4096
+# Texts whose features are held at once.
+PIECE_BYTES = 4 << 20
 
 KINDS = np.arange(256, dtype=np.uint8)
 KINDS[ord("a") : ord("z") + 1] = ord("a")
@@ -80,6 +80,11 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(numbers), np.concatenate([rows] * 3)
 
 
+def _log_weights(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
+    numbers, rows = features(texts)
+    return np.bincount(rows, weights=ratios[numbers], minlength=len(texts))
+
+
 def target_ids(labels: DataFrame, max_targets: int = MAX_TARGETS) -> np.ndarray:
     """Ids of at most ``max_targets`` good documents: quality 1 and not toxic."""
     good = labels.where("quality = 1 and not coalesce(toxic, 0) = 1 and doc_id is not null").select(
@@ -103,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_targets: int = MAX_TARGETS) -> n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = np.zeros(STARTS[-1], dtype=np.int64)
         target = np.zeros(STARTS[-1], dtype=np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1, PIECE_BYTES):
             numbers, rows = features(batch.column(1))
             ids = batch.column(0).fill_null(-1).to_numpy()
             is_target = np.isin(ids, targets.value) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
@@ -146,9 +151,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers, rows = features(batch.column(1))
-            weights = np.bincount(rows, weights=sent.value[numbers], minlength=batch.num_rows)
+        for batch in pieces(batches, 1, PIECE_BYTES):
+            weights = _log_weights(batch.column(1), sent.value)
             keys = weights + gumbel(batch.column(0).fill_null(-1).to_numpy(), seed)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(weights), pa.array(keys)], names=["doc_id", "log_weight", "key"]
@@ -211,11 +215,12 @@ def select(docs: DataFrame, labels: DataFrame, k: int | None = None, max_targets
     weighed, least = _sample(docs, ratios, k, seed)
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
-    @F.pandas_udf(T.BooleanType())
-    def is_kept(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        numbers, rows = features(pa.array(texts, pa.binary()))
-        weights = np.bincount(rows, weights=sent.value[numbers], minlength=len(ids))
-        return pd.Series(weights + gumbel(ids.to_numpy(), seed) >= least)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, names.index("text"), PIECE_BYTES):
+            ids = batch.column(names.index("doc_id")).cast(pa.int64()).fill_null(-1).to_numpy()
+            keys = _log_weights(batch.column(names.index("text")), sent.value) + gumbel(ids, seed)
+            yield batch.filter(pa.array(keys >= least))
 
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    return docs.where(is_kept(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text))
+    return docs.mapInArrow(keep, docs.schema)
