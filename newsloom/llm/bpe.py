@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHORT = 64
-CACHE = 1 << 19
-GROUP = 1 << 22
+CACHE = 1 << 18
+GROUP = 1 << 21
 MAX_FILE = 64 << 20
 ID_SPAN = 1 << 31
 NO_RANK = 1 << 60
