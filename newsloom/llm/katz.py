@@ -52,13 +52,23 @@ LOW_48 = np.uint64((1 << 48) - 1)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    data = pickle.dumps(arrays, protocol=5)
+    """Arrays as compressed bytes; the first bytes of all numbers, then the second ones, and so on."""
+    heads = [(x.dtype.str, x.shape) for x in arrays]
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(x.size, -1).T.tobytes() if x.size else b"" for x in arrays]
+    data = pickle.dumps((heads, b"".join(planes)), protocol=5)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(data: bytes) -> list[np.ndarray]:
     size = int.from_bytes(data[:8], "little")
-    return pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True))
+    heads, planes = pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True))
+    out, at = [], 0
+    for kind, shape in heads:
+        width, n = np.dtype(kind).itemsize, math.prod(shape)
+        part = np.frombuffer(planes, np.uint8, n * width, at).reshape(width, n).T
+        out.append(np.ascontiguousarray(part).view(kind).reshape(shape))
+        at += n * width
+    return out
 
 
 @dataclass
@@ -140,7 +150,9 @@ def _requests(number: int, keys: Keys, lower: np.ndarray, partitions: int) -> It
             lengths = np.diff(np.append(starts, b - a)).astype(np.uint32)
             # Within a context 48 bits tell words apart.
             word = (keys.word[a:b] & LOW_48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
-            packed = _pack(keys.context[a:b][starts], keys.spread[a:b][starts], lengths, word, keys.count[a:b].astype(np.uint32), lower[a:b])
+            values, which = np.unique(lower[a:b], return_inverse=True)
+            count = keys.count[a:b].astype(np.uint32)
+            packed = _pack(keys.context[a:b][starts], keys.spread[a:b][starts], lengths, word, count, values, which.astype(np.uint32))
             yield p, (number, packed)
 
 
@@ -163,13 +175,14 @@ class Table:
     def merge(items: Iterable[tuple[int, tuple[int, bytes]]]) -> Table | None:
         numbers, parts = [], []
         for _, (number, data) in items:
+            *part, values, which = _unpack(data)
             numbers.append(number)
-            parts.append(_unpack(data))
+            parts.append((*part, values[which]))
         if not numbers:
             return None
         starts, wide, lengths, word, count, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
         context = np.repeat(starts, lengths)
-        word = np.pad(word, ((0, 0), (0, 2))).view("<u8").ravel()
+        word = np.ascontiguousarray(np.pad(word, ((0, 0), (0, 2)))).view("<u8").ravel()
         _, first, of_request = np.unique(mix(context ^ mix(word, 36), 37), return_index=True, return_inverse=True)
         counts = np.bincount(of_request, weights=count, minlength=len(first)).astype(np.int64)
         contexts, of_context = np.unique(starts, return_inverse=True)
@@ -293,7 +306,15 @@ def _runs_of(keys: Keys) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], new)))
 
 
-def _blocks(docs: DataFrame):
+def _with_held_out(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, held_out)``."""
+    doc_id = F.col("doc_id").cast("long")
+    remainder = F.crc32(doc_id.cast("string").cast("binary")) % 10
+    held_out = F.coalesce(remainder, F.lit(0)) == 0
+    return docs.select(doc_id.alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
+
+
+def _blocks(rows: DataFrame):
     """Pairs of a block number and a packed block."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,13 +333,6 @@ def _blocks(docs: DataFrame):
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([block.pack()])], names=["block", "data"])
             number += 1
 
-    doc_id = F.col("doc_id").cast("long")
-    remainder = F.crc32(doc_id.cast("string").cast("binary")) % 10
-    rows = docs.select(
-        doc_id.alias("doc_id"),
-        F.coalesce("text", F.lit("")).cast("binary").alias("text"),
-        (F.coalesce(remainder, F.lit(0)) == 0).alias("held_out"),
-    )
     return rows.mapInArrow(build, "block long, data binary").rdd.map(lambda r: (r["block"], bytes(r["data"])))
 
 
@@ -336,7 +350,10 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     spark = docs.sparkSession
     context = spark.sparkContext
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = _blocks(docs).partitionBy(partitions)
+    rows = _with_held_out(docs)
+    if not rows.agg(F.count("doc_id") + F.count("*")).first()[0]:
+        return spark.createDataFrame([], FIELDS)
+    blocks = _blocks(rows).partitionBy(partitions)
     model = Model([], 0, math.inf, partitions)
     answers = None
     train_tokens = 0
