@@ -2,12 +2,14 @@
 
 1. Each text becomes a set of hashes of five words. Texts with the same set are one class.
 2. A class enters the index under the rarest quarter of its shingles (its prefix): sets with a
-   similarity of ``PERCENT`` or more share one of these. The order puts a list of frequent shingles
-   last; that list only steers the work, any order gives the same result.
+   similarity of ``PERCENT`` or more share one of these. The order follows a table of counts of fixed
+   size, by parts of the hashes; it only steers the work, any order gives the same result.
 3. Index lists are divided into blocks by set size. Sets that differ too much in size never meet, as
    their blocks are skipped.
-4. In each list every class is paired with the first one only (its leader). Verified pairs join a class
-   to the group of its leader, so a group of near copies costs one pair per member.
+4. In each list every class is paired with the first one only, its leader. Verified pairs join a class
+   to the group of its leader. This is done in turns, with another order of classes each time and only
+   over lists that still hold several components, so a group of near copies costs a few pairs per
+   member.
 5. For the rest, groups are compared by their leaders. Each member's answers follow from its leader's:
    a member shares at most as much with another set as its leader does, plus what it does not share
    with its leader. Pairs of groups that cannot reach the similarity are skipped as a whole, as are
@@ -39,9 +41,14 @@ from newsloom.llm.text import mix, pieces, shingles, words
 
 WIDTH = 5
 PERCENT = 75
-# The list that steers the order: shingles in so many documents at least, and its length at most.
-MIN_FREQUENT = 8
-MAX_FREQUENT = 1 << 17
+# The table that steers the order: counts from here on, and the logarithm of its size.
+MIN_FREQUENT = 3
+TABLE_BITS = 24
+# Turns of pairing classes with leaders; the next one pays while one pair in ``FEW`` is a link.
+TURNS = 12
+FEW = 20
+# A class is paired with a leader it meets under one in ``ENOUGH`` of its shingles.
+ENOUGH = 20
 FILTER_BITS = 1 << 24
 BITMAP = 1 << 15
 
@@ -65,50 +72,76 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat, out, ids.view(np.int64)
 
 
-def frequent_shingles(docs: DataFrame, width: int = WIDTH) -> pd.DataFrame:
-    """Shingles that many documents have, with about the number of these; at most ``MAX_FREQUENT``.
+def shingle_weights(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """How frequent the shingles are that share the first ``TABLE_BITS`` bits of their hash.
 
-    Each task reports the shingles it sees in two documents or more.
+    All shingles are counted, by the first 32 bits of their hashes; each task sends these sorted and
+    packed, about two bytes each. The table keeps the logarithm of the largest count of a slot, 0 below
+    ``MIN_FREQUENT``, and has a fixed size however many shingles there are.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(TABLE_BITS, max(8, (2 * partitions - 1).bit_length()))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):
-            found, n = np.unique(_sets(batch.column(1), width)[0], return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["shingle", "n"]
-            )
-
-    return (
+            heads = np.sort((_sets(batch.column(1), width)[0] >> np.uint64(32)).astype(np.uint32))
+            cuts = np.searchsorted(heads, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).tolist()
+            parts = [heads[i:j] for i, j in zip(cuts, [*cuts[1:], len(heads)], strict=True)]
+            ranges = [k for k, part in enumerate(parts) if len(part)]
+            steps = [np.diff(parts[k], prepend=np.uint32(0)).tobytes() for k in ranges]
+            packed = [len(x).to_bytes(4, "little") + pa.compress(x, codec="zstd", asbytes=True) for x in steps]
+            yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int64()), pa.array(packed, pa.binary())], names=["range", "steps"])
+
+    def count(blobs: pd.DataFrame) -> pd.DataFrame:
+        steps = [pa.decompress(x[4:], int.from_bytes(x[:4], "little"), codec="zstd", asbytes=True) for x in blobs["steps"]]
+        heads = np.concatenate([np.cumsum(np.frombuffer(x, np.uint32), dtype=np.uint32) for x in steps])
+        found, n = np.unique(heads, return_counts=True)
+        found, n = found[n >= MIN_FREQUENT], n[n >= MIN_FREQUENT]
+        slots = np.zeros(1 << (TABLE_BITS - bits), dtype=np.uint8)
+        first = int(blobs["range"].iloc[0]) << (TABLE_BITS - bits)
+        np.maximum.at(slots, (found >> np.uint32(32 - TABLE_BITS)).astype(np.int64) - first, np.minimum(8 * np.log2(n), 255).astype(np.uint8))
+        return pd.DataFrame({"range": blobs["range"].iloc[:1], "slots": [slots.tobytes()]})
+
+    counted = (
         _texts(docs)
-        .mapInArrow(count, "shingle long, n long")
-        .groupBy("shingle")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= MIN_FREQUENT)
-        .orderBy(F.desc("n"), "shingle")
-        .limit(MAX_FREQUENT)
-        .toPandas()
+        .mapInArrow(pack, "range long, steps binary")
+        .groupBy("range")
+        .applyInPandas(count, "range long, slots binary")
+        .collect()
     )
+    table = np.zeros((1 << bits, 1 << (TABLE_BITS - bits)), dtype=np.uint8)
+    for row in counted:
+        table[row["range"]] = np.frombuffer(row["slots"], np.uint8)
+    return table.reshape(-1)
+
 
+def _document_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, set_id, n)`` of every document."""
 
-def _index(docs: DataFrame, frequent: Broadcast, buckets: int, percent: int, width: int) -> DataFrame:
-    """Rows of two kinds: the set of each document, and packed postings ``(bucket, ...)``."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 1):
+            _, bounds, ids = _sets(batch.column(1), width)
+            columns = [batch.column(0), pa.array(ids), pa.array(np.diff(bounds))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n"])
+
+    return _texts(docs).mapInArrow(sets, "doc_id long, set_id long, n long")
+
+
+def _postings(docs: DataFrame, weights: Broadcast, buckets: int, percent: int, width: int) -> DataFrame:
+    """Packed postings by bucket: the prefixes of all sets, each set once per piece of the input."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight = frequent.value
+        table = weights.value
         for batch in pieces(batches, 1):
             flat, bounds, ids = _sets(batch.column(1), width)
             sizes = np.diff(bounds)
-            yield _rows("set", doc_id=batch.column(0), set_id=ids, n=sizes)
             _, first = np.unique(ids, return_index=True)
-            at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
-            heavy = np.where(known[at] == flat, weight[at], 0) if len(known) else np.zeros(len(flat), np.int64)
+            weight = table[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             kept, places, owners = [], [], []
             for row in np.sort(first[sizes[first] > 0]).tolist():
                 own, n = slice(bounds[row], bounds[row + 1]), int(sizes[row])
                 prefix = n - -(-percent * n // 100) + 1
-                order = np.argsort(heavy[own], kind="stable")[:prefix] if heavy[own].any() else np.arange(prefix)
-                kept.append(flat[own][order])
+                kept.append(flat[own][np.argsort(weight[own], kind="stable")[:prefix]])
                 places.append(np.arange(1, prefix + 1))
                 owners.append(np.full(prefix, row))
             if not kept:
@@ -122,26 +155,13 @@ def _index(docs: DataFrame, frequent: Broadcast, buckets: int, percent: int, wid
                 if high > low:
                     of, runs = np.unique(owner[low:high], return_counts=True)
                     packed = [shingle[low:high], place[low:high].astype("<u4"), ids[of], sizes[of], runs.astype("<u4")]
-                    yield _rows("postings", bucket=[b], **dict(zip(PACKED, [[x.tobytes()] for x in packed], strict=True)))
+                    columns = [pa.array([x.tobytes()], pa.binary()) for x in packed]
+                    yield pa.RecordBatch.from_arrays([pa.array([b]), *columns], names=["bucket", *PACKED])
 
-    fields = ", ".join(f"{name} {kind}" for name, kind in INDEX_FIELDS.items())
-    return _texts(docs).mapInArrow(index, fields)
+    return _texts(docs).mapInArrow(index, "bucket long, " + ", ".join(f"{name} binary" for name in PACKED))
 
 
 PACKED = ("shingles", "places", "owners", "sizes", "runs")
-INDEX_FIELDS = {"part": "string", "doc_id": "long", "set_id": "long", "n": "long", "bucket": "long"}
-INDEX_FIELDS |= dict.fromkeys(PACKED, "binary")
-ARROW = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-
-
-def _rows(part: str, **columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    columns["part"] = [part] * size
-    arrays = [
-        pa.array(columns[name], ARROW[kind]) if name in columns else pa.nulls(size, ARROW[kind])
-        for name, kind in INDEX_FIELDS.items()
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=list(INDEX_FIELDS))
 
 
 def _shared_postings(blobs: pd.DataFrame) -> pd.DataFrame:
@@ -189,48 +209,66 @@ def _prefix_rest(n: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * n / F.lit(100.0) - 1e-9) - 1
 
 
-def _with_overlaps(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Add ``overlap``, the exact number of shared shingles, to ``pairs(a, b, ...)`` of set ids.
-
-    The sets are made again from the texts. A bitmap of the wanted ids, of fixed size, keeps most other
-    texts from being moved; the join then decides.
-    """
-    spark = docs.sparkSession
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    bit = F.col("set_id").bitwiseAND(FILTER_BITS - 1)
-    maps = (
-        wanted.select(bit.alias("bit"))
-        .groupBy(F.expr(f"bit div {BITMAP}").alias("bitmap"))
-        .agg(F.expr(f"bitmap_construct_agg(bit % {BITMAP})").alias("bits"))
-        .collect()
-    )
-    if not maps:
-        return pairs.withColumn("overlap", F.lit(0).cast("long"))
-    table = np.zeros((FILTER_BITS // BITMAP, BITMAP // 8), dtype=np.uint8)
-    for row in maps:
-        table[row["bitmap"]] = np.frombuffer(row["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(table.reshape(-1))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in pieces(batches, 1):
-            flat, bounds, ids = _sets(batch.column(1), width)
-            at = ids & (FILTER_BITS - 1)
-            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            _, first = np.unique(ids, return_index=True)
-            rows = first[hit[first]]
-            values = [flat[bounds[r] : bounds[r + 1]].view(np.int64) for r in rows.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[rows]), pa.array(values, pa.list_(pa.int64()))], names=["set_id", "members"]
-            )
-
-    found = _texts(docs).mapInArrow(sets, "set_id long, members array<long>")
-    found = found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
-    found = stage(found, "sets")
-    first = found.select(F.col("set_id").alias("a"), F.col("members").alias("_a"))
-    second = found.select(F.col("set_id").alias("b"), F.col("members").alias("_b"))
-    joined = pairs.join(first, "a").join(second, "b")
-    return joined.withColumn("overlap", F.size(F.array_intersect("_a", "_b")).cast("long")).drop("_a", "_b")
+class _Sets:
+    """The sets of some classes, made from the texts when they are first asked for and then kept."""
+
+    def __init__(self, docs: DataFrame, width: int):
+        self.docs, self.width = docs, width
+        self.parts: list[DataFrame] = []
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """Make the sets of the classes of ``wanted(set_id)`` that are not kept yet.
+
+        A bitmap of the wanted ids, of fixed size, keeps most other texts from being moved; the join
+        then decides.
+        """
+        wanted = wanted.distinct()
+        for part in self.parts:
+            wanted = wanted.join(part, "set_id", "left_anti")
+        wanted = stage(wanted, "wanted")
+        maps = (
+            wanted.select(F.col("set_id").bitwiseAND(FILTER_BITS - 1).alias("bit"))
+            .groupBy(F.expr(f"bit div {BITMAP}").alias("bitmap"))
+            .agg(F.expr(f"bitmap_construct_agg(bit % {BITMAP})").alias("bits"))
+            .collect()
+        )
+        if not maps:
+            return
+        table = np.zeros((FILTER_BITS // BITMAP, BITMAP // 8), dtype=np.uint8)
+        for row in maps:
+            table[row["bitmap"]] = np.frombuffer(row["bits"], np.uint8)
+        sent = self.docs.sparkSession.sparkContext.broadcast(table.reshape(-1))
+        width = self.width
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in pieces(batches, 1):
+                flat, bounds, ids = _sets(batch.column(1), width)
+                at = ids & (FILTER_BITS - 1)
+                hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                _, first = np.unique(ids, return_index=True)
+                rows = first[hit[first]]
+                values = [flat[bounds[r] : bounds[r + 1]].view(np.int64) for r in rows.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows]), pa.array(values, pa.list_(pa.int64()))], names=["set_id", "members"]
+                )
+
+        found = _texts(self.docs).mapInArrow(sets, "set_id long, members array<long>")
+        found = found.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
+        self.parts.append(stage(found, "sets"))
+
+    def with_overlaps(self, pairs: DataFrame) -> DataFrame:
+        """Add ``overlap``, the exact number of shared shingles, to ``pairs(a, b, ...)``."""
+        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("set_id")))
+        if not self.parts:
+            return pairs.withColumn("overlap", F.lit(0).cast("long"))
+        known = self.parts[0]
+        for part in self.parts[1:]:
+            known = known.unionByName(part)
+        first = known.select(F.col("set_id").alias("a"), F.col("members").alias("_a"))
+        second = known.select(F.col("set_id").alias("b"), F.col("members").alias("_b"))
+        joined = pairs.join(first, "a").join(second, "b")
+        return joined.withColumn("overlap", F.size(F.array_intersect("_a", "_b")).cast("long")).drop("_a", "_b")
 
 
 def _is_link(percent: int) -> Column:
@@ -238,112 +276,151 @@ def _is_link(percent: int) -> Column:
     return F.lit(100) * F.col("overlap") >= F.lit(percent) * union
 
 
-def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """One likely pair per class: the leader it meets most often, if it meets it in enough lists."""
-    leaders = lists.groupBy("shingle", "block").agg(F.min(F.struct("set_id", "n")).alias("leader"))
+def _open_lists(lists: DataFrame, known: DataFrame | None) -> DataFrame:
+    """Lists with the component of each class, without those that hold one component only."""
+    if known is None:
+        return lists.withColumn("component", F.col("set_id"))
+    named = lists.join(known, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    several = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return named.join(several.where("low < high").select("shingle"), "shingle", "left_semi")
+
+
+def _leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
+    """One likely pair per class: of the leaders that are not connected to it yet, the one it meets most
+    often, if in enough lists. Each turn has other leaders."""
+    place = F.xxhash64("set_id", F.lit(turn)).alias("place")
+    leader = F.min(F.struct(place, F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of")))
+    leaders = lists.groupBy("shingle", "block").agg(leader.alias("leader"))
     met = (
         lists.join(leaders, ["shingle", "block"])
-        .where("leader.set_id <> set_id")
-        .groupBy("set_id", "n", F.col("leader.set_id").alias("b"), F.col("leader.n").alias("n_b"))
+        .where("leader.of <> component")
+        .groupBy("set_id", "n", "leader.b", "leader.n_b")
         .agg(F.count("*").alias("shared"))
     )
     best = met.groupBy("set_id", "n").agg(F.max(F.struct("shared", "b", "n_b")).alias("best"))
-    enough = F.col("best.shared") * 20 >= F.col("n")
-    return best.where(enough).select(
-        F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("best.b").alias("b"), F.col("best.n_b").alias("n_b")
-    )
+    enough = F.col("best.shared") * ENOUGH >= F.col("n")
+    return best.where(enough).select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), "best.b", "best.n_b")
+
+
+def _follow_leaders(lists: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links of classes to leaders, in turns until few are found, and the components they form."""
+    met_often = lists.groupBy("set_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * ENOUGH >= F.col("n"))
+    sets.fetch(met_often.select("set_id"))
+    fields = "a long, n_a long, b long, n_b long, overlap long"
+    links, known = lists.sparkSession.createDataFrame([], fields), None
+    for turn in range(TURNS):
+        pairs = stage(_leader_pairs(_open_lists(lists, known), turn), "leader_pairs")
+        found = stage(sets.with_overlaps(pairs).where(_is_link(percent)), "led")
+        links = stage(links.unionByName(found), "led")
+        tried, linked = pairs.count(), found.count()
+        if linked:
+            components = connected_components(links.select("a", "b"))
+            known = stage(components.withColumnRenamed("node", "set_id"), "known")
+        if linked * FEW <= tried:
+            break
+    return links, known
 
 
 def _group_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of groups that share an index list, in fitting blocks, and are not connected yet."""
-    left = entries.select("shingle", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), "group", "component", F.col("block").alias("own"))
-    right = entries.select("shingle", "block", F.col("group").alias("group_b"), F.col("component").alias("component_b"))
-    met = left.distinct().join(right.distinct(), ["shingle", "block"])
-    met = met.where((F.col("own") < F.col("block")) | (F.col("group") < F.col("group_b")))
-    met = met.where("component <> component_b")
-    a, b = F.least("group", "group_b"), F.greatest("group", "group_b")
-    return met.groupBy(a.alias("a"), b.alias("b")).agg(F.count_distinct("shingle").alias("shared"))
+    """Pairs of groups that share an index list, in fitting blocks, and are not connected yet.
+
+    ``shared`` counts common entries, ``last_a`` and ``last_b`` are the last places of these.
+    """
+    once = entries.groupBy("shingle", "block", "group", "component").agg(F.max("place").alias("place"))
+    left = once.select("shingle", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"), "group", "component", "place")
+    right = once.select("shingle", "block", F.col("group").alias("group_b"), F.col("component").alias("component_b"), F.col("place").alias("place_b"))
+    met = left.join(right, ["shingle", "block"])
+    met = met.where((F.col("own") < F.col("block")) | (F.col("group") < F.col("group_b"))).where("component <> component_b")
+    first = F.col("group") < F.col("group_b")
+    return met.groupBy(F.least("group", "group_b").alias("a"), F.greatest("group", "group_b").alias("b")).agg(
+        F.count("*").alias("shared"),
+        F.max(F.when(first, F.col("place")).otherwise(F.col("place_b"))).alias("last_a"),
+        F.max(F.when(first, F.col("place_b")).otherwise(F.col("place"))).alias("last_b"),
+    )
 
 
 def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, set_id, n)`` of every document, and links ``(a, b)`` between set ids that connect
     the same classes as all links together."""
     spark = docs.sparkSession
-    frequent = frequent_shingles(docs, width).assign(shingle=lambda f: f["shingle"].to_numpy().view(np.uint64))
-    frequent = frequent.sort_values("shingle")
-    sent = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(), frequent["n"].to_numpy()))
+    weights = spark.sparkContext.broadcast(shingle_weights(docs, width))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = stage(_index(docs, sent, buckets, percent, width), "index")
-    sets = index.where("part = 'set'").select("doc_id", "set_id", "n")
-    blobs = index.where("part = 'postings'").select("bucket", *PACKED)
+    sets = stage(_document_sets(docs, width), "document_sets")
+    blobs = _postings(docs, weights, buckets, percent, width)
     fields = "shingle long, set_id long, n long, place long"
     shared = blobs.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared_postings, fields)
     lists = stage(shared.withColumn("block", _block("n", percent)), "lists")
 
-    tried = _with_overlaps(_leader_pairs(lists, percent), docs, width)
-    led = stage(tried.where(_is_link(percent)), "led")
-    known = connected_components(led.select("a", "b")).select(F.col("node").alias("set_id"), "component")
-    followers = led.select(
-        F.col("a").alias("set_id"), F.col("b").alias("leader"), (F.col("n_a") - F.col("overlap")).alias("apart")
-    )
+    known_sets = _Sets(docs, width)
+    led, known = _follow_leaders(lists, known_sets, percent)
+    nearest = F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("apart"), "b"))
+    followers = led.groupBy(F.col("a").alias("set_id")).agg(nearest.alias("led"))
+    followers = followers.select("set_id", F.col("led.b").alias("leader"), F.col("led.apart").alias("apart"))
+    opened = stage(_open_lists(lists, known), "open_lists")
     classes = (
-        lists.select("set_id", "n")
+        opened.select("set_id", "n", "component")
         .distinct()
         .join(followers, "set_id", "left")
-        .join(known, "set_id", "left")
         .select(
             "set_id",
             "n",
+            "component",
             F.coalesce("leader", "set_id").alias("group"),
             F.coalesce("apart", F.lit(0)).alias("apart"),
-            F.coalesce("component", "set_id").alias("component"),
         )
     )
     classes = stage(classes, "classes")
-    entries = stage(lists.join(classes.drop("n"), "set_id"), "entries")
-    later = _links_between_groups(entries, classes, docs, percent, width)
+    entries = stage(opened.join(classes.select("set_id", "group"), "set_id"), "entries")
+    later = _links_between_groups(entries, classes, known_sets, percent)
     return sets, led.select("a", "b").unionByName(later)
 
 
-def _links_between_groups(entries: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _may_reach(shared: Column, n_a: Column, n_b: Column, last_a: Column, last_b: Column, percent: int) -> Column:
+    """Whether two sets can reach the similarity, given what their prefixes share and where that ends."""
+    rests = F.greatest(_prefix_rest(n_a, percent), _prefix_rest(n_b, percent))
+    return shared + F.least(rests, n_a - last_a, n_b - last_b) >= _least_overlap(n_a, n_b, percent)
+
+
+def _links_between_groups(entries: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Links between classes that the leaders have not connected."""
     groups = classes.groupBy("group").agg(
-        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("apart").alias("apart")
+        F.count("*").alias("members"),
+        F.min("n").alias("low"),
+        F.max("n").alias("high"),
+        F.max("apart").alias("apart"),
+        F.min("set_id").alias("only"),
     )
     pairs = _group_pairs(entries)
     for side in "ab":
-        pairs = pairs.join(groups.select(*[F.col(c).alias(f"{c}_{side}") for c in groups.columns]).withColumnRenamed(f"group_{side}", side), side)
+        named = groups.select(F.col("group").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in groups.columns if c != "group"])
+        pairs = pairs.join(named, side)
+    single = (F.col("members_a") == 1) & (F.col("members_b") == 1)
+    alone = _may_reach(F.col("shared"), F.col("low_a"), F.col("low_b"), F.col("last_a"), F.col("last_b"), percent)
     fit = (F.lit(100) * F.col("high_a") >= F.lit(percent) * F.col("low_b")) & (
         F.lit(100) * F.col("high_b") >= F.lit(percent) * F.col("low_a")
     )
-    # For two single classes the bound on the prefix is final; else only sizes are known so far.
-    single = (F.col("members_a") == 1) & (F.col("members_b") == 1)
-    needed = _least_overlap(F.col("low_a"), F.col("low_b"), percent)
-    rest = F.greatest(_prefix_rest(F.col("high_a"), percent), _prefix_rest(F.col("high_b"), percent))
-    pairs = pairs.where(fit & (~single | (F.col("shared") + rest >= needed)))
-    pairs = stage(pairs, "group_pairs")
+    pairs = stage(pairs.where(fit & (~single | alone)), "group_pairs")
+    between = pairs.where(single).select(
+        F.col("only_a").alias("a"), F.col("only_b").alias("b"), F.col("low_a").alias("n_a"), F.col("low_b").alias("n_b")
+    )
+    # Pairs with larger groups: skipped as a whole if their leaders are too far apart.
     wide = pairs.where(~single).select("a", "b", "low_a", "low_b", "apart_a", "apart_b")
     reach = F.col("overlap") + F.col("apart_a") + F.col("apart_b")
-    near = _with_overlaps(wide, docs, width).where(reach >= _least_overlap(F.col("low_a"), F.col("low_b"), percent))
-    near = near.select("a", "b").unionByName(pairs.where(single).select("a", "b"))
-    left = entries.select("shingle", F.col("group").alias("g_a"), *[F.col(c).alias(f"{c}_a") for c in ("set_id", "n", "place", "component")])
-    right = entries.select("shingle", F.col("group").alias("g_b"), *[F.col(c).alias(f"{c}_b") for c in ("set_id", "n", "place", "component")])
-    met = (
-        near.select(F.col("a").alias("g_a"), F.col("b").alias("g_b"))
-        .join(left, "g_a")
-        .join(right, ["shingle", "g_b"])
+    near = sets.with_overlaps(wide).where(reach >= _least_overlap(F.col("low_a"), F.col("low_b"), percent))
+    columns = ("group", "set_id", "n", "place", "component")
+    left, right = (entries.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+    inner = (
+        stage(near.select(F.col("a").alias("group_a"), F.col("b").alias("group_b")), "near_groups")
+        .join(left, "group_a")
+        .join(right, ["shingle", "group_b"])
         .where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("component_a") != F.col("component_b")))
         .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b")
         .agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+        .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("last_a"), F.col("last_b"), percent))
+        .select("a", "b", "n_a", "n_b")
     )
-    beyond = F.least(
-        F.greatest(_prefix_rest(F.col("n_a"), percent), _prefix_rest(F.col("n_b"), percent)),
-        F.col("n_a") - F.col("last_a"),
-        F.col("n_b") - F.col("last_b"),
-    )
-    possible = met.where(F.col("shared") + beyond >= _least_overlap(F.col("n_a"), F.col("n_b"), percent))
-    possible = stage(possible.select("a", "b", "n_a", "n_b"), "possible")
-    return _with_overlaps(possible, docs, width).where(_is_link(percent)).select("a", "b")
+    possible = stage(between.unionByName(inner), "possible")
+    return sets.with_overlaps(possible).where(_is_link(percent)).select("a", "b")
 
 
 def group_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -374,8 +451,11 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WID
 
     @F.pandas_udf(T.LongType())
     def set_of(texts: pd.Series) -> pd.Series:
-        _, bounds, ids = _sets(pa.array(texts, pa.binary()), width)
-        return pd.Series(ids).where(np.diff(bounds) > 0).astype("Int64")
+        out = [pd.Series([], dtype="Int64")]
+        for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], 0):
+            _, bounds, ids = _sets(piece.column(0), width)
+            out.append(pd.Series(ids).where(np.diff(bounds) > 0).astype("Int64"))
+        return pd.concat(out, ignore_index=True)
 
     text = F.coalesce("text", F.lit("")).cast("binary")
     named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_set", set_of(text))

@@ -70,12 +70,20 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_answers_from_leaders(spark, monkeypatch):
-    """The order of shingles only steers the work: with none marked frequent the result is the same."""
+    """The order of shingles only steers the work: with no counts the result is the same."""
     monkeypatch.setattr(set_join, "MIN_FREQUENT", 10**9)
     rows = planted(4)
     assert found(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("turns", [0, 1])
+def test_links_beyond_leaders(spark, monkeypatch, turns):
+    """What leaders do not connect is found between groups."""
+    monkeypatch.setattr(set_join, "TURNS", turns)
+    rows = planted(5)
+    assert found(spark, rows) == brute(rows)
+
+
 def test_on_documents(spark, documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     assert found(spark, rows) == brute(rows)
