@@ -250,11 +250,14 @@ def fit_vectoriser(
 
     Spark's estimator would cap by occurrences instead of documents and leave the order of
     equally frequent terms to chance; here the order is fixed, so that a seed decides what
-    a model trained on the counts looks like. The terms, at most ``max_terms``, pass through
-    the driver, as they do in the estimator.
+    a model trained on the counts looks like. The terms pass through the driver, as they do in
+    the estimator; more than ``MAX_MODEL_TERMS`` are an error, never a cut.
     """
-    vocabulary = build_vocabulary(tokens, min_docs, max_doc_share, max_terms)
-    terms = [row.term for row in vocabulary.select("term").collect()]
+    vocabulary = stage(build_vocabulary(tokens, min_docs, max_doc_share, max_terms), "vocabulary")
+    size = vocabulary.count()
+    if size > MAX_MODEL_TERMS:
+        raise ValueError(f"a model of {size} terms is too large for the driver; raise min_docs or pass max_terms")
+    terms = [row.term for row in vocabulary.orderBy(F.desc("df"), F.asc("term")).select("term").collect()]
     return CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="features")
 
 

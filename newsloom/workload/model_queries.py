@@ -16,7 +16,7 @@ from newsloom.streaming import read_article_stream, tag_stream, write_tags
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import PAGES_SQL
-from newsloom.workload.tables import NUM_TOPICS
+from newsloom.workload.tables import NUM_TOPICS, Tables
 
 ONLINE = {"maxIter": 10, "docConcentration": [0.1], "seed": 7}
 EM = {"maxIter": 5, "seed": 7}
@@ -41,6 +41,17 @@ def model(t, optimizer: str = "online") -> E.TopicModel:
     return _models[key]
 
 
+def forget() -> None:
+    """Drop what queries share, so that the next one trains and tokenises for itself."""
+    _corpora.clear()
+    _models.clear()
+
+
+def prepare(spark, sf_dir: str) -> None:
+    """Train the model that queries share."""
+    model(Tables(spark, sf_dir))
+
+
 def vectors(t, optimizer: str = "online"):
     return E.infer_topics(model(t, optimizer), corpus(t).tokens())
 

@@ -62,6 +62,30 @@ def test_merge_keeps_missing_lists(spark):
     assert C._merge_by_lookup(tokens, phrases.where("w1 = 'z'")).count() == 3
 
 
+def test_merge_does_not_depend_on_size(spark, monkeypatch):
+    """Repeated ids and other columns: the size of the phrase set changes nothing."""
+    rows = [(1, ["a", "b", "c"], "x"), (1, ["x", "a", "b"], "y"), (2, None, None), (None, ["a", "b"], "z")]
+    tokens = spark.createDataFrame(rows, "id long, tokens array<string>, tag string")
+    phrases = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(C, "is_small", lambda *_, small=small: small)
+        merged = C.apply_phrases(tokens, phrases)
+        assert merged.columns == tokens.columns
+        found.append(sorted(map(str, merged.collect())))
+    assert found[0] == found[1] == sorted(
+        map(str, spark.createDataFrame([(1, ["a_b", "c"], "x"), (1, ["x", "a_b"], "y"), (2, None, None), (None, ["a_b"], "z")], tokens.schema).collect())
+    )
+
+
+def test_streams_need_a_phrase_set_that_fits(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(1, "a b")], "id long, text string").write.parquet(str(tmp_path / "in"))
+    stream = C.tokenise(spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in")))
+    monkeypatch.setattr(C, "is_small", lambda *_: False)
+    with pytest.raises(ValueError, match="too large"):
+        C.apply_phrases(stream, spark.createDataFrame([("a", "b")], "w1 string, w2 string"))
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 @pytest.mark.parametrize("merge", [C._merge_by_lookup, C._merge_by_join])
 def test_merge_equals_brute_force(spark, merge, seed):
@@ -102,6 +126,22 @@ def test_vocabulary_equals_brute_force(spark):
     assert set(C.fit_vectoriser(tokens).vocabulary) == set(kept)
 
 
+def test_vocabulary_has_no_hidden_limit(spark, monkeypatch):
+    documents = {i: ["often", f"w{i % 7}"] for i in range(70)}
+    tokens = token_table(spark, documents)
+    assert C.build_vocabulary(tokens, 1, 1.0).count() == 8
+    monkeypatch.setattr(C, "MAX_MODEL_TERMS", 7)
+    with pytest.raises(ValueError, match="8 terms"):
+        C.fit_vectoriser(tokens, 1, 1.0)
+
+
+def test_counted_terms(spark):
+    documents = random_documents(10) | {900: [], 901: ["zzz"], 902: ["a"] * 5}
+    vocabulary = spark.createDataFrame([("a",), ("bb",), ("never",)], "term string")
+    wanted = {(i, t, n) for i, words in documents.items() for t, n in Counter(words).items() if t in ("a", "bb")}
+    assert {tuple(r) for r in C.count_terms(token_table(spark, documents), vocabulary).collect()} == wanted
+
+
 def test_vocabulary_cap_ranks_by_documents(spark):
     documents = {i: ["often"] * 1 + (["burst"] * 50 if i < 5 else []) + (["mid"] if i < 8 else []) for i in range(10)}
     tokens = token_table(spark, documents)

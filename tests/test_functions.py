@@ -39,11 +39,10 @@ def test_size_is_checked(spark):
     assert not sizing.is_small(rows.selectExpr("array(s) as a"))
 
 
-def test_only_small_inputs_are_spread(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert sizing.spread_small_input(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 3)
-    assert sizing.spread_small_input(wide, "id") is wide
+def test_large_tables_are_an_error(spark):
+    assert sizing.require_small(spark.range(3), "a list").count() == 3
+    with pytest.raises(ValueError, match="a list is sent to every task"):
+        sizing.require_small(spark.range(3), "a list", max_rows=2)
 
 
 def test_staged_table_has_no_lineage(spark):

@@ -110,6 +110,39 @@ def test_phrases_belong_to_the_model(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "tags")).collect()) == tagged
 
 
+def lemma_model(spark, model):
+    lemmas = spark.createDataFrame([("apples", "apple"), ("pears", "pear"), ("pears", "zzz")], "form string, lemma string")
+    return E.TopicModel(model.vectoriser, model.lda, lemmas=lemmas)
+
+
+def test_lemmas_belong_to_the_model(spark, model, tmp_path):
+    texts = spark.createDataFrame([(1, "apples pears apples"), (2, "plums")], "id long, text string")
+    assert E.tag_texts(model, texts).count() == 0
+    own = lemma_model(spark, model)
+    tagged = sorted(tuple(r) for r in E.tag_texts(own, texts).collect())
+    plain = spark.createDataFrame([(1, "apple pear apple"), (2, "plums")], "id long, text string")
+    assert tagged and tagged == sorted(tuple(r) for r in E.tag_texts(model, plain).collect())
+    own.save(str(tmp_path / "model"))
+    loaded = E.TopicModel.load(spark, str(tmp_path / "model"))
+    texts.write.parquet(str(tmp_path / "arriving"))
+    stream = tag_stream(loaded, read_article_stream(spark, str(tmp_path / "arriving")))
+    write_tags(stream, str(tmp_path / "tags"), str(tmp_path / "progress"), available_now=True).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "tags")).collect()) == tagged
+
+
+def test_saving_again_leaves_nothing_of_the_older_model(spark, model, tmp_path):
+    path = str(tmp_path / "model")
+    phrases = spark.createDataFrame([("apple", "pear")], "w1 string, w2 string")
+    E.TopicModel(model.vectoriser, model.lda, phrases).save(path)
+    loaded = E.TopicModel.load(spark, path)
+    assert loaded.phrases.count() == 1
+    model.save(path)
+    assert E.TopicModel.load(spark, path).phrases is None
+    # A loaded model can be saved to its own path.
+    loaded.save(path)
+    assert E.TopicModel.load(spark, path).phrases.count() == 1
+
+
 def test_stream_equals_batch(spark, corpus, model, tmp_path):
     arriving, tags = str(tmp_path / "arriving"), str(tmp_path / "tags")
     corpus.texts.repartition(6).write.parquet(arriving)
@@ -149,10 +182,19 @@ def test_corpus_by_time(corpus):
     assert corpus.ids_by_time(10).count() == 10
     assert corpus.tokens_by_time().select("slice").distinct().count() == 2
     assert corpus.bags_by_time().count() == 150
+    first = [r.id for r in corpus.ids_by_time(10).collect()]
+    assert {r.id for r in corpus.tokens_by_time(10).collect()} == set(first)
+    assert {r.id for r in corpus.bags_by_time(10).collect()} == set(first)
     assert [r.id for r in corpus.get_posts([9, 2]).collect()] == [9, 2]
     assert corpus.article_counts(corpus.texts.select("id")).count() == 40
 
 
+def test_explorer_without_posts(corpus, model, spark):
+    explorer = TopicExplorer(E.infer_topics(model, corpus.tokens()), E.topic_words(model, spark), 3)
+    with pytest.raises(ValueError, match="metadata"):
+        explorer.show_topic_articles([0])
+
+
 def test_corpus_without_posts(spark):
     with pytest.raises(ValueError, match="metadata"):
         ArticleCorpus(spark.createDataFrame([(1, "a")], "id long, text string")).time_slices()

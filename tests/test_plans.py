@@ -92,6 +92,24 @@ def test_trend_joins_one_row_per_article(spark, stored):
     assert "partial_sum" in plan
 
 
+def test_trends_of_given_topics_filter_the_scan(stored):
+    plan = plan_of(T.topic_trends(stored["vectors"], stored["posts"], [1], doc_topics=stored["by_topic"]))
+    assert "EqualTo(topic_id,1)" in plan and "GreaterThan(prob,0.1)" in plan
+    few = T.topic_trends(stored["vectors"], stored["posts"], [1], doc_topics=stored["by_topic"])
+    all_ways = T.topic_trends(stored["vectors"], stored["posts"], [1])
+    rows = lambda frame: sorted((r.topic_id, r.created_date, round(r.value, 9)) for r in frame.collect())
+    assert rows(few) == rows(all_ways)
+
+
+def test_gram_matrix_keeps_the_splits(spark):
+    from newsloom.operators import similarity as G
+
+    vectors = spark.range(0, 400, 1, 37).select(F.array(F.lit(0.25), F.lit(0.75)).alias("shares"))
+    cells = G.gram_cells(vectors, "shares")
+    assert "Coalesce" not in plan_of(cells)
+    assert {(r.i, r.j, round(r.dot, 6), r.both) for r in cells.collect()} == {(0, 0, 25.0, 400), (0, 1, 75.0, 400), (1, 1, 225.0, 400)}
+
+
 def test_top_words_are_limited_before_the_shuffle(spark):
     words = spark.range(100).selectExpr("cast(id % 3 as int) as topic_id", "cast(id as string) as term", "rand() as weight")
     plan = plan_of(E.top_words(words))
