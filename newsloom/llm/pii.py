@@ -10,7 +10,7 @@ touch no match of the patterns are added as spans; neighbours of one kind are on
 
 The field is trained by pseudo-likelihood on at most ``MAX_DOCS`` documents, those that come first in
 the order of a hash among documents with at most ``MAX_NODES`` such tokens. Their labels are the matches
-of the patterns; variants of the matches and ordinary numbers, made from templates, are added so that it
+of the patterns, without documents in which a long match was dropped; variants of the matches and ordinary numbers, made from templates, are added so that it
 learns forms the patterns do not have.
 
 Null texts are empty; texts without personal data have no spans. Whole texts are searched, in time in
@@ -85,16 +85,27 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = max(at + 1, end)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """``(kind, start, end)`` of all matches that pass their checks, by kind and start."""
-    out = [(0, *span) for span in _emails(text)]
-    out += [(1, *m.span()) for m in IP.finditer(text) if _octets_fit(m.group())]
+def matches(text: str) -> Iterator[tuple[int, int, int, bool]]:
+    """``(kind, start, end, passes)`` of all matches, by kind and start."""
+    for a, b in _emails(text):
+        yield 0, a, b, True
+    for m in IP.finditer(text):
+        yield 1, *m.span(), _octets_fit(m.group())
     for m in CARD.finditer(text):
         digits = _digits(m.group())
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            out.append((2, *m.span()))
-    out += [(3, *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
-    return out
+        yield 2, *m.span(), 13 <= len(digits) <= 19 and luhn(digits)
+    for m in PHONE.finditer(text):
+        yield 3, *m.span(), 9 <= len(_digits(m.group())) <= 15
+
+
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """``(kind, start, end)`` of all matches that pass their checks, by kind and start."""
+    return [(k, a, b) for k, a, b, passes in matches(text) if passes]
+
+
+def is_ambiguous(text: str) -> bool:
+    """Whether a long match was dropped: it may hold personal data that ran into each other."""
+    return any(not passes and b - a > 15 for _, a, b, passes in matches(text))
 
 
 @dataclass
@@ -362,7 +373,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, seed: int = SEED) -> Field:
 
     for number, text in enumerate(training_documents(docs, max_docs, seed)):
         spans = base_spans(text)
-        add(text, spans)
+        if not is_ambiguous(text):
+            add(text, spans)
         for k, (kind, a, b) in enumerate(spans):
             forms = variants(kind, text[a:b], 31 * number + 17 * k + 7)
             form, label = forms[(number + k) % len(forms)]

@@ -63,6 +63,13 @@ def test_field_adds_forms_that_patterns_miss(field):
     assert added(field, "from 77.43.128.25, then [77-43-128-25].") == [("ip", "77-43-128-25")]
 
 
+def test_field_parts_what_runs_into_each_other(field):
+    """Here a phone number is followed by a card number, and both patterns drop the whole."""
+    text = "write +1 (314) 555-6532 4663622617512349 now"
+    assert base(text) == []
+    assert added(field, text) == [("card", "4663622617512349"), ("phone", "+1 (314) 555-6532")]
+
+
 def test_ordinary_numbers_stay(field):
     for text in ["in 1999 and 2020", "at 12:30 on 3.5.2004 for $12.50", "page 7 of 120", "version 1.2.3", "no numbers", "100%", "chapter 12, part 3"]:
         assert added(field, text) == [], text
