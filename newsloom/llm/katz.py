@@ -40,7 +40,7 @@ from newsloom.llm.text import mix, pieces, words
 ORDER = 2
 # Counts up to this one are discounted.
 DISCOUNTED = 5
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 END = np.uint64(0x1F0E0D0C0B0A0908)
 START = np.uint64(0x0102030405060708)
 BASE_SMOOTHING = 0.1
@@ -243,18 +243,14 @@ class Level:
     sums: np.ndarray
 
 
-def _probabilities(counts: np.ndarray, sums: np.ndarray, lower: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Probabilities of n-grams with these counts in contexts with these sums."""
+def _context_terms(sums: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context: what counts are divided by, and its backoff weight."""
     total = sums[:, 0]
-    few = sums[:, 1 : DISCOUNTED + 1]
-    r = np.arange(1, DISCOUNTED + 1)
-    kept = total - few @ (r * (1 - factors[1:-1]))
+    kept = total - sums[:, 1 : DISCOUNTED + 1] @ (np.arange(1, DISCOUNTED + 1) * (1 - factors[1:-1]))
     # Where nothing was discounted one more token is imagined, so that something is left over.
-    total = np.where(kept >= total, total + 1, total)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        backoff = (1 - kept / total) / (1 - sums[:, DISCOUNTED + 1])
-        seen = factors[np.minimum(counts, DISCOUNTED + 1)] * counts / total
-    return np.where(counts > 0, seen, np.where(sums[:, 0] > 0, backoff * lower, lower))
+    divisor = np.where(kept >= total, total + 1, total)
+    backoff = (1 - kept / divisor) / (1 - sums[:, DISCOUNTED + 1])
+    return divisor, np.where(total > 0, backoff, 1.0)
 
 
 def _frequent(sums: np.ndarray, contexts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -287,7 +283,9 @@ def evaluate(block: Block, model: Model, replies: list[tuple[int, int, bytes]]):
         wide = keys.spread[runs]
         if wide.any():
             sums[wide] = _frequent(level.sums, level.contexts, keys.context[runs][wide])
-        probability = _probabilities(count, np.repeat(sums, lengths, axis=0), lower[keys.first], level.factors)
+        divisor, backoff = (np.repeat(x, lengths) for x in _context_terms(sums, level.factors))
+        seen = level.factors[np.minimum(count, DISCOUNTED + 1)] * count / divisor
+        probability = np.where(count > 0, seen, backoff * lower[keys.first])
         lower = probability[keys.of_token]
         own = count[keys.of_token]
         counts.append(own)
