@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.functions.staging import stage
+from newsloom.functions.staging import scratch_path
 from newsloom.operators import search_index as D
 
+DOCUMENT_FIELDS = "id long, text string"
+POSTING_FIELDS = "token string, id long"
+
 
 class SearchIndex:
     """Documents ``(id, text)`` and their postings; a document that comes again is replaced.
 
-    Every batch is written to the shared folder, so plans stay short however many there are.
+    Every batch is appended to the shared folder, as a table of documents and one of postings;
+    nothing that was written before is read or written again. Reading keeps the rows of the
+    last batch of each id, found on two narrow columns. ``compact`` writes one batch instead
+    of all so far, for an index with many batches.
     """
 
     def __init__(
@@ -22,16 +29,45 @@ class SearchIndex:
         preprocess_tokens: bool = False,
         preprocessor: Callable[[Column], Column] = D.lower_tokens,
     ):
+        self.spark = spark
         self._options = {"preprocess_tokens": preprocess_tokens, "preprocessor": preprocessor}
-        self.documents = spark.createDataFrame([], "id long, text string")
-        self.postings = spark.createDataFrame([], "token string, id long")
+        self._path = scratch_path(spark, "search_index")
+        self._batches = 0
+
+    def _append(self, documents: DataFrame, postings: DataFrame | None = None) -> None:
+        stored = f"{self._path}/documents/batch={self._batches}"
+        documents.select("id", "text").write.parquet(stored)
+        if postings is None:
+            postings = D.index_documents(self.spark.read.schema(DOCUMENT_FIELDS).parquet(stored), **self._options)
+        postings.select("token", "id").write.parquet(f"{self._path}/postings/batch={self._batches}")
+        self._batches += 1
 
     def index(self, documents: DataFrame) -> None:
         """Ids must be unique within a batch."""
-        batch = documents.select("id", "text")
-        kept = self.documents.join(batch.select("id"), "id", "left_anti")
-        self.postings = stage(D.add_to_index(self.postings, batch, **self._options), "postings")
-        self.documents = stage(kept.unionByName(batch), "documents")
+        self._append(documents)
+
+    def _current(self, table: str, fields: str) -> DataFrame:
+        if not self._batches:
+            return self.spark.createDataFrame([], fields)
+        read = lambda name, columns: self.spark.read.schema(f"{columns}, batch int").parquet(f"{self._path}/{name}")
+        rows = read(table, fields)
+        if self._batches > 1:
+            last = read("documents", "id long").groupBy("id").agg(F.max("batch").alias("batch"))
+            rows = rows.join(last, ["id", "batch"], "left_semi")
+        return rows.select(*[field.split()[0] for field in fields.split(", ")])
+
+    @property
+    def documents(self) -> DataFrame:
+        return self._current("documents", DOCUMENT_FIELDS)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._current("postings", POSTING_FIELDS)
+
+    def compact(self) -> None:
+        documents, postings = self.documents, self.postings
+        self._path, self._batches = scratch_path(self.spark, "search_index"), 0
+        self._append(documents, postings)
 
     def query(self, term: str) -> DataFrame:
         return D.query_index(self.postings, term)
@@ -45,7 +81,8 @@ class SearchIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, **options) -> SearchIndex:
+        """A saved index becomes the first batch of a new one."""
         index = cls(spark, **options)
-        index.postings = spark.read.parquet(f"{path}/postings")
-        index.documents = spark.read.parquet(f"{path}/documents")
+        saved = [spark.read.schema(fields).parquet(f"{path}/{name}") for name, fields in (("documents", DOCUMENT_FIELDS), ("postings", POSTING_FIELDS))]
+        index._append(*saved)
         return index

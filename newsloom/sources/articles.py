@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.staging import path_exists
@@ -10,19 +10,27 @@ from newsloom.functions.staging import path_exists
 ID_FILE_PATTERN = r"([0-9]+)\.txt$"
 
 
-def read_text_folder(spark: SparkSession, path: str, id_pattern: str = ID_FILE_PATTERN) -> DataFrame:
+def read_text_folder(
+    spark: SparkSession, path: str, id_pattern: str = ID_FILE_PATTERN, encoding: str = "utf8"
+) -> DataFrame:
     """``(id, text)`` with one row per file; the id is the first group of ``id_pattern``.
 
-    Bytes that are not utf8 fail the job rather than being replaced. Spark's file sources
+    Bytes that are not of the encoding fail the job rather than being replaced. Spark's file sources
     skip files of length zero, so an article without any text has no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(
         F.regexp_extract("path", id_pattern, 1).cast("long").alias("id"),
-        F.validate_utf8(F.col("content").cast("string")).alias("text"),
+        _decoded(F.col("content"), encoding).alias("text"),
     )
 
 
+def _decoded(content: Column, encoding: str) -> Column:
+    if encoding.lower().replace("-", "") == "utf8":
+        return F.validate_utf8(content.cast("string"))
+    return F.decode(content, encoding)
+
+
 def clustered_by_id(rows: DataFrame) -> DataFrame:
     """Sorted by id within ranges of ids, so that stored rows can be looked up by id.
 

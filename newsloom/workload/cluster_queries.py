@@ -1,7 +1,9 @@
-"""Topic clusters, on rule topics. Where SQL checks them the clusters are topic number modulo 3."""
+"""Topic clusters, on rule topics. Where SQL checks them, each topic is in the cluster of the seed
+topic that it is most similar to."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsloom.operators import clustering as H
@@ -17,12 +19,17 @@ from newsloom.workload.tables import NUM_TOPICS
 EXCLUDED = ((1, "common"), (2, "common"), (9, "standalone"))
 EXCLUDED_SQL = "(VALUES (1, 'common'), (2, 'common'), (9, 'standalone')) AS x(topic_id, kind)"
 
+# Topics that the others are grouped around.
+SEEDS = (0, 4, 7)
+
 SELECTED_SQL = f"""SELECT i, j, word_doc_sim AS sim FROM sims
     WHERE i NOT IN (SELECT topic_id FROM {EXCLUDED_SQL}) AND j NOT IN (SELECT topic_id FROM {EXCLUDED_SQL})"""
 
 LABELLED_SQL = f"""SELECT t.topic_id, coalesce(x.kind, 'cluster') AS kind,
-    CASE WHEN x.kind IS NULL THEN t.topic_id % 3 END AS cluster
-    FROM topics t LEFT JOIN {EXCLUDED_SQL} ON x.topic_id = t.topic_id"""
+    CASE WHEN x.kind IS NULL THEN s.cluster END AS cluster
+    FROM topics t LEFT JOIN {EXCLUDED_SQL} ON x.topic_id = t.topic_id
+    JOIN (SELECT i, j AS cluster, row_number() OVER (PARTITION BY i ORDER BY i = j DESC, round(word_doc_sim, 6) DESC, j) AS nth
+          FROM sims WHERE j IN {SEEDS}) s ON s.i = t.topic_id AND s.nth = 1"""
 
 CLUSTERS_SQL = f""", matrix AS ({thresholded(SELECTED_SQL)}), labelled AS ({LABELLED_SQL}),
 distances AS (SELECT m.i AS topic_id, a.cluster AS own, b.cluster AS other, avg(1.0 - m.sim) AS d
@@ -51,8 +58,9 @@ def _excluded(t):
 
 def _clusters(t, sims):
     excluded = _excluded(t)
-    topics = t.spark.range(NUM_TOPICS).select(F.col("id").cast("int").alias("topic_id"))
-    given = topics.withColumn("cluster", F.col("topic_id") % 3).join(excluded, "topic_id", "left_anti")
+    near = W.partitionBy("i").orderBy(F.desc(F.col("i") == F.col("j")), F.desc(F.round("word_doc_sim", 6)), "j")
+    nearest = sims.where(F.col("j").isin(*SEEDS)).withColumn("nth", F.row_number().over(near)).where("nth = 1")
+    given = nearest.select(F.col("i").alias("topic_id"), F.col("j").alias("cluster")).join(excluded, "topic_id", "left_anti")
     labelled = H.label_topics(given, excluded)
     matrix = H.selected_similarities(sims, excluded)
     return H.topic_clusters(labelled, H.silhouettes(matrix, labelled))

@@ -129,6 +129,11 @@ def _pages_sql() -> str:
 
 
 PAGES_SQL = _pages_sql()
+CUT_PAGES_SQL = PAGES_SQL.replace(
+    "FROM pages",
+    """FROM (SELECT page_id, url, CASE WHEN length(html) % 2 = 0 THEN split_part(html, '<body', 1) ELSE html END AS html
+    FROM pages)""",
+)
 
 
 @query(
@@ -143,10 +148,12 @@ def articles_of_pages(t):
 
 @query(
     "a5_rejected_pages",
-    f"SELECT id, url, 'no article text' AS reason FROM ({PAGES_SQL}) WHERE length(text) = 0",
+    f"SELECT id, url, 'no article text' AS reason FROM ({CUT_PAGES_SQL}) WHERE length(text) = 0",
 )
 def pages_without_article(t):
-    return rejected_pages(t.pages)
+    """Some pages break off before their body, as a failed download leaves them."""
+    cut = F.when(F.length("html") % 2 == 0, F.substring_index("html", "<body", 1)).otherwise(F.col("html"))
+    return rejected_pages(t.pages.withColumn("html", cut))
 
 
 @query("a6_write_articles", sql(DIGESTS_SQL + " FROM texts", "texts"))

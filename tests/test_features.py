@@ -236,3 +236,21 @@ def test_hot_token_is_split_into_blocks(spark):
     for b in blocks:
         by_block[b.block] += b.n_docs
     assert sum(by_block.values()) == 1050
+
+
+def test_batches_are_appended(spark):
+    """A second batch leaves the files of the first alone; compacting keeps what is read."""
+    from pathlib import Path
+
+    index = SearchIndex(spark)
+    index.index(spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, text string"))
+    before = {p: p.stat().st_mtime_ns for p in Path(index._path).rglob("*.parquet")}
+    index.index(spark.createDataFrame([(3, "new common"), (77, "other")], "id long, text string"))
+    after = {p: p.stat().st_mtime_ns for p in Path(index._path).rglob("*.parquet")}
+    assert before.items() <= after.items()
+    assert spark.read.parquet(f"{index._path}/postings").where("batch = 1").count() == 3
+    found = lambda: ({r.id for r in index.query("common").collect()}, index.query("word3").count(), index.documents.count())
+    assert found() == (set(range(50)), 0, 51)
+    index.compact()
+    assert found() == (set(range(50)), 0, 51)
+    assert SearchIndex(spark).query("x").count() == 0

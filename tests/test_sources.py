@@ -189,3 +189,25 @@ def test_unfinished_run_is_not_read(spark, tmp_path):
     # A run that stored an article and died before its manifest was written.
     spark.createDataFrame([(2, "t", "x")], "id long, title string, text string").write.parquet(f"{articles}/run=dead")
     assert [r.id for r in stored_articles(spark, articles, done).collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body><div class="story no-ads"><p>Body text one.</p></div><p>tail</p></body>', "Body text one.\n\ntail"),
+        ('<body><form><p>All of it.</p><select><option>x</select><button>Go</button></form></body>', "All of it."),
+        ("<body><nav><p>Menu never closed</p><p>The text.</p></body>", "Menu never closed\n\nThe text."),
+        ('<body><div class="big ads top">Buy</div><p>Text.</p></body>', "Text."),
+        ("<body><p>Text.</p><script>var x = '</p>';</body>", "Text."),
+    ],
+)
+def test_page_text_is_not_lost(spark, html, text):
+    from newsloom.sources.pages import article_text_from_html
+
+    page = spark.createDataFrame([(html,)], "html string")
+    assert page.select(article_text_from_html(page.html).alias("t")).first().t == text
+
+
+def test_text_folder_in_another_encoding(spark, tmp_path):
+    (tmp_path / "7.txt").write_bytes("déjà".encode("latin-1"))
+    assert [tuple(r) for r in read_text_folder(spark, str(tmp_path), encoding="ISO-8859-1").collect()] == [(7, "déjà")]
