@@ -287,9 +287,10 @@ def _open_lists(lists: DataFrame, known: DataFrame | None) -> DataFrame:
 
 def _leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """One likely pair per class: of the leaders that are not connected to it yet, the one it meets most
-    often, if in enough lists. Each turn has other leaders."""
-    place = F.xxhash64("set_id", F.lit(turn)).alias("place")
-    leader = F.min(F.struct(place, F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of")))
+    often, if in enough lists. The first leader of a list is its most central class, the one that shares
+    most of its prefix; later turns take others."""
+    place = -F.col("central") if turn == 0 else F.xxhash64("set_id", F.lit(turn))
+    leader = F.min(F.struct(place.alias("place"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of")))
     leaders = lists.groupBy("shingle", "block").agg(leader.alias("leader"))
     met = (
         lists.join(leaders, ["shingle", "block"])
@@ -304,8 +305,7 @@ def _leader_pairs(lists: DataFrame, turn: int) -> DataFrame:
 
 def _follow_leaders(lists: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """Links of classes to leaders, in turns until few are found, and the components they form."""
-    met_often = lists.groupBy("set_id", "n").agg(F.count("*").alias("met")).where(F.col("met") * ENOUGH >= F.col("n"))
-    sets.fetch(met_often.select("set_id"))
+    sets.fetch(lists.where(F.col("met") * ENOUGH >= F.col("n")).select("set_id"))
     fields = "a long, n_a long, b long, n_b long, overlap long"
     links, known = lists.sparkSession.createDataFrame([], fields), None
     for turn in range(TURNS):
@@ -349,7 +349,11 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
     blobs = _postings(docs, weights, buckets, percent, width)
     fields = "shingle long, set_id long, n long, place long"
     shared = blobs.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_shared_postings, fields)
-    lists = stage(shared.withColumn("block", _block("n", percent)), "lists")
+    shared = stage(shared.withColumn("block", _block("n", percent)), "shared")
+    prefix = F.col("n") - _prefix_rest(F.col("n"), percent)
+    central = shared.groupBy("set_id", "n").agg(F.count("*").alias("met"))
+    central = central.select("set_id", "met", (F.col("met") / prefix).alias("central"))
+    lists = stage(shared.join(central, "set_id"), "lists")
 
     known_sets = _Sets(docs, width)
     led, known = _follow_leaders(lists, known_sets, percent)
