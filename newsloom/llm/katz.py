@@ -71,6 +71,11 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of sorted hashes, which have fewer bytes than the hashes; sums give them back."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
 @dataclass
 class Block:
     """Documents as indexes into the words of the block, each with an end."""
@@ -83,11 +88,12 @@ class Block:
     held_out: np.ndarray
 
     def pack(self) -> bytes:
-        return _pack(self.vocabulary, self.tokens.astype(np.uint32), self.bounds, self.doc_ids, self.has_id, self.held_out)
+        return _pack(_steps(self.vocabulary), self.tokens.astype(np.uint32), self.bounds, self.doc_ids, self.has_id, self.held_out)
 
     @staticmethod
     def unpack(data: bytes) -> Block:
-        return Block(*_unpack(data))
+        steps, *rest = _unpack(data)
+        return Block(np.cumsum(steps, dtype=np.uint64), *rest)
 
     @property
     def trains(self) -> np.ndarray:
@@ -152,7 +158,7 @@ def _requests(number: int, keys: Keys, lower: np.ndarray, partitions: int) -> It
             word = (keys.word[a:b] & LOW_48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
             values, which = np.unique(lower[a:b], return_inverse=True)
             count = keys.count[a:b].astype(np.uint32)
-            packed = _pack(keys.context[a:b][starts], keys.spread[a:b][starts], lengths, word, count, values, which.astype(np.uint32))
+            packed = _pack(_steps(keys.context[a:b][starts]), keys.spread[a:b][starts], lengths, word, count, values, which.astype(np.uint32))
             yield p, (number, packed)
 
 
@@ -175,9 +181,9 @@ class Table:
     def merge(items: Iterable[tuple[int, tuple[int, bytes]]]) -> Table | None:
         numbers, parts = [], []
         for _, (number, data) in items:
-            *part, values, which = _unpack(data)
+            steps, *part, values, which = _unpack(data)
             numbers.append(number)
-            parts.append((*part, values[which]))
+            parts.append((np.cumsum(steps, dtype=np.uint64), *part, values[which]))
         if not numbers:
             return None
         starts, wide, lengths, word, count, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -204,7 +210,8 @@ class Table:
         for number, size, runs in zip(self.numbers, self.sizes, self.request_runs, strict=True):
             counts = self.counts[self.of_request[a : a + size]].astype(np.uint32)
             sums = self.sums[self.request_contexts[c : c + runs]]
-            yield number, (level, partition, _pack(counts, *(sums[:, j] for j in range(sums.shape[1]))))
+            whole = (sums[:, j].astype(np.int64) for j in range(DISCOUNTED + 1))
+            yield number, (level, partition, _pack(counts, *whole, sums[:, DISCOUNTED + 1]))
             a, c = a + size, c + runs
 
 
