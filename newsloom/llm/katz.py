@@ -48,7 +48,6 @@ BASE_SMOOTHING = 0.1
 SPREAD_SHARE = 0.25
 # Stands for no context among the statistics.
 COUNTS = -1
-LOW_48 = np.uint64((1 << 48) - 1)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -154,8 +153,9 @@ def _requests(number: int, keys: Keys, lower: np.ndarray, partitions: int) -> It
         if b > a:
             starts = _runs(keys.context[a:b])
             lengths = np.diff(np.append(starts, b - a)).astype(np.uint32)
-            # Within a context 48 bits tell words apart.
-            word = (keys.word[a:b] & LOW_48).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
+            # Within a context the first 48 bits tell words apart; they are sorted, so the first of
+            # these six rows of bytes take little room.
+            word = keys.word[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T
             values, which = np.unique(lower[a:b], return_inverse=True)
             count = keys.count[a:b].astype(np.uint32)
             packed = _pack(_steps(keys.context[a:b][starts]), keys.spread[a:b][starts], lengths, word, count, values, which.astype(np.uint32))
@@ -186,9 +186,9 @@ class Table:
             parts.append((np.cumsum(steps, dtype=np.uint64), *part, values[which]))
         if not numbers:
             return None
-        starts, wide, lengths, word, count, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts, wide, lengths, word, count, lower = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
         context = np.repeat(starts, lengths)
-        word = np.ascontiguousarray(np.pad(word, ((0, 0), (0, 2)))).view("<u8").ravel()
+        word = np.ascontiguousarray(np.pad(word, ((0, 2), (0, 0))).T).view("<u8").ravel()
         _, first, of_request = np.unique(mix(context ^ mix(word, 36), 37), return_index=True, return_inverse=True)
         counts = np.bincount(of_request, weights=count, minlength=len(first)).astype(np.int64)
         contexts, of_context = np.unique(starts, return_inverse=True)
@@ -196,7 +196,7 @@ class Table:
         spread[of_context] = wide
         owner = np.repeat(of_context, lengths)[first]
         sums = _context_sums(owner, counts, lower[first], len(contexts))
-        return Table(numbers, [len(p[3]) for p in parts], of_request, counts, contexts, spread, owner, of_context, [len(p[0]) for p in parts], sums)
+        return Table(numbers, [p[3].shape[1] for p in parts], of_request, counts, contexts, spread, owner, of_context, [len(p[0]) for p in parts], sums)
 
     def statistics(self) -> Iterator[tuple[object, np.ndarray]]:
         """How many n-grams have each count, and the part of the sums of frequent contexts."""
