@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.text import pieces
+
 SHORT = 64
 CACHE = 1 << 18
 GROUP = 1 << 21
@@ -287,8 +289,11 @@ def encode(docs: DataFrame, vocabulary: str, special_as_text: bool = False) -> D
 
     @F.pandas_udf("array<int>")
     def ids_of(texts):
-        ids, bounds = codec(sent.value, special_as_text).encode(pa.array(texts, pa.string()))
-        return pd.Series(np.split(ids, bounds[1:-1]) if len(texts) else [], index=texts.index, dtype=object)
+        bpe, out = codec(sent.value, special_as_text), []
+        for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], 0, GROUP):
+            ids, bounds = bpe.encode(piece.column(0))
+            out += np.split(ids.astype(np.int32), bounds[1:-1])
+        return pd.Series(out, index=texts.index, dtype=object)
 
     return docs.withColumn("ids", ids_of(F.coalesce(F.col("text"), F.lit(""))))
 
@@ -312,7 +317,7 @@ def encode_decode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(sent.value)
-        for batch in batches:
+        for batch in pieces(batches, 1, GROUP):
             ids, bounds = bpe.encode(batch.column(1))
             data, cuts = ids.astype("<u4"), bounds.tolist()
             of_ids = [sha256(data[i:j].tobytes()).hexdigest() for i, j in zip(cuts, cuts[1:], strict=False)]
