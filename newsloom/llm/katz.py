@@ -51,22 +51,21 @@ COUNTS = -1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes; the first bytes of all numbers, then the second ones, and so on."""
-    heads = [(x.dtype.str, x.shape) for x in arrays]
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(x.size, -1).T.tobytes() if x.size else b"" for x in arrays]
-    data = pickle.dumps((heads, b"".join(planes)), protocol=5)
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    """Arrays as bytes, each compressed on its own; the first bytes of all numbers, then the second
+    ones, and so on."""
+    out = []
+    for x in arrays:
+        data = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+        out.append((x.dtype.str, len(x), pa.compress(data, codec="zstd", asbytes=True) if data else b""))
+    return pickle.dumps(out, protocol=5)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    size = int.from_bytes(data[:8], "little")
-    heads, planes = pickle.loads(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True))
-    out, at = [], 0
-    for kind, shape in heads:
-        width, n = np.dtype(kind).itemsize, math.prod(shape)
-        part = np.frombuffer(planes, np.uint8, n * width, at).reshape(width, n).T
-        out.append(np.ascontiguousarray(part).view(kind).reshape(shape))
-        at += n * width
+    out = []
+    for kind, n, packed in pickle.loads(data):
+        width = np.dtype(kind).itemsize
+        planes = pa.decompress(packed, decompressed_size=n * width, codec="zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(kind).reshape(n))
     return out
 
 
@@ -153,9 +152,11 @@ def _requests(number: int, keys: Keys, lower: np.ndarray, partitions: int) -> It
         if b > a:
             starts = _runs(keys.context[a:b])
             lengths = np.diff(np.append(starts, b - a)).astype(np.uint32)
-            # Within a context the first 48 bits tell words apart; they are sorted, so the first of
-            # these six rows of bytes take little room.
-            word = keys.word[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].T
+            # Within a context the first 48 bits tell words apart. Many contexts share words, which the
+            # compression finds as rows of six bytes; in one context they are sorted and differ little.
+            word = keys.word[a:b] >> np.uint64(16)
+            if len(starts) > 1:
+                word = word.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
             values, which = np.unique(lower[a:b], return_inverse=True)
             count = keys.count[a:b].astype(np.uint32)
             packed = _pack(_steps(keys.context[a:b][starts]), keys.spread[a:b][starts], lengths, word, count, values, which.astype(np.uint32))
@@ -183,12 +184,14 @@ class Table:
         for _, (number, data) in items:
             steps, *part, values, which = _unpack(data)
             numbers.append(number)
-            parts.append((np.cumsum(steps, dtype=np.uint64), *part, values[which]))
+            spread, lengths, word, count = part
+            if word.dtype == np.uint8:
+                word = np.pad(word.reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel()
+            parts.append((np.cumsum(steps, dtype=np.uint64), spread, lengths, word, count, values[which]))
         if not numbers:
             return None
-        starts, wide, lengths, word, count, lower = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+        starts, wide, lengths, word, count, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
         context = np.repeat(starts, lengths)
-        word = np.ascontiguousarray(np.pad(word, ((0, 2), (0, 0))).T).view("<u8").ravel()
         _, first, of_request = np.unique(mix(context ^ mix(word, 36), 37), return_index=True, return_inverse=True)
         counts = np.bincount(of_request, weights=count, minlength=len(first)).astype(np.int64)
         contexts, of_context = np.unique(starts, return_inverse=True)
@@ -196,7 +199,7 @@ class Table:
         spread[of_context] = wide
         owner = np.repeat(of_context, lengths)[first]
         sums = _context_sums(owner, counts, lower[first], len(contexts))
-        return Table(numbers, [p[3].shape[1] for p in parts], of_request, counts, contexts, spread, owner, of_context, [len(p[0]) for p in parts], sums)
+        return Table(numbers, [len(p[3]) for p in parts], of_request, counts, contexts, spread, owner, of_context, [len(p[0]) for p in parts], sums)
 
     def statistics(self) -> Iterator[tuple[object, np.ndarray]]:
         """How many n-grams have each count, and the part of the sums of frequent contexts."""
