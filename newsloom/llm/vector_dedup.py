@@ -5,9 +5,16 @@ ordered by their codes, and each is compared with the next ``WINDOW`` vectors in
 a cosine of ``LEAST`` or more are links; links of all passes are united into components. Equal vectors
 are one class and are compared once.
 
-A window is bounded, so it finds a large group as a chain of links, not as all its pairs. The links of a
-vector are therefore counted within its component afterwards: components are cut into tiles and pairs
-of tiles are compared whole, which counts links without listing them and needs no group in one task.
+Where many vectors lie close without linking they share leading signs and fill each other's windows, so
+runs of equal leading signs are compared whole as well, all pairs of a run, tile by tile. How many signs
+make a run follows from the table: as many as make the comparisons fewest, none for small tables, which
+are compared exactly. Each link shares the leading signs of a pass with a chance that depends on its
+cosine only, not on the other vectors; there are as many passes as find a link of exactly ``LEAST`` with
+a chance of ``RECALL``. Dense runs cost the square of their size, and nothing is left out of them.
+
+A window finds a large group as a chain of links, not as all its pairs. The links of a vector are
+therefore counted within its component afterwards: components are cut into tiles and pairs of tiles are
+compared whole, which counts links without listing them and needs no group in one task.
 
 Vectors that are null, empty, all zero or hold null or non-finite components link with nothing, as do
 vectors of different lengths with each other. Repeated rows are separate vectors that link. A row
@@ -17,6 +24,7 @@ double precision on the original components.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +44,12 @@ BITS = 64
 WINDOW = 32
 CHUNK = 2048
 TILE = 256
+# The least chance that some pass puts the two vectors of a link into one run.
+RECALL = 0.99
+MOST_BITS = 24
+# A further pass costs as much for each vector as so many comparisons.
+PASS_COST = 2048
+RUN_TILE = 512
 SEED = 1
 
 
@@ -121,6 +135,67 @@ def _window_links(ranked: DataFrame, least: float, window: int) -> DataFrame:
     return dealt.groupBy("chunk").applyInPandas(compare, "a string, b string")
 
 
+def passes_needed(bits: int, least: float) -> int:
+    """Passes in which a link of cosine ``least`` shares the first ``bits`` signs once, with a chance of ``RECALL``."""
+    shared = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits
+    return 1 if shared >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-shared))
+
+
+def _run_bits(classes: DataFrame, least: float, seed: int) -> int:
+    """How many leading signs make a run, so that all passes together cost least on this table."""
+    coded = _codes(classes, 1, seed)
+    head = F.shiftrightunsigned("code", BITS - MOST_BITS).alias("head")
+    heads = coded.groupBy("dim", head).agg(F.count("*").alias("n"))
+    bits = F.explode(F.sequence(F.lit(0), F.lit(MOST_BITS))).alias("bits")
+    runs = heads.select("dim", "head", "n", bits).groupBy("bits", "dim", F.expr(f"shiftrightunsigned(head, {MOST_BITS} - bits)"))
+    # One row per number of bits.
+    pairs = runs.agg(F.sum("n").alias("n")).groupBy("bits").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("pairs"))
+    costs = {r["bits"]: passes_needed(r["bits"], least) * (r["pairs"] / 2 + PASS_COST * r["n"]) for r in pairs.collect()}
+    return min(sorted(costs), key=costs.get, default=0)
+
+
+def _run_links(ranked: DataFrame, least: float, bits: int) -> DataFrame:
+    """Links found by comparing all vectors of a run, as few as keep what they connect."""
+    run = F.shiftrightunsigned("code", BITS - bits) if bits else F.lit(0).cast("long")
+    rows = ranked.where(F.col("turn") < passes_needed(bits, least)).select("turn", "dim", run.alias("run"), "key", "vector")
+    names = ["turn", "dim", "run"]
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
+    tiles = F.ceil(F.col("n") / F.lit(RUN_TILE)).cast("long")
+    tiled = rows.join(sizes, names).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    dealt = tiled.withColumn("other", other).select(
+        *names, F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "key", "vector"
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        matrix = stack(rows["vector"])
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+        keys, vectors = rows["key"].to_numpy(), rows["vector"].to_numpy()
+        near = np.triu(matrix @ matrix.T, 1)
+        i, j = np.nonzero(near >= least - 1e-9) if least > 1e-9 else np.triu_indices(len(rows), 1)
+        sure = near[i, j] >= least + 1e-9
+        for at in np.flatnonzero(~sure):
+            sure[at] = _cosine(vectors[i[at]], vectors[j[at]]) >= least
+        first = _first_linked(i[sure], j[sure], len(rows))
+        linked = np.flatnonzero(first != np.arange(len(rows)))
+        return pd.DataFrame({"a": keys[linked], "b": keys[first[linked]]})
+
+    return dealt.groupBy(*names, "low", "high").applyInPandas(compare, "a string, b string")
+
+
+def _first_linked(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the first that it is connected with over the pairs ``(i, j)``."""
+    first = np.arange(n)
+    while True:
+        lower = first.copy()
+        np.minimum.at(lower, i, first[j])
+        np.minimum.at(lower, j, first[i])
+        lower = lower[lower]
+        if (lower == first).all():
+            return first
+        first = lower
+
+
 def _cosine(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, "<f8"), np.frombuffer(b, "<f8")
     return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
@@ -155,15 +230,19 @@ def _count_links(members: DataFrame, least: float) -> DataFrame:
 def near_duplicates(
     table: DataFrame, least: float = LEAST, passes: int = PASSES, window: int = WINDOW, seed: int = SEED
 ) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row of ``table(vec_id, embedding)``."""
+    """``(vec_id, n_links, component_id, kept)`` of every row of ``table(vec_id, embedding)``.
+
+    ``passes`` is the least number of passes; there are more if runs need them."""
     vector = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
     valid = rows.where(is_valid(F.col("v"))).select("vec_id", to_bytes("v").alias("vector"), F.size("v").alias("dim"))
     keyed = stage(valid.withColumn("key", F.md5("vector")), "vectors")
     classes = keyed.groupBy("key", "dim", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = stage(classes, "classes")
-    ranked = _ranked(_codes(classes.select("key", "dim", "copies", "vector"), passes, seed))
-    links = stage(_window_links(ranked, least, window), "links")
+    vectors = classes.select("key", "dim", "copies", "vector")
+    bits = _run_bits(vectors, least, seed)
+    ranked = _ranked(_codes(vectors, max(passes, passes_needed(bits, least)), seed))
+    links = stage(_window_links(ranked, least, window).unionByName(_run_links(ranked, least, bits)), "links")
     components = connected_components(links).withColumnRenamed("node", "key")
     members = stage(classes.join(components, "key"), "members")
     linked = _count_links(members.select("component", "key", "copies", "vector"), least)

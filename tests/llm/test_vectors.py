@@ -80,6 +80,45 @@ def test_near_duplicates_of_embeddings(spark):
     assert found == brute_links(rows)
 
 
+def crowded(seed, n, pairs, dim=32):
+    """Vectors about one topic that lie close without linking, and pairs of links among them."""
+    rng = np.random.default_rng(seed)
+
+    def unit(m):
+        return m / np.linalg.norm(m, axis=-1, keepdims=True)
+
+    topic = unit(rng.normal(size=dim))
+
+    def across(m):
+        return unit(m - np.outer(m @ topic, topic))
+
+    away = across(rng.normal(size=(n, dim)))
+    side = across(away[:pairs] * 0.75 + 0.66 * unit(rng.normal(size=(pairs, dim))))
+    near = np.concatenate([away, side]) * 0.42 + topic * 0.9075
+    return [(int(i), v.tolist()) for i, v in enumerate(near.astype(np.float32))]
+
+
+def links_found(spark, rows):
+    """How many of the linked vectors were found, after checking that nothing else was."""
+    matrix = np.array([v for _, v in rows], float)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    wanted = (matrix @ matrix.T >= 0.95).sum(axis=1) - 1
+    found = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert all(found[i] <= wanted[i] for i in range(len(rows)))
+    return sum(found.values()) / wanted.sum()
+
+
+def test_links_in_a_crowd_are_all_found(spark):
+    assert links_found(spark, crowded(1, 6000, 300)) == 1
+
+
+def test_runs_of_several_passes_reach_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "_run_bits", lambda *_: 5)
+    monkeypatch.setattr(vector_dedup, "RUN_TILE", 64)
+    assert [vector_dedup.passes_needed(bits, 0.95) for bits in (0, 5, 10, 20)] == [1, 6, 11, 37]
+    assert links_found(spark, crowded(2, 3000, 200)) >= 0.98
+
+
 def brute_neighbours(rows, every=100, k=10):
     valid = [(i, np.array(v, float)) for i, v in rows if is_valid(v)]
     matrix, ids = np.stack([v for _, v in valid]), np.array([i for i, _ in valid])
