@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.sizing import is_small, require_small
+from newsloom.functions.sizing import is_small
 from newsloom.functions.staging import stage
 from newsloom.functions.text import alphabetic_words
 
@@ -34,12 +34,36 @@ def tokenise(texts: DataFrame) -> DataFrame:
 def lemmatise(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Replace forms by the lemmas of ``(form, lemma)``; other tokens stay.
 
-    Forms are looked up inside the row, so nothing is shuffled, other columns stay and
-    streams work too. A lemma table is a dictionary: its size is checked. Of several lemmas
-    of a form the first in alphabetical order is taken.
+    The size of the lemma table decides only how: forms are looked up inside the row, without
+    a shuffle, or joined. Both ways keep all rows and columns and give the same tokens. Streams
+    need a table that fits in a row's lookup. Of several lemmas of a form the first in
+    alphabetical order is taken.
     """
     known = lemmas.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
-    table = require_small(known, "a lemma table").toArrow()
+    if is_small(known):
+        return _lemmatise_by_lookup(tokens, known)
+    return _lemmatise_by_join(tokens, known)
+
+
+def _lemmatise_by_join(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """Any number of forms: the words are joined with them, and back by row.
+
+    Rows are numbered in a stored copy, so that ids may repeat and numbers stay.
+    """
+    if tokens.isStreaming:
+        raise ValueError("lemmas on a stream are looked up in the row; this table is too large for that")
+    rows = stage(tokens.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    words = rows.select("_row", F.posexplode_outer("tokens").alias("pos", "form")).where("pos is not null")
+    found = words.join(stage(known, "lemmas"), "form", "left")
+    term = F.struct("pos", F.coalesce("lemma", "form").alias("term"))
+    lists = found.groupBy("_row").agg(F.sort_array(F.collect_list(term))["term"].alias("_terms"))
+    joined = rows.join(lists, "_row", "left").withColumn("tokens", F.coalesce("_terms", "tokens"))
+    return joined.select(*tokens.columns)
+
+
+def _lemmatise_by_lookup(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """A lemma table of checked size: no shuffle, so it also works on a stream."""
+    table = known.toArrow()
     forms, found = (pa.chunked_array(table[name].chunks, pa.string()).combine_chunks() for name in ("form", "lemma"))
     sent = tokens.sparkSession.sparkContext.broadcast((forms, found))
 

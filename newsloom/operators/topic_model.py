@@ -25,8 +25,8 @@ TOP_WORDS = 10
 class TopicModel:
     """A vocabulary and an LDA model over it, with the lemmas and phrases its tokens were made with.
 
-    Both tables are looked up inside the row, on tables and streams alike, so their sizes are
-    checked when the model is made.
+    Phrases are looked up inside the row, on tables and streams alike, so their size is checked
+    when the model is made. Lemmas may be any number; only streams need a table of checked size.
     """
 
     vectoriser: CountVectorizerModel
@@ -37,8 +37,6 @@ class TopicModel:
     def __post_init__(self) -> None:
         if self.phrases is not None:
             require_small(self.phrases.select("w1", "w2"), "the phrase set of a model")
-        if self.lemmas is not None:
-            require_small(self.lemmas.select("form", "lemma"), "the lemma table of a model")
 
     @property
     def num_topics(self) -> int:

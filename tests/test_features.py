@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions.sizing import is_small
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
+from newsloom.operators import topic_model as E
 from newsloom.plans import ArticleCorpus, SearchIndex
 
 
@@ -168,6 +170,19 @@ def test_lemmas(spark):
     assert as_dict(C.lemmatise(tokens, lemmas)) == {1: ["cat", "sat", "cat"], 2: [], 3: ["dog"]}
 
 
+def test_large_lemma_tables_give_the_same_tokens(spark, monkeypatch):
+    rows = [(1, ["cats", None, "sat", "cats"], "x"), (1, ["dogs"], "y"), (2, [], "z"), (3, None, "z"), (None, ["sat"], "z")]
+    tokens = spark.createDataFrame(rows, "id long, tokens array<string>, other string")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog"), ("dogs", "zzz"), (None, "q")], "form string, lemma string")
+    small = sorted(map(tuple, C.lemmatise(tokens, lemmas).collect()), key=str)
+    monkeypatch.setattr(is_small, "__defaults__", (1, 1 << 20))
+    large = C.lemmatise(tokens, lemmas)
+    assert large.columns == tokens.columns
+    assert sorted(map(tuple, large.collect()), key=str) == small
+    assert (1, ["cat", None, "sat", "cat"], "x") in small and (1, ["dog"], "y") in small and len(small) == 5
+    E.TopicModel(None, None, lemmas=lemmas)
+
+
 def test_corpus_tokens_with_phrases(spark, tmp_path):
     texts = spark.createDataFrame([(i, "new york is new york" + " x" * i) for i in range(20)], "id long, text string")
     corpus = ArticleCorpus(texts, tokens_path=str(tmp_path / "tokens"))
