@@ -429,19 +429,25 @@ def _links_between_groups(entries: DataFrame, classes: DataFrame, sets: _Sets, p
 
 def group_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, set_id)`` of every document."""
+    return _grouped(docs, percent, width).drop("component")
+
+
+def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """What ``group_documents`` gives, and the ``component`` itself, which ids that repeat or are missing do not name."""
     sets, links = link_classes(docs, percent, width)
     components = connected_components(links)
     of_class = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = of_class.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = stage(named.withColumn("component", F.coalesce("component", "set_id")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "component").select("set_id", "component_id")
+    of_class = named.join(least, "component").select("set_id", "component_id", "component")
     found = sets.join(of_class, "set_id", "left")
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "set_id",
+        "component",
     )
 
 
@@ -465,9 +471,9 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WID
     named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_set", set_of(text))
     last = F.lit((1 << 63) - 1)
     chosen = (
-        group_documents(docs, percent, width)
+        _grouped(docs, percent, width)
         .where("n_shingles > 0")
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("set_id")).alias("nameless"))
+        .groupBy("component")
         .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "set_id")).alias("kept"))
         .select(F.when(F.col("kept.id") == last, F.lit(NO_ID)).otherwise(F.col("kept.id")).alias("_id"), F.col("kept.set_id").alias("_set"))
     )

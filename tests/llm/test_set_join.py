@@ -105,6 +105,15 @@ def test_keep_one_per_group(odd_documents, no_documents):
     assert set_join.keep_one_per_group(no_documents).count() == 0
 
 
+def test_one_is_kept_per_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words, f"end{i}"]) for i in range(3)]
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text) for text in near] + [(7, other), (7, " ".join(f"u{i}" for i in range(60)))]
+    kept = [r["doc_id"] for r in set_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == [7, 7, None]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100), (201, 200), (200, 202), (None, 3)]
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
