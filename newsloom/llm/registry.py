@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, katz, mixing, neighbours, pii, quality, set_join, token_counts, url_filter, vector_dedup
+from newsloom.llm import (
+    bpe,
+    fill_middle,
+    katz,
+    mixing,
+    neighbours,
+    periodic_runs,
+    pii,
+    quality,
+    secrets,
+    set_join,
+    token_counts,
+    url_filter,
+    vector_dedup,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +70,19 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_in_middle(_read(spark, sf_dir, "documents")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = periodic_runs.with_planted_repeats(_read(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.find_runs(documents))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(_read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_katz": op1_katz,
     "op2_learned_partitions": op2_learned_partitions,
@@ -67,10 +94,33 @@ QUERIES = {
     "op8_set_join": op8_set_join,
     "op9_token_counts": op9_token_counts,
     "op10_importance": op10_importance,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLES = {
     "op9_token_counts": r"""
 SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
 FROM documents""",
+    "op11_fill_middle": r"""
+WITH units AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+        sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hash FROM documents),
+numbers AS (
+    SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || hash[1:8] AS BIGINT) AS h1, CAST('0x' || hash[9:16] AS BIGINT) AS h2,
+        CAST('0x' || hash[17:24] AS BIGINT) AS h3, CAST('0x' || hash[25:32] AS BIGINT) AS h4 FROM units),
+cuts AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM numbers),
+parts AS (
+    SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle,
+        array_to_string(units[high + 1:], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parts""",
 }
