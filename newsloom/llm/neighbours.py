@@ -48,7 +48,8 @@ def nearest(points: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
     norms = (among**2).sum(axis=1)
     for low in range(0, len(points), 512):
         far = norms - 2 * points[low : low + 512] @ among.T
-        out.append(np.argpartition(far, k - 1, axis=1)[:, :k])
+        # A copy, as a view would keep all columns.
+        out.append(np.argpartition(far, k - 1, axis=1)[:, :k].copy())
     return np.concatenate(out)
 
 
@@ -231,9 +232,9 @@ def nearest_neighbours(table: DataFrame, is_query, k: int = 10, recall: float =
     if dims is None:
         return spark.createDataFrame([], fields)
     vectors = valid.where(F.col("dim") == dims["dim"]).select("vec_id", "vector")
-    sample = vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(SAMPLE).toPandas()
+    sample = stack(vectors.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id", "vector").limit(SAMPLE).toPandas()["vector"])
     parts = min(MAX_PARTITIONS, -(-dims["count"] // PER_PARTITION))
-    router = fit_router(stack(sample["vector"]), parts, recall, seed)
+    router = fit_router(sample, parts, recall, seed)
     sent = spark.sparkContext.broadcast(router)
 
     indexed = stage(_routed(vectors, sent, 1), "indexed")
