@@ -51,7 +51,7 @@ def _lemmatise_by_join(tokens: DataFrame, known: DataFrame) -> DataFrame:
     Rows are numbered in a stored copy, so that ids may repeat and numbers stay.
     """
     if tokens.isStreaming:
-        raise ValueError("lemmas on a stream are looked up in the row; this table is too large for that")
+        raise ValueError("this lemma table is too large to look up in a row of a stream; use newsloom.streaming.tag_in_batches")
     rows = stage(tokens.withColumn("_row", F.monotonically_increasing_id()), "rows")
     words = rows.select("_row", F.posexplode_outer("tokens").alias("pos", "form")).where("pos is not null")
     found = words.join(stage(known, "lemmas"), "form", "left")
@@ -130,7 +130,7 @@ def _merge_by_join(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     Rows are numbered in a stored copy, so that ids may repeat and numbers stay.
     """
     if tokens.isStreaming:
-        raise ValueError("phrases on a stream are looked up in the row; this set is too large for that")
+        raise ValueError("this phrase set is too large to look up in a row of a stream; use newsloom.streaming.tag_in_batches")
     rows = stage(tokens.withColumn("_row", F.monotonically_increasing_id()), "rows")
     pairs = rows.select("_row", F.posexplode_outer(_with_next(F.col("tokens"))).alias("pos", "pair"))
     wanted = phrases.select("w1", "w2").distinct()
@@ -275,12 +275,13 @@ def fit_vectoriser(
     Spark's estimator would cap by occurrences instead of documents and leave the order of
     equally frequent terms to chance; here the order is fixed, so that a seed decides what
     a model trained on the counts looks like. The terms pass through the driver, as they do in
-    the estimator; more than ``MAX_MODEL_TERMS`` are an error, never a cut.
+    the estimator; more than ``MAX_MODEL_TERMS`` are an error, never a cut. Models of
+    ``newsloom.operators.topic_tables`` have no such bound.
     """
     vocabulary = stage(build_vocabulary(tokens, min_docs, max_doc_share, max_terms), "vocabulary")
     size = vocabulary.count()
     if size > MAX_MODEL_TERMS:
-        raise ValueError(f"a model of {size} terms is too large for the driver; raise min_docs or pass max_terms")
+        raise ValueError(f"{size} terms are too many for the driver; train with optimizer 'gibbs' or 'variational', which need no driver")
     terms = [row.term for row in vocabulary.orderBy(F.desc("df"), F.asc("term")).select("term").collect()]
     return CountVectorizerModel.from_vocabulary(terms, inputCol="tokens", outputCol="features")
 

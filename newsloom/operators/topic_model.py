@@ -12,10 +12,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.sizing import require_small
 from newsloom.functions.staging import path_exists, shared_dir, stage
 from newsloom.operators.articles import top_rows_per
 from newsloom.operators.features import apply_phrases, lemmatise, tokenise, vocabulary_terms
+from newsloom.operators.topic_tables import TopicTable
 
 MIN_PROB = 0.1
 TOP_WORDS = 10
@@ -25,8 +25,8 @@ TOP_WORDS = 10
 class TopicModel:
     """A vocabulary and an LDA model over it, with the lemmas and phrases its tokens were made with.
 
-    Phrases are looked up inside the row, on tables and streams alike, so their size is checked
-    when the model is made. Lemmas may be any number; only streams need a table of checked size.
+    Phrases and lemmas may be any number. Where they are too many to look up inside a row, a stream is
+    tagged batch by batch (``newsloom.streaming.tag_in_batches``).
     """
 
     vectoriser: CountVectorizerModel
@@ -34,10 +34,6 @@ class TopicModel:
     phrases: DataFrame | None = None
     lemmas: DataFrame | None = None
 
-    def __post_init__(self) -> None:
-        if self.phrases is not None:
-            require_small(self.phrases.select("w1", "w2"), "the phrase set of a model")
-
     @property
     def num_topics(self) -> int:
         return self.lda.getK()
@@ -47,34 +43,43 @@ class TopicModel:
         tokens = tokenise(texts)
         return tokens if self.lemmas is None else lemmatise(tokens, self.lemmas)
 
-    def save(self, path: str) -> None:
-        """Write all parts to a new folder and list it last, so that an older model under the same
-        path stays whole until then and none of its parts is mixed in."""
-        spark = SparkSession.getActiveSession()
-        versions = f"{path}/versions"
-        number = _last_version(spark, path)
-        name = f"model-{uuid.uuid4().hex}"
-        folder = f"{path}/{name}"
+    def shares(self, tokens: DataFrame) -> DataFrame:
+        """``(id, shares, has_terms)`` and the other columns, row by row: no shuffle, on streams as well."""
+        inferred = self.lda.transform(self.vectoriser.transform(tokens))
+        features = self.vectoriser.getOutputCol()
+        return inferred.select(
+            *[name for name in tokens.columns if name != "tokens"],
+            vector_to_array(self.lda.getTopicDistributionCol()).alias("shares"),
+            (F.size(F.unwrap_udt(features)["values"]) > 0).alias("has_terms"),
+        )
+
+    def term_weights(self) -> DataFrame:
+        """``(topic_id, term_id, term, weight)``; the model and its vocabulary are on the driver."""
+        vocabulary = vocabulary_terms(SparkSession.getActiveSession(), self.vectoriser)
+        described = self.lda.describeTopics(self.lda.vocabSize())
+        weights = described.select(
+            F.col("topic").alias("topic_id"),
+            F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))),
+        )
+        return weights.join(vocabulary, "term_id").select("topic_id", "term_id", "term", "weight")
+
+    def write_parts(self, folder: str) -> None:
         self.vectoriser.write().save(f"{folder}/vectoriser")
         self.lda.write().save(f"{folder}/lda")
-        for part in ("phrases", "lemmas"):
-            if (table := getattr(self, part)) is not None:
-                table.write.parquet(f"{folder}/{part}")
-        row = (number + 1, name, self.phrases is not None, self.lemmas is not None)
-        spark.createDataFrame([row], VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(versions)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> TopicModel:
-        version = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").orderBy(F.desc("number")).first()
-        folder = f"{path}/{version['folder']}"
-        return cls(
-            CountVectorizerModel.load(f"{folder}/vectoriser"),
-            LocalLDAModel.load(f"{folder}/lda"),
-            spark.read.parquet(f"{folder}/phrases") if version["has_phrases"] else None,
-            spark.read.parquet(f"{folder}/lemmas") if version["has_lemmas"] else None,
-        )
+    def read_parts(cls, spark: SparkSession, folder: str, phrases: DataFrame | None, lemmas: DataFrame | None) -> TopicModel:
+        return cls(CountVectorizerModel.load(f"{folder}/vectoriser"), LocalLDAModel.load(f"{folder}/lda"), phrases, lemmas)
+
+    def save(self, path: str) -> None:
+        save_model(self, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> AnyModel:
+        return load_model(spark, path)
 
 
+AnyModel = TopicModel | TopicTable
 VERSION_SCHEMA = "number long, folder string, has_phrases boolean, has_lemmas boolean"
 
 
@@ -84,6 +89,34 @@ def _last_version(spark: SparkSession, path: str) -> int:
     return spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
 
 
+def save_model(model: AnyModel, path: str) -> None:
+    """Write all parts to a new folder and list it last, so that an older model under the same
+    path stays whole until then and none of its parts is mixed in."""
+    spark = SparkSession.getActiveSession()
+    number = _last_version(spark, path)
+    name = f"model-{uuid.uuid4().hex}"
+    folder = f"{path}/{name}"
+    model.write_parts(folder)
+    for part in ("phrases", "lemmas"):
+        if (table := getattr(model, part)) is not None:
+            table.write.parquet(f"{folder}/{part}")
+    row = (number + 1, name, model.phrases is not None, model.lemmas is not None)
+    spark.createDataFrame([row], VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def load_model(spark: SparkSession, path: str) -> AnyModel:
+    """The model saved last; of models saved at once, with equal numbers, always the same one."""
+    version = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").orderBy(F.desc("number"), "folder").first()
+    folder = f"{path}/{version['folder']}"
+    kind = TopicTable if path_exists(spark, f"{folder}/about") else TopicModel
+    return kind.read_parts(
+        spark,
+        folder,
+        spark.read.parquet(f"{folder}/phrases") if version["has_phrases"] else None,
+        spark.read.parquet(f"{folder}/lemmas") if version["has_lemmas"] else None,
+    )
+
+
 def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **params) -> LDAModel:
     """LDA over ``features``; other parameters of the estimator are passed through.
 
@@ -106,21 +139,13 @@ def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **par
         training.unpersist()
 
 
-def infer_topics(model: TopicModel, tokens: DataFrame) -> DataFrame:
+def infer_topics(model: AnyModel, tokens: DataFrame) -> DataFrame:
     """``(id, shares, has_terms)`` of prepared tokens: one share per topic, adding up to 1.
 
-    Row by row, so it needs no shuffle and runs on streams. A document without any known
-    term is kept, with zeros and ``has_terms`` false. Other columns are kept too.
+    A document without any known term is kept, with zeros and ``has_terms`` false. Other columns are
+    kept too. With a ``TopicModel`` this is row by row, so it needs no shuffle and runs on streams.
     """
-    prepared = tokens if model.phrases is None else apply_phrases(tokens, model.phrases)
-    inferred = model.lda.transform(model.vectoriser.transform(prepared))
-    features = model.vectoriser.getOutputCol()
-    distribution = model.lda.getTopicDistributionCol()
-    return inferred.select(
-        *[name for name in tokens.columns if name != "tokens"],
-        vector_to_array(distribution).alias("shares"),
-        (F.size(F.unwrap_udt(features)["values"]) > 0).alias("has_terms"),
-    )
+    return model.shares(tokens if model.phrases is None else apply_phrases(tokens, model.phrases))
 
 
 def long_topics(vectors: DataFrame) -> DataFrame:
@@ -148,16 +173,10 @@ def write_topics(vectors: DataFrame, path: str) -> None:
     ).parquet(f"{path}/by_topic")
 
 
-def topic_words(model: TopicModel, spark: SparkSession, normalised: bool = False) -> DataFrame:
+def topic_words(model: AnyModel, spark: SparkSession, normalised: bool = False) -> DataFrame:
     """``(topic_id, term_id, term, weight)`` for all topics and terms of the model."""
-    vocabulary = vocabulary_terms(spark, model.vectoriser)
-    described = model.lda.describeTopics(model.lda.vocabSize())
-    weights = described.select(
-        F.col("topic").alias("topic_id"),
-        F.inline(F.arrays_zip(F.col("termIndices").alias("term_id"), F.col("termWeights").alias("weight"))),
-    )
-    joined = weights.join(vocabulary, "term_id").select("topic_id", "term_id", "term", "weight")
-    return normalise_topic_words(joined) if normalised else joined
+    weights = model.term_weights()
+    return normalise_topic_words(weights) if normalised else weights
 
 
 def normalise_topic_words(words: DataFrame) -> DataFrame:
@@ -202,7 +221,7 @@ def article_topics(vectors: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
     )
 
 
-def tag_texts(model: TopicModel, texts: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
+def tag_texts(model: AnyModel, texts: DataFrame, min_prob: float = MIN_PROB) -> DataFrame:
     """Topics of unseen ``(id, text)``, prepared exactly as the training texts were."""
     return article_topics(infer_topics(model, model.prepare(texts)), min_prob)
 

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from newsloom.operators import articles as A
 from newsloom.operators import features as C
 from newsloom.operators import trends as T
-from newsloom.operators.topic_model import TopicModel, train_lda
+from newsloom.operators.topic_model import AnyModel, TopicModel, train_lda
+from newsloom.operators.topic_tables import GIBBS, VARIATIONAL, train_tables
 from newsloom.sources.tokens import materialise_tokens
 
 
@@ -106,7 +107,13 @@ class ArticleCorpus:
     def bags_by_time(self, max_count: int | None = None) -> DataFrame:
         return T.by_time(self.bags_of_words(), self.posts, max_count)
 
-    def train(self, num_topics: int, optimizer: str = "online", **params) -> TopicModel:
-        """``optimizer='em'`` stands in for training by Gibbs sampling."""
+    def train(self, num_topics: int, optimizer: str = "online", **params) -> AnyModel:
+        """``'gibbs'`` samples topics and ``'variational'`` takes variational steps, both over tables, for
+        vocabularies of any size; ``'online'`` and ``'em'`` are Spark's LDA, whose model is on the driver."""
+        if optimizer in (GIBBS, VARIATIONAL):
+            tokens = self.tokens()
+            found = train_tables(tokens, C.build_vocabulary(tokens), num_topics, optimizer, **params)
+            found.phrases, found.lemmas = self.phrases, self.lemmas
+            return found
         lda = train_lda(self.bags_of_words(), num_topics, optimizer, **params)
         return TopicModel(self.vectoriser, lda, self.phrases, self.lemmas)

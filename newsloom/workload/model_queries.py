@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.functions.staging import scratch_path
+from newsloom.functions.staging import scratch_path, stage
 from newsloom.operators import features as C
 from newsloom.operators import topic_model as E
 from newsloom.operators.features import tokenise
 from newsloom.plans import ArticleCorpus, TopicExplorer
 from newsloom.sources.pages import extract_articles
-from newsloom.streaming import read_article_stream, tag_stream, write_tags
+from newsloom.streaming import read_article_stream, tag_in_batches, tag_stream, write_tags
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
 from newsloom.workload.source_queries import PAGES_SQL
@@ -20,9 +20,12 @@ from newsloom.workload.tables import NUM_TOPICS, Tables
 
 ONLINE = {"maxIter": 10, "docConcentration": [0.1], "seed": 7}
 EM = {"maxIter": 5, "seed": 7}
+GIBBS = {"iterations": 20, "sweeps_per_merge": 4, "alpha": 0.1, "optimize_interval": 1, "seed": 7}
+VARIATIONAL = {"iterations": 6, "alpha": 0.1, "seed": 7}
+OPTIONS = {"online": ONLINE, "em": EM, "gibbs": GIBBS, "variational": VARIATIONAL}
 
 _corpora: dict[tuple[str, str], ArticleCorpus] = {}
-_models: dict[tuple[str, str, str], E.TopicModel] = {}
+_models: dict[tuple[str, str, str], E.AnyModel] = {}
 
 
 def corpus(t) -> ArticleCorpus:
@@ -33,11 +36,10 @@ def corpus(t) -> ArticleCorpus:
     return _corpora[key]
 
 
-def model(t, optimizer: str = "online") -> E.TopicModel:
+def model(t, optimizer: str = "online") -> E.AnyModel:
     key = (t.spark.sparkContext.applicationId, t.sf_dir, optimizer)
     if key not in _models:
-        options = ONLINE if optimizer == "online" else EM
-        _models[key] = corpus(t).train(NUM_TOPICS, optimizer, **options)
+        _models[key] = corpus(t).train(NUM_TOPICS, optimizer, **OPTIONS[optimizer])
     return _models[key]
 
 
@@ -107,15 +109,56 @@ def train_em(t):
     return trained(t, "em")
 
 
+@query("e1_train_variational", sql(TRAINED_SQL, "topics", "vocabulary"))
+def train_variational(t):
+    return trained(t, "variational")
+
+
+@query("e2_train_gibbs", sql(TRAINED_SQL, "topics", "vocabulary"))
+def train_gibbs(t):
+    return trained(t, "gibbs")
+
+
+TERM_TOTALS_SQL = "SELECT term, tf, CAST(tf AS DOUBLE) AS in_topics, true AS in_range FROM vocabulary"
+
+
+def term_totals(t, optimizer: str):
+    """The weights of a term add up to its occurrences, each one being in a topic, or in shares in several."""
+    weights = model(t, optimizer).weights.join(C.build_vocabulary(C.tokenise(t.texts)), "term")
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x)
+    in_range = F.forall("topics", lambda k: k.between(0, NUM_TOPICS - 1)) & F.forall("values", lambda x: x > 0)
+    return weights.select("term", "tf", F.round(total, 6).alias("in_topics"), in_range.alias("in_range"))
+
+
+@query("e1_variational_term_totals", sql(TERM_TOTALS_SQL, "vocabulary"))
+def variational_term_totals(t):
+    return term_totals(t, "variational")
+
+
+@query("e2_gibbs_term_totals", sql(TERM_TOTALS_SQL, "vocabulary"))
+def gibbs_term_totals(t):
+    return term_totals(t, "gibbs")
+
+
+@query("e2_gibbs_token_total", sql("SELECT CAST(sum(tf) AS DOUBLE) AS tokens, true AS adds_up, 10 AS n_topics FROM vocabulary", "vocabulary"))
+def gibbs_token_total(t):
+    """All tokens are in a topic, and the topics' sizes that the model keeps are those of its table."""
+    own = model(t, "gibbs")
+    kept = t.spark.createDataFrame(list(enumerate(own.totals)), "topic int, kept double")
+    counted = own.weights.select(F.inline(F.arrays_zip(F.col("topics").alias("topic"), F.col("values").alias("n")))).groupBy("topic").agg(F.sum("n").alias("n"))
+    joined = kept.join(counted, "topic", "left")
+    return joined.agg(F.sum("kept").alias("tokens"), F.every(F.col("kept") == F.coalesce("n", F.lit(0.0))).alias("adds_up"), F.count(F.lit(1)).cast("int").alias("n_topics"))
+
+
 INFERRED_SQL = """SELECT t.id, k.known IS NOT NULL AS has_terms, CAST(10 AS BIGINT) AS n_topics, true AS is_share,
     true AS adds_up FROM texts t LEFT JOIN (SELECT DISTINCT id, true AS known FROM words JOIN vocabulary USING (term)) k
     ON k.id = t.id"""
 
 
 @query("e3_infer_topics", sql(INFERRED_SQL, "texts", "words", "vocabulary"))
-def infer_topics(t):
+def infer_topics(t, optimizer: str = "online"):
     """One share per topic and article, between 0 and 1, adding up to 1 where a term is known."""
-    found = vectors(t)
+    found = vectors(t, optimizer)
     total = F.when(F.col("has_terms"), 1.0).otherwise(0.0)
     return (
         E.long_topics(found)
@@ -126,6 +169,16 @@ def infer_topics(t):
     )
 
 
+@query("e3_infer_topics_gibbs", sql(INFERRED_SQL, "texts", "words", "vocabulary"))
+def infer_sampled_topics(t):
+    return infer_topics(t, "gibbs")
+
+
+@query("e3_infer_topics_variational", sql(INFERRED_SQL, "texts", "words", "vocabulary"))
+def infer_variational_topics(t):
+    return infer_topics(t, "variational")
+
+
 @query("e3_share_sums", sql(SHARE_SUMS_SQL, "texts", "words", "vocabulary"))
 def online_share_sums(t):
     return share_sums(vectors(t))
@@ -214,6 +267,12 @@ def tag_texts(t):
     return check_tags(E.tag_texts(model(t), _turns(t)), E.infer_topics(model(t), tokenise(_turns(t))))
 
 
+@query("e6_tag_texts_gibbs", tagged_sql(TURNS_SQL))
+def tag_texts_by_samples(t):
+    own = model(t, "gibbs")
+    return check_tags(E.tag_texts(own, _turns(t)), stage(E.infer_topics(own, tokenise(_turns(t))), "shares"))
+
+
 @query("e7_tag_pages", tagged_sql(PAGE_TEXTS_SQL))
 def tag_pages(t):
     return check_tags(E.tag_texts(model(t), _page_texts(t)), E.infer_topics(model(t), tokenise(_page_texts(t))))
@@ -280,13 +339,18 @@ def explorer_from_tables(t):
 
 
 @query("a9_model_round_trip", sql(SHARE_SUMS_SQL, "texts", "words", "vocabulary"))
-def model_round_trip(t):
+def model_round_trip(t, optimizer: str = "online"):
     path = scratch_path(t.spark, "model")
-    model(t).save(path)
-    loaded = E.TopicModel.load(t.spark, path)
+    E.save_model(model(t, optimizer), path)
+    loaded = E.load_model(t.spark, path)
     return share_sums(E.infer_topics(loaded, corpus(t).tokens()))
 
 
+@query("a9_table_model_round_trip", sql(SHARE_SUMS_SQL, "texts", "words", "vocabulary"))
+def table_model_round_trip(t):
+    return model_round_trip(t, "gibbs")
+
+
 @query(
     "a10_explorer_from_model",
     sql("SELECT topic_id, true AS is_ranked, true AS is_score, true AS is_labelled FROM topics", "topics"),
@@ -326,6 +390,16 @@ def tagged_stream(t):
     return check_tags(_streamed(t), vectors(t))
 
 
+@query("l1_tag_in_batches", tagged_sql("SELECT doc_id AS id, text FROM documents"))
+def tagged_in_batches(t):
+    """A model in tables tags a stream batch by batch, with the topics of inference on the whole table."""
+    arriving, tags, progress = (scratch_path(t.spark, name) for name in ("arriving", "tags", "progress"))
+    t.texts.repartition(8, "id").write.parquet(arriving)
+    stream = read_article_stream(t.spark, arriving, max_files_per_trigger=4)
+    tag_in_batches(model(t, "gibbs"), stream, tags, progress, available_now=True).awaitTermination()
+    return check_tags(t.spark.read.parquet(tags).drop("batch"), stage(vectors(t, "gibbs"), "shares"))
+
+
 @query("l1_stream_equals_batch", "SELECT CAST(0 AS BIGINT) AS n_different")
 def stream_equals_batch(t):
     """Tags that only the stream or only the batch job has."""
