@@ -61,6 +61,13 @@ def _lemmatise_by_join(tokens: DataFrame, known: DataFrame) -> DataFrame:
     return joined.select(*tokens.columns)
 
 
+def with_values(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """Lists of the lengths of ``lists`` with other values."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
+
+
 def _lemmatise_by_lookup(tokens: DataFrame, known: DataFrame) -> DataFrame:
     """A lemma table of checked size: no shuffle, so it also works on a stream."""
     table = known.toArrow()
@@ -71,10 +78,7 @@ def _lemmatise_by_lookup(tokens: DataFrame, known: DataFrame) -> DataFrame:
     def look_up(lists: pa.Array) -> pa.Array:
         forms, found = sent.value
         flat = lists.flatten()
-        terms = pc.coalesce(found.take(pc.index_in(flat, value_set=forms)), flat)
-        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), terms, mask=lists.is_null())
+        return with_values(lists, pc.coalesce(found.take(pc.index_in(flat, value_set=forms)), flat))
 
     return tokens.withColumn("tokens", look_up("tokens"))
 

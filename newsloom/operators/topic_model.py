@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.staging import path_exists, shared_dir, stage
 from newsloom.operators.articles import top_rows_per
-from newsloom.operators.features import apply_phrases, lemmatise, tokenise, vocabulary_terms
+from newsloom.operators.features import apply_phrases, vocabulary_terms
+from newsloom.operators.lemma_rules import prepare_tokens
 from newsloom.operators.topic_tables import TopicTable
 
 MIN_PROB = 0.1
@@ -23,7 +24,7 @@ TOP_WORDS = 10
 
 @dataclass
 class TopicModel:
-    """A vocabulary and an LDA model over it, with the lemmas and phrases its tokens were made with.
+    """A vocabulary and an LDA model over it, with the lemmas, lemma rules and phrases of its tokens.
 
     Phrases and lemmas may be any number. Where they are too many to look up inside a row, a stream is
     tagged batch by batch (``newsloom.streaming.tag_in_batches``).
@@ -33,6 +34,7 @@ class TopicModel:
     lda: LDAModel
     phrases: DataFrame | None = None
     lemmas: DataFrame | None = None
+    rules: DataFrame | None = None
 
     @property
     def num_topics(self) -> int:
@@ -40,8 +42,7 @@ class TopicModel:
 
     def prepare(self, texts: DataFrame) -> DataFrame:
         """Tokens of ``(id, text)`` as the training texts had them, before phrases are merged."""
-        tokens = tokenise(texts)
-        return tokens if self.lemmas is None else lemmatise(tokens, self.lemmas)
+        return prepare_tokens(texts, self.lemmas, self.rules)
 
     def shares(self, tokens: DataFrame) -> DataFrame:
         """``(id, shares, has_terms)`` and the other columns, row by row: no shuffle, on streams as well."""
@@ -68,8 +69,8 @@ class TopicModel:
         self.lda.write().save(f"{folder}/lda")
 
     @classmethod
-    def read_parts(cls, spark: SparkSession, folder: str, phrases: DataFrame | None, lemmas: DataFrame | None) -> TopicModel:
-        return cls(CountVectorizerModel.load(f"{folder}/vectoriser"), LocalLDAModel.load(f"{folder}/lda"), phrases, lemmas)
+    def read_parts(cls, spark: SparkSession, folder: str, **tables: DataFrame | None) -> TopicModel:
+        return cls(CountVectorizerModel.load(f"{folder}/vectoriser"), LocalLDAModel.load(f"{folder}/lda"), **tables)
 
     def save(self, path: str) -> None:
         save_model(self, path)
@@ -80,7 +81,8 @@ class TopicModel:
 
 
 AnyModel = TopicModel | TopicTable
-VERSION_SCHEMA = "number long, folder string, has_phrases boolean, has_lemmas boolean"
+PREPARATION = ("phrases", "lemmas", "rules")
+VERSION_SCHEMA = "number long, folder string, " + ", ".join(f"has_{part} boolean" for part in PREPARATION)
 
 
 def _last_version(spark: SparkSession, path: str) -> int:
@@ -97,10 +99,10 @@ def save_model(model: AnyModel, path: str) -> None:
     name = f"model-{uuid.uuid4().hex}"
     folder = f"{path}/{name}"
     model.write_parts(folder)
-    for part in ("phrases", "lemmas"):
+    for part in PREPARATION:
         if (table := getattr(model, part)) is not None:
             table.write.parquet(f"{folder}/{part}")
-    row = (number + 1, name, model.phrases is not None, model.lemmas is not None)
+    row = (number + 1, name, *(getattr(model, part) is not None for part in PREPARATION))
     spark.createDataFrame([row], VERSION_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
@@ -109,12 +111,8 @@ def load_model(spark: SparkSession, path: str) -> AnyModel:
     version = spark.read.schema(VERSION_SCHEMA).parquet(f"{path}/versions").orderBy(F.desc("number"), "folder").first()
     folder = f"{path}/{version['folder']}"
     kind = TopicTable if path_exists(spark, f"{folder}/about") else TopicModel
-    return kind.read_parts(
-        spark,
-        folder,
-        spark.read.parquet(f"{folder}/phrases") if version["has_phrases"] else None,
-        spark.read.parquet(f"{folder}/lemmas") if version["has_lemmas"] else None,
-    )
+    tables = {part: spark.read.parquet(f"{folder}/{part}") for part in PREPARATION if version[f"has_{part}"]}
+    return kind.read_parts(spark, folder, **tables)
 
 
 def train_lda(bags: DataFrame, num_topics: int, optimizer: str = "online", **params) -> LDAModel:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.staging import scratch_path, stage
 from newsloom.operators import topic_sampling as S
-from newsloom.operators.features import lemmatise, tokenise
+from newsloom.operators.lemma_rules import prepare_tokens
 
 TOKENS_PER_PART = 1 << 16
 GIBBS, VARIATIONAL = "gibbs", "variational"
@@ -302,7 +302,7 @@ ABOUT = "kind string, alpha array<double>, beta double, totals array<double>, nu
 class TopicTable:
     """``weights`` has ``(term, topics, values)`` for every term: token counts by topic, or expected ones.
 
-    It is used like a ``TopicModel``: ``phrases`` and ``lemmas`` are those its tokens were made with.
+    It is used like a ``TopicModel``: ``phrases``, ``lemmas`` and ``rules`` are those its tokens were made with.
     """
 
     kind: str
@@ -313,6 +313,7 @@ class TopicTable:
     num_terms: int
     phrases: DataFrame | None = None
     lemmas: DataFrame | None = None
+    rules: DataFrame | None = None
 
     @property
     def num_topics(self) -> int:
@@ -320,8 +321,7 @@ class TopicTable:
 
     def prepare(self, texts: DataFrame) -> DataFrame:
         """Tokens of ``(id, text)`` as the training texts had them, before phrases are merged."""
-        tokens = tokenise(texts)
-        return tokens if self.lemmas is None else lemmatise(tokens, self.lemmas)
+        return prepare_tokens(texts, self.lemmas, self.rules)
 
     def shares(self, tokens: DataFrame, tokens_per_part: int = TOKENS_PER_PART) -> DataFrame:
         """``(id, shares, has_terms)`` and the other columns; each document by variational steps.
@@ -368,7 +368,7 @@ class TopicTable:
         self.weights.sparkSession.createDataFrame([row], ABOUT).coalesce(1).write.parquet(f"{folder}/about")
 
     @classmethod
-    def read_parts(cls, spark: SparkSession, folder: str, phrases: DataFrame | None, lemmas: DataFrame | None) -> TopicTable:
+    def read_parts(cls, spark: SparkSession, folder: str, **tables: DataFrame | None) -> TopicTable:
         about = spark.read.schema(ABOUT).parquet(f"{folder}/about").first()
         weights = spark.read.schema("term string, topics array<int>, values array<double>").parquet(f"{folder}/weights")
-        return cls(about.kind, weights, about.alpha, about.beta, about.totals, about.num_terms, phrases, lemmas)
+        return cls(about.kind, weights, about.alpha, about.beta, about.totals, about.num_terms, **tables)

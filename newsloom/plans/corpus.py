@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from newsloom.operators import articles as A
 from newsloom.operators import features as C
 from newsloom.operators import trends as T
+from newsloom.operators.lemma_rules import learn_lemma_rules, prepare_tokens
 from newsloom.operators.topic_model import AnyModel, TopicModel, train_lda
 from newsloom.operators.topic_tables import GIBBS, VARIATIONAL, train_tables
 from newsloom.sources.tokens import materialise_tokens
 
 
 class ArticleCorpus:
-    """Texts ``(id, text)``, optionally with posts, a lemma table and a place for tokens.
+    """Texts ``(id, text)``, optionally with posts, a lemma table, lemma rules and a place for tokens.
 
     Methods return DataFrames. Without ``tokens_path`` every use reads the texts again.
     """
@@ -27,12 +28,14 @@ class ArticleCorpus:
         posts: DataFrame | None = None,
         tokens_path: str | None = None,
         lemmas: DataFrame | None = None,
+        rules: DataFrame | None = None,
     ):
         self.spark = texts.sparkSession
         self.texts = texts
         self.metadata = posts
         self.tokens_path = tokens_path
         self.lemmas = lemmas
+        self.rules = rules
         self.phrases: DataFrame | None = None
 
     @property
@@ -45,8 +48,15 @@ class ArticleCorpus:
         return A.stream_articles(self.texts, self.metadata, max_count, min_points)
 
     def _tokenised(self, texts: DataFrame) -> DataFrame:
-        tokens = C.tokenise(texts)
-        return tokens if self.lemmas is None else C.lemmatise(tokens, self.lemmas)
+        return prepare_tokens(texts, self.lemmas, self.rules)
+
+    def learn_lemma_rules(self, **bounds) -> DataFrame:
+        """Learn from the lemma table how other forms end; tokens that are not stored yet follow it."""
+        if self.lemmas is None:
+            raise ValueError("rules are learned from a lemma table")
+        self.rules = learn_lemma_rules(self.lemmas, **bounds)
+        self.__dict__.pop("vectoriser", None)
+        return self.rules
 
     def plain_tokens(self) -> DataFrame:
         if self.tokens_path is None:
@@ -113,7 +123,7 @@ class ArticleCorpus:
         if optimizer in (GIBBS, VARIATIONAL):
             tokens = self.tokens()
             found = train_tables(tokens, C.build_vocabulary(tokens), num_topics, optimizer, **params)
-            found.phrases, found.lemmas = self.phrases, self.lemmas
+            found.phrases, found.lemmas, found.rules = self.phrases, self.lemmas, self.rules
             return found
         lda = train_lda(self.bags_of_words(), num_topics, optimizer, **params)
-        return TopicModel(self.vectoriser, lda, self.phrases, self.lemmas)
+        return TopicModel(self.vectoriser, lda, self.phrases, self.lemmas, self.rules)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions.staging import scratch_path, stage
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
-from newsloom.functions.staging import scratch_path, stage
+from newsloom.operators.lemma_rules import learn_lemma_rules, prepare_tokens
 from newsloom.plans import ArticleCorpus, SearchIndex
 from newsloom.workload.oracle import sql
 from newsloom.workload.registry import query
@@ -44,6 +45,72 @@ def lemmas(t):
     return token_digests(C.lemmatise(tokens, table))
 
 
+# Pairs of words of the documents, one being the other with an ending; of several lemmas the first one.
+ENDINGS = ("s", "en", "er", "ed", "ing", "tion")
+LEMMA_PAIRS_SQL = f"""lemma_pairs AS (
+    SELECT term AS form, min(left(term, length(term) - length(ending))) AS lemma
+    FROM word_counts, (SELECT unnest({list(ENDINGS)}) AS ending)
+    WHERE term LIKE ('__%' || ending) AND left(term, length(term) - length(ending)) IN (SELECT term FROM word_counts)
+    GROUP BY term)"""
+LEMMA_RULES_SQL = f"""{LEMMA_PAIRS_SQL}, edits AS (
+    SELECT form, length(form) - kept AS cut, substr(lemma, kept + 1) AS addition FROM (
+        SELECT form, lemma, list_max(list_filter(range(0, least(length(form), length(lemma)) + 1),
+            lambda n: left(form, n) = left(lemma, n))) AS kept FROM lemma_pairs)),
+counted AS (
+    SELECT right(form, n) AS suffix, cut, addition, count(*) AS n FROM (
+        SELECT *, unnest(range(cut, greatest(cut, least(length(form), 5)) + 1)) AS n FROM edits) GROUP BY ALL),
+rules AS (
+    SELECT * FROM (SELECT suffix, cut, addition, n, sum(n) OVER (PARTITION BY suffix) AS total,
+        row_number() OVER (PARTITION BY suffix ORDER BY n DESC, cut, addition) AS nth FROM counted)
+    WHERE nth = 1 AND n >= 2 AND n >= 0.5 * total),
+own_rules AS (
+    SELECT r.* FROM rules r LEFT JOIN rules p ON r.suffix <> '' AND p.suffix = substr(r.suffix, 2)
+    WHERE p.suffix IS NULL OR p.cut <> r.cut OR p.addition <> r.addition)"""
+
+
+def lemma_pairs(t):
+    """A lemma table that the words at hand make."""
+    terms = stage(C.term_counts(C.tokenise(t.texts)).select("term"), "terms")
+    stem = F.expr("left(term, length(term) - length(ending))")
+    forms = terms.withColumn("ending", F.explode(F.array(*map(F.lit, ENDINGS))))
+    forms = forms.where(F.expr("term like concat('__%', ending)")).select(F.col("term").alias("form"), stem.alias("lemma"))
+    known = forms.join(terms.select(F.col("term").alias("lemma")), "lemma", "left_semi")
+    return stage(known.groupBy("form").agg(F.min("lemma").alias("lemma")), "lemma_pairs")
+
+
+@query(
+    "c1_lemma_rules",
+    sql(f", {LEMMA_RULES_SQL} SELECT suffix, CAST(cut AS INTEGER) AS cut, addition, n, CAST(total AS BIGINT) AS total FROM own_rules", "word_counts"),
+)
+def lemma_rules(t):
+    return learn_lemma_rules(lemma_pairs(t))
+
+
+@query(
+    "c1_lemmas_by_rules",
+    sql(
+        rf""", {LEMMA_RULES_SQL}, spoken AS (
+            SELECT conv_id * 1000 + turn AS id, regexp_extract_all(lower(text), '\p{{L}}+') AS tokens FROM conversations),
+        turns AS (SELECT id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS pos FROM spoken),
+        guessed AS (
+            SELECT term, CASE WHEN length(edited) > 0 THEN edited ELSE term END AS lemma FROM (
+                SELECT term, left(term, length(term) - cut) || addition AS edited,
+                    row_number() OVER (PARTITION BY term ORDER BY length(suffix) DESC) AS nth
+                FROM (SELECT DISTINCT term FROM turns) JOIN own_rules ON right(term, length(suffix)) = suffix)
+            WHERE nth = 1)
+        SELECT id, count(*) AS n_tokens,
+            md5(string_agg(coalesce(p.lemma, g.lemma, t.term), ' ' ORDER BY pos)) AS digest
+        FROM turns t LEFT JOIN lemma_pairs p ON p.form = t.term LEFT JOIN guessed g ON g.term = t.term GROUP BY id""",
+        "word_counts",
+    ),
+)
+def lemmas_by_rules(t):
+    """Other texts than those the lemma table was made for: forms it does not hold follow the rules."""
+    pairs = lemma_pairs(t)
+    turns = t.read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return token_digests(prepare_tokens(turns, pairs, stage(learn_lemma_rules(pairs), "rules")))
+
+
 @query("c2_surface_tokens", sql(TOKEN_DIGESTS_SQL + " FROM surface", "surface"))
 def surface(t):
     return token_digests(D.with_surface_tokens(t.texts))
