@@ -13,7 +13,9 @@
 5. For the rest, groups are compared by their leaders. Each member's answers follow from its leader's:
    a member shares at most as much with another set as its leader does, plus what it does not share
    with its leader. Pairs of groups that cannot reach the similarity are skipped as a whole, as are
-   pairs of classes that are connected already.
+   pairs of classes that are connected already. So are, before they are made, pairs of groups whose
+   leaders' signatures differ in too many bits: a signature has the parities of a set's shingles by a hash,
+   so that sets differ in as many shingles at least (a bitmap filter, which never skips a link).
 6. The pairs of sets left over pass the positional bound on their shared prefix, are counted exactly,
    and components are formed over all links.
 
@@ -49,8 +51,13 @@ TURNS = 12
 FEW = 20
 # A class is paired with a leader it meets under one in ``ENOUGH`` of its shingles.
 ENOUGH = 20
+# Bits of a set that say how far it is from another one at least, in words of 64.
+SIGNATURE_WORDS = 4
+SIGNATURE = tuple(f"bits_{k}" for k in range(SIGNATURE_WORDS))
 FILTER_BITS = 1 << 24
 BITMAP = 1 << 15
+# Texts whose sets are made at once, where nothing is gained by more.
+PIECE_BYTES = 4 << 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -72,6 +79,22 @@ def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return flat, out, ids.view(np.int64)
 
 
+def _signatures(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Each set as parities of its shingles by a hash: sets differ in as many shingles at least as their
+    signatures differ in bits."""
+    place = mix(flat, 24) % np.uint64(64 * SIGNATURE_WORDS)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    filled = np.flatnonzero(np.diff(bounds))
+    out = []
+    for k in range(SIGNATURE_WORDS):
+        word = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        if len(filled):
+            own = np.where(place >> np.uint64(6) == k, bit, np.uint64(0))
+            word[filled] = np.bitwise_xor.reduceat(own, bounds[filled])
+        out.append(word.view(np.int64))
+    return out
+
+
 def shingle_weights(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How frequent the shingles are that share the first ``TABLE_BITS`` bits of their hash.
 
@@ -116,15 +139,15 @@ def shingle_weights(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, set_id, n)`` of every document."""
+    """``(doc_id, set_id, n)`` of every document, and the signature of its set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
-            _, bounds, ids = _sets(batch.column(1), width)
-            columns = [batch.column(0), pa.array(ids), pa.array(np.diff(bounds))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n"])
+        for batch in pieces(batches, 1, PIECE_BYTES):
+            flat, bounds, ids = _sets(batch.column(1), width)
+            columns = [batch.column(0), pa.array(ids), pa.array(np.diff(bounds)), *map(pa.array, _signatures(flat, bounds))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "set_id", "n", *SIGNATURE])
 
-    return _texts(docs).mapInArrow(sets, "doc_id long, set_id long, n long")
+    return _texts(docs).mapInArrow(sets, "doc_id long, set_id long, n long, " + ", ".join(f"{name} long" for name in SIGNATURE))
 
 
 def _postings(docs: DataFrame, weights: Broadcast, buckets: int, percent: int, width: int) -> DataFrame:
@@ -242,7 +265,7 @@ class _Sets:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
-            for batch in pieces(batches, 1):
+            for batch in pieces(batches, 1, PIECE_BYTES):
                 flat, bounds, ids = _sets(batch.column(1), width)
                 at = ids & (FILTER_BITS - 1)
                 hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
@@ -321,16 +344,31 @@ def _follow_leaders(lists: DataFrame, sets: _Sets, percent: int) -> tuple[DataFr
     return links, known
 
 
-def _group_pairs(entries: DataFrame) -> DataFrame:
+def _far_apart(percent: int) -> Column:
+    """Whether the signatures of two groups' leaders differ in more bits than members that link allow.
+
+    Sets that link differ in ``(n_a + n_b) (100 - percent) / (100 + percent)`` shingles at most, and each
+    member differs from its leader in ``slack`` at most.
+    """
+    bits = sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in SIGNATURE), F.lit(0))
+    allowed = (F.col("high") + F.col("high_b")) * F.lit((100 - percent) / (100 + percent)) + F.col("slack") + F.col("slack_b")
+    return bits > allowed + 1e-6
+
+
+def _group_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups that share an index list, in fitting blocks, and are not connected yet.
 
-    ``shared`` counts common entries, ``last_a`` and ``last_b`` are the last places of these.
+    Pairs whose signatures are too far apart are skipped before they are made. ``shared`` counts common
+    entries, ``last_a`` and ``last_b`` are the last places of these.
     """
     once = entries.groupBy("shingle", "block", "group", "component").agg(F.max("place").alias("place"))
-    left = once.select("shingle", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"), "group", "component", "place")
-    right = once.select("shingle", "block", F.col("group").alias("group_b"), F.col("component").alias("component_b"), F.col("place").alias("place_b"))
+    once = stage(once.join(groups.select("group", "high", "slack", *SIGNATURE), "group"), "once")
+    kept = ("component", "place", "high", "slack", *SIGNATURE)
+    left = once.select("shingle", F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("own"), "group", *kept)
+    right = once.select("shingle", "block", F.col("group").alias("group_b"), *[F.col(c).alias(f"{c}_b") for c in kept])
     met = left.join(right, ["shingle", "block"])
-    met = met.where((F.col("own") < F.col("block")) | (F.col("group") < F.col("group_b"))).where("component <> component_b")
+    met = met.where((F.col("own") < F.col("block")) | (F.col("group") < F.col("group_b")))
+    met = met.where((F.col("component") != F.col("component_b")) & ~_far_apart(percent))
     first = F.col("group") < F.col("group_b")
     return met.groupBy(F.least("group", "group_b").alias("a"), F.greatest("group", "group_b").alias("b")).agg(
         F.count("*").alias("shared"),
@@ -357,9 +395,10 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
 
     known_sets = _Sets(docs, width)
     led, known = _follow_leaders(lists, known_sets, percent)
-    nearest = F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("apart"), "b"))
+    differ = F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")
+    nearest = F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("apart"), "b", differ.alias("slack")))
     followers = led.groupBy(F.col("a").alias("set_id")).agg(nearest.alias("led"))
-    followers = followers.select("set_id", F.col("led.b").alias("leader"), F.col("led.apart").alias("apart"))
+    followers = followers.select("set_id", F.col("led.b").alias("leader"), F.col("led.apart").alias("apart"), F.col("led.slack").alias("slack"))
     opened = stage(_open_lists(lists, known), "open_lists")
     classes = (
         opened.select("set_id", "n", "component")
@@ -371,11 +410,15 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
             "component",
             F.coalesce("leader", "set_id").alias("group"),
             F.coalesce("apart", F.lit(0)).alias("apart"),
+            F.coalesce("slack", F.lit(0)).alias("slack"),
         )
     )
     classes = stage(classes, "classes")
+    leaders = classes.select("group").distinct()
+    signatures = sets.select(F.col("set_id").alias("group"), *SIGNATURE).join(leaders, "group", "left_semi").dropDuplicates(["group"])
+    signatures = stage(signatures, "signatures")
     entries = stage(opened.join(classes.select("set_id", "group"), "set_id"), "entries")
-    later = _links_between_groups(entries, classes, known_sets, percent)
+    later = _links_between_groups(entries, classes, signatures, known_sets, percent)
     return sets, led.select("a", "b").unionByName(later)
 
 
@@ -385,18 +428,20 @@ def _may_reach(shared: Column, n_a: Column, n_b: Column, last_a: Column, last_b:
     return shared + F.least(rests, n_a - last_a, n_b - last_b) >= _least_overlap(n_a, n_b, percent)
 
 
-def _links_between_groups(entries: DataFrame, classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+def _links_between_groups(entries: DataFrame, classes: DataFrame, signatures: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Links between classes that the leaders have not connected."""
     groups = classes.groupBy("group").agg(
         F.count("*").alias("members"),
         F.min("n").alias("low"),
         F.max("n").alias("high"),
         F.max("apart").alias("apart"),
+        F.max("slack").alias("slack"),
         F.min("set_id").alias("only"),
     )
-    pairs = _group_pairs(entries)
+    groups = stage(groups, "groups")
+    pairs = _group_pairs(entries, groups.join(signatures, "group"), percent)
     for side in "ab":
-        named = groups.select(F.col("group").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in groups.columns if c != "group"])
+        named = groups.select(F.col("group").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in groups.columns if c not in ("group", "slack")])
         pairs = pairs.join(named, side)
     single = (F.col("members_a") == 1) & (F.col("members_b") == 1)
     alone = _may_reach(F.col("shared"), F.col("low_a"), F.col("low_b"), F.col("last_a"), F.col("last_b"), percent)
