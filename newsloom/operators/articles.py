@@ -12,9 +12,24 @@ MIN_POINTS = 50
 POST_FIELDS = ("title", "url", "num_points", "author", "created_at")
 
 
+def required(broken: Column, *message: Column | str) -> Column:
+    """A condition that holds for all rows, or ends the query at the first row where ``broken`` holds."""
+    parts = [part if isinstance(part, Column) else F.lit(part) for part in message]
+    return F.when(broken, F.raise_error(F.concat(*parts)).cast("boolean")).otherwise(F.lit(True))
+
+
 def with_metadata(texts: DataFrame, posts: DataFrame) -> DataFrame:
-    """Every text with the fields of its post."""
-    return texts.join(posts.select("id", *POST_FIELDS), "id")
+    """Every text with the fields of its post; a text must have exactly one, else the query fails.
+
+    Posts are counted per id on the way into the join, so the check reads nothing again. See
+    ``metadata_problems`` for a list of what is wrong.
+    """
+    fields = F.struct(*[F.col(name) for name in POST_FIELDS])
+    single = posts.groupBy("id").agg(F.count(F.lit(1)).alias("_posts"), F.first(fields).alias("_post"))
+    joined = texts.join(single, "id", "left")
+    name = F.coalesce(F.col("id").cast("string"), F.lit("without id"))
+    checked = joined.where(required(F.coalesce("_posts", F.lit(0)) != 1, "article ", name, " has ", F.coalesce("_posts", F.lit(0)).cast("string"), " posts"))
+    return checked.select(*texts.columns, *[F.col("_post").getField(name).alias(name) for name in POST_FIELDS])
 
 
 def metadata_problems(texts: DataFrame, posts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,22 +22,68 @@ COMMON_SHARE = 0.2
 # Similarities are rounded before they are compared with a percentile of themselves, so
 # that the order in which a cluster adds numbers up cannot move a cell across the bound.
 SIMILARITY_DIGITS = 12
-# Partial matrices are added up in this many groups first.
-PARTIAL_GROUPS = 64
+# Topics on a side of a tile of a matrix, tiles that are added up at a time, and levels of sums below the
+# root: enough for FAN_IN ** 3 tasks.
+TILE = 128
+FAN_IN = 64
+LEVELS = 2
+
+
+def _tiles(dots: np.ndarray, both: np.ndarray, part: int) -> pa.RecordBatch:
+    """The upper half of two symmetric matrices as a row per square tile."""
+    cuts = range(0, len(dots), TILE)
+    places = [(a, b) for a in cuts for b in cuts if a <= b]
+    cut = lambda m: [np.ascontiguousarray(m[a : a + TILE, b : b + TILE]).tobytes() for a, b in places]
+    columns = [
+        pa.array([a for a, _ in places], pa.int32()),
+        pa.array([b for _, b in places], pa.int32()),
+        pa.array([part] * len(places), pa.int32()),
+        pa.array([len(dots)] * len(places), pa.int32()),
+        pa.array(cut(dots), pa.binary()),
+        pa.array(cut(both.astype(np.int64)), pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "part", "size", "dots", "both"])
+
+
+def _sum_of(tiles: pa.Table, name: str, kind: type) -> np.ndarray:
+    """The tiles of a group added up in the order of their parts, so that sums can be repeated."""
+    ordered = tiles.take(pc.sort_indices(tiles["part"]))[name].to_pylist()
+    total = np.zeros(len(ordered[0]) // 8, dtype=kind)
+    for tile in ordered:
+        total += np.frombuffer(tile, dtype=kind)
+    return total
+
+
+def _added(tiles: pa.Table) -> pa.Table:
+    """One tile instead of all of a group, for the next level of the tree."""
+    first = tiles.slice(0, 1)
+    sums = {name: _sum_of(tiles, name, kind).tobytes() for name, kind in (("dots", np.float64), ("both", np.int64))}
+    out = {name: first[name] for name in ("a", "b", "part", "size")} | {name: pa.array([x], pa.binary()) for name, x in sums.items()}
+    out["part"] = pa.array([tiles["part"][0].as_py() // FAN_IN], pa.int32())
+    return pa.table(out)
+
+
+def _cells_of(tiles: pa.Table) -> pa.Table:
+    """``(i, j, dot, both)`` of the upper half from all parts of a tile."""
+    a, b, size = (tiles[name][0].as_py() for name in ("a", "b", "size"))
+    shape = (min(TILE, size - a), min(TILE, size - b))
+    i, j = np.indices(shape)
+    kept = i + a <= j + b
+    dots, both = (_sum_of(tiles, name, kind).reshape(shape)[kept] for name, kind in (("dots", np.float64), ("both", np.int64)))
+    return pa.table({"i": pa.array((i[kept] + a).astype(np.int32)), "j": pa.array((j[kept] + b).astype(np.int32)), "dot": dots, "both": both})
 
 
 def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_PROB) -> DataFrame:
     """``(i, j, dot, both)`` for topics ``i <= j``, from one row of topic weights per article.
 
-    ``dot`` is the sum of products and ``both`` the number of rows above ``threshold`` in
-    both topics. Each task multiplies its rows as matrices and emits one row per pair of
-    topics, however many articles it reads. The rows of a pair, one per task, are added up
-    in groups and then over the groups.
+    ``dot`` is the sum of products and ``both`` the number of rows above ``threshold`` in both topics. Each
+    task multiplies its rows as matrices and emits one row per tile of ``TILE`` by ``TILE`` topics, however
+    many articles it reads. Tiles are added up as a tree, ``FAN_IN`` at a time, so no task holds more than
+    these; single cells appear at its root only.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dots, both = None, None
-        group = TaskContext.get().partitionId() % PARTIAL_GROUPS
         for batch in batches:
             rows = batch.num_rows
             if rows == 0:
@@ -49,28 +96,13 @@ def gram_cells(vectors: DataFrame, column: str, threshold: float = JACCARD_MIN_P
             dots += weights.T @ weights
             both += above.T @ above
         if dots is not None:
-            i, j = np.triu_indices(len(dots))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(i.astype(np.int32)),
-                    pa.array(j.astype(np.int32)),
-                    pa.array(dots[i, j]),
-                    pa.array(both[i, j].astype(np.int64)),
-                    pa.array(np.full(len(i), group, dtype=np.int32)),
-                ],
-                names=["i", "j", "dot", "both", "part"],
-            )
-
-    sums = [F.sum("dot").alias("dot"), F.sum("both").alias("both")]
-    return (
-        vectors.select(column)
-        .where(F.col(column).isNotNull())
-        .mapInArrow(partial, "i int, j int, dot double, both bigint, part int")
-        .groupBy("i", "j", "part")
-        .agg(*sums)
-        .groupBy("i", "j")
-        .agg(*sums)
-    )
+            yield _tiles(dots, both, TaskContext.get().partitionId())
+
+    fields = "a int, b int, part int, size int, dots binary, both binary"
+    tiles = vectors.select(column).where(F.col(column).isNotNull()).mapInArrow(partial, fields)
+    for _ in range(LEVELS):
+        tiles = tiles.groupBy("a", "b", F.expr(f"part div {FAN_IN}")).applyInArrow(_added, fields)
+    return tiles.groupBy("a", "b").applyInArrow(_cells_of, "i int, j int, dot double, both bigint")
 
 
 def _mirrored(cells: DataFrame) -> DataFrame:

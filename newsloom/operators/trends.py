@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.operators.articles import posts_in, posts_with_text
+from newsloom.operators.articles import posts_in, posts_with_text, required
 from newsloom.operators.topic_model import MIN_PROB
 
 TREND_WINDOW = 30
@@ -93,9 +93,16 @@ def article_counts(posts: DataFrame, ids: DataFrame, window_size: int = COUNT_WI
 
 
 def time_slices(posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(month, n)``: articles per month, in time order."""
-    dated = posts_with_text(posts.select("id", "created_at"), texts)
-    return dated.groupBy(month_of(F.col("created_at")).alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month")
+    """``(month, n)``: articles per month, in time order; the slices add up to the articles.
+
+    An article with two posts would be counted twice and one without a date in no month; either ends the
+    query. Both are seen in the counts per id that the months are made from.
+    """
+    dated = posts_with_text(posts.select("id", "created_at"), texts).groupBy("id")
+    single = dated.agg(F.count(F.lit(1)).alias("n"), F.min("created_at").alias("created_at"))
+    broken = (F.col("n") > 1) | F.col("created_at").isNull()
+    checked = single.where(required(broken, "article ", F.col("id").cast("string"), " has no single date"))
+    return checked.groupBy(month_of(F.col("created_at")).alias("month")).agg(F.count(F.lit(1)).alias("n")).orderBy("month")
 
 
 def ids_by_time(posts: DataFrame, texts: DataFrame, max_count: int | None = None) -> DataFrame:

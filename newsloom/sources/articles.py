@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +19,21 @@ def read_text_folder(
     """``(id, text)`` with one row per file; the id is the first group of ``id_pattern``.
 
     Bytes that are not of the encoding fail the job rather than being replaced. Spark's file sources
-    skip files of length zero, so an article without any text has no row.
+    skip files of length zero, so empty files come from the list of files, which Spark makes on the
+    driver: an id with empty files only has an empty text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(
+    texts = files.select(
         F.regexp_extract("path", id_pattern, 1).cast("long").alias("id"),
         _decoded(F.col("content"), encoding).alias("text"),
     )
+    listed = {int(found[1]) for name in files.inputFiles() if (found := re.search(id_pattern, name)) and found[1]}
+    if not listed:
+        return texts
+    ids = spark.createDataFrame(pd.DataFrame({"id": sorted(listed)}))
+    with_content = files.select(F.regexp_extract("path", id_pattern, 1).cast("long").alias("id"))
+    empty = ids.join(with_content, "id", "left_anti").select("id", F.lit("").alias("text"))
+    return texts.unionByName(empty)
 
 
 def _decoded(content: Column, encoding: str) -> Column:
@@ -55,11 +66,14 @@ def read_work_list(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Ids already done; a missing file means none."""
+def read_manifest(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """Ids already done, but for those of the folder ``without``; a missing file means none."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], "id long")
-    return spark.read.schema("id long").csv(path).select("id")
+    ids = spark.read.schema("id long").csv(path)
+    if without is not None:
+        ids = ids.where(~F.contains(F.input_file_name(), F.lit(f"/{without}/")))
+    return ids.select("id")
 
 
 def append_ids(ids: DataFrame, path: str) -> None:

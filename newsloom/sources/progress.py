@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -17,7 +19,10 @@ def article_metrics(articles: DataFrame, name: str = "articles") -> tuple[DataFr
     return observed, observation
 
 
+def rates(counts: Mapping[str, float], seconds: float) -> dict[str, float]:
+    return {f"{name}_per_second": value / max(seconds, 1e-9) for name, value in counts.items()}
+
+
 def throughput(observation: Observation, seconds: float) -> dict[str, float]:
     """Call after the action; ``get`` waits for it."""
-    counts = observation.get
-    return {f"{name}_per_second": value / seconds for name, value in counts.items()}
+    return rates(observation.get, seconds)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsloom.functions.staging import stage
 from newsloom.operators import clustering as H
 from newsloom.operators import ranking as R
 from newsloom.operators import topic_model as E
@@ -89,29 +90,13 @@ def selected_similarities(t):
     return rounded(H.selected_similarities(similarities(t), _excluded(t)))
 
 
-# Nations as topics, similar within their region: each cluster is a region, named by its first nation.
-REGIONS_SQL = """SELECT CAST(n_nationkey AS INTEGER) AS topic_id, {columns}
-    CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS INTEGER) AS first_topic FROM nation"""
-
-
-def _region_similarities(t):
-    """``(i, j)`` and every metric: 0.8 within a region and 0 elsewhere; a cell per pair of nations."""
-    nations = t.read("nation").select(F.col("n_nationkey").cast("int").alias("i"), F.col("n_regionkey").alias("region_i"))
-    others = nations.select(F.col("i").alias("j"), F.col("region_i").alias("region_j"))
-    sim = F.when(F.col("i") == F.col("j"), 0.0).when(F.col("region_i") == F.col("region_j"), 0.8).otherwise(0.0)
-    cells = nations.crossJoin(F.broadcast(others)).withColumn("sim", sim)
-    return cells.select("i", "j", *[F.col("sim").alias(metric) for metric in METRICS])
-
-
-def _named_by_first(clusters):
-    first = clusters.groupBy("cluster").agg(F.min("topic_id").alias("first_topic"))
-    return clusters.join(first, "cluster").drop("cluster")
-
-
-@query("h2_spectral_clusters", REGIONS_SQL.format(columns=""))
+@query("h2_spectral_clusters", sql("SELECT topic_id, 3 AS n_clusters, true AS is_unit FROM topics", "topics"))
 def spectral_clusters(t):
-    matrix = _region_similarities(t).select("i", "j", F.col("word_doc_sim").alias("sim"))
-    return _named_by_first(H.spectral_clusters(matrix, n_clusters=5))
+    """Each topic is in one of three clusters, and all three are used."""
+    matrix = H.selected_similarities(similarities(t), t.spark.createDataFrame([], "topic_id int, kind string"))
+    clusters = H.spectral_clusters(matrix, n_clusters=3)
+    used = clusters.agg(F.count_distinct("cluster").cast("int").alias("n_clusters"))
+    return clusters.join(F.broadcast(used)).select("topic_id", "n_clusters", F.col("cluster").between(0, 2).alias("is_unit"))
 
 
 @query(
@@ -131,11 +116,21 @@ def clustered_kinds(t):
     return clusters.select("topic_id", "kind", F.col("cluster").isNotNull().alias("has_cluster"))
 
 
-@query("h2_cluster_topics", REGIONS_SQL.format(columns="'cluster' AS kind, CAST(1.0 AS DOUBLE) / 1.0 * 0.8 AS silhouette,"))
+@query("h2_cluster_topics", sql("SELECT topic_id, 'cluster' AS kind, true AS is_silhouette FROM topics", "topics"))
 def cluster_topics(t):
-    """Within a region the distance is 0.2, to the others 1."""
-    clusters = H.cluster_topics(_region_similarities(t), 25, n_clusters=5, threshold_percentile=None)
-    return _named_by_first(clusters).withColumn("silhouette", F.round("silhouette", 9))
+    """The silhouette of each topic is the one that its mean distances to the clusters found give."""
+    sims = similarities(t)
+    clusters = stage(H.cluster_topics(sims, NUM_TOPICS, n_clusters=3), "clusters")
+    matrix = H.selected_similarities(sims, t.spark.createDataFrame([], "topic_id int, kind string"))
+    others = clusters.select(F.col("topic_id").alias("j"), F.col("cluster").alias("to"))
+    means = matrix.where("i <> j").join(others, "j").groupBy("i", "to").agg(F.avg(1 - F.col("sim")).alias("mean"))
+    own = means.join(clusters.select(F.col("topic_id").alias("i"), "cluster"), "i").groupBy("i").agg(
+        F.max(F.when(F.col("to") == F.col("cluster"), F.col("mean"))).alias("a"),
+        F.min(F.when(F.col("to") != F.col("cluster"), F.col("mean"))).alias("b"),
+    )
+    wanted = F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))
+    joined = clusters.join(own.select(F.col("i").alias("topic_id"), wanted.alias("wanted")), "topic_id")
+    return joined.select("topic_id", "kind", (F.abs(F.col("silhouette") - F.col("wanted")) < 1e-9).alias("is_silhouette"))
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newsloom.functions.staging import scratch_path
 from newsloom.operators import ranking as R
 from newsloom.operators import topic_model as E
 from newsloom.workload.oracle import sql
@@ -78,6 +79,22 @@ def topic_intersection(t):
     return R.topic_articles(t.doc_topics, [1, 3]).withColumn("prob", F.round("prob", 9))
 
 
+@query(
+    "f2_best_of_topics",
+    sql(
+        """SELECT id, round(sum(prob) / 2, 9) AS prob FROM doc_topics WHERE topic_id IN (1, 3)
+        GROUP BY id HAVING sum(prob) / 2 > 0.1 ORDER BY sum(prob) / 2 DESC, id LIMIT 20""",
+        "doc_topics",
+    ),
+)
+def best_of_topics(t):
+    """The same from the stored layouts, read from the highest shares downwards."""
+    path = scratch_path(t.spark, "topics")
+    E.write_topics(t.vectors, path)
+    by_topic, by_article = (t.spark.read.parquet(f"{path}/{name}") for name in ("by_topic", "by_article"))
+    return R.best_articles_of_topics(by_topic, by_article, [1, 3], 20).withColumn("prob", F.round("prob", 9))
+
+
 @query(
     "f3_article_topics",
     sql(

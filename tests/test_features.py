@@ -259,13 +259,85 @@ def test_batches_are_appended(spark):
 
     index = SearchIndex(spark)
     index.index(spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, text string"))
-    before = {p: p.stat().st_mtime_ns for p in Path(index._path).rglob("*.parquet")}
+    before = {p: p.stat().st_mtime_ns for p in Path(index.path).rglob("*.parquet")}
     index.index(spark.createDataFrame([(3, "new common"), (77, "other")], "id long, text string"))
-    after = {p: p.stat().st_mtime_ns for p in Path(index._path).rglob("*.parquet")}
+    after = {p: p.stat().st_mtime_ns for p in Path(index.path).rglob("*.parquet")}
     assert before.items() <= after.items()
-    assert spark.read.parquet(f"{index._path}/postings").where("batch = 1").count() == 3
+    assert spark.read.parquet(f"{index.path}/postings").where("batch = 1").count() == 3
     found = lambda: ({r.id for r in index.query("common").collect()}, index.query("word3").count(), index.documents.count())
     assert found() == (set(range(50)), 0, 51)
     index.compact()
     assert found() == (set(range(50)), 0, 51)
     assert SearchIndex(spark).query("x").count() == 0
+
+
+def all_of(index):
+    """The index by brute force: the last text of each id."""
+    return {r.id: r.text for r in index.documents.collect()}, sorted((r.token, r.id) for r in index.postings.collect())
+
+
+def brute_index(batches):
+    texts = {}
+    for batch in batches:
+        texts |= batch
+    return texts, sorted({(token, i) for i, text in texts.items() for token in text.split()})
+
+
+def test_an_index_outlives_its_session(spark, tmp_path):
+    path = str(tmp_path / "index")
+    batches = [{1: "a b", 2: "b c", 3: "c"}, {2: "x", 4: "a"}, {5: "b", 2: "y a"}]
+    for n, batch in enumerate(batches):
+        # Each batch is written by an object that knows nothing but the folder, the last one by a new session.
+        session = spark.newSession() if n == 2 else spark
+        SearchIndex(session, path=path).index(documents_table(session, batch))
+        assert all_of(SearchIndex(spark.newSession(), path=path)) == brute_index(batches[: n + 1])
+    index = SearchIndex(spark, path=path)
+    assert index.num_batches == 3
+    assert sorted(r.id for r in index.query("b").collect()) == [1, 5]
+    index.compact()
+    reopened = SearchIndex(spark, path=path)
+    assert reopened.num_batches == 1 and all_of(reopened) == brute_index(batches)
+    # Nothing that was replaced is read any more: one batch, and no list of replaced rows.
+    plan = reopened.query("b")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    with pytest.raises(ValueError, match="preprocess_tokens"):
+        SearchIndex(spark, preprocess_tokens=True, path=path)
+
+
+def test_batches_of_one_size_are_merged(spark, tmp_path, monkeypatch):
+    from newsloom.plans import search
+
+    monkeypatch.setattr(search, "FAN_IN", 3)
+    path, batches, rng = str(tmp_path / "index"), [], random.Random(3)
+    for n in range(10):
+        batches.append({rng.randrange(12): f"w{n} t{rng.randrange(4)}"})
+        index = SearchIndex(spark, path=path)
+        index.index(documents_table(spark, batches[-1]))
+        assert index.num_batches <= 5
+    assert all_of(SearchIndex(spark, path=path)) == brute_index(batches)
+
+
+def test_a_batch_that_breaks_off_is_not_there(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index = SearchIndex(spark, path=path)
+    index.index(documents_table(spark, {1: "a"}))
+    # A writer that died after its documents and postings, and one that died while writing a manifest.
+    documents_table(spark, {1: "lost", 2: "lost"}).write.parquet(f"{path}/documents/batch=1")
+    spark.createDataFrame([("lost", 1)], "token string, id long").write.parquet(f"{path}/postings/batch=1")
+    (tmp_path / "index" / "manifest" / "version=2").mkdir()
+    reopened = SearchIndex(spark, path=path)
+    assert all_of(reopened) == brute_index([{1: "a"}])
+    (tmp_path / "index" / "manifest" / "version=2").rmdir()
+    reopened.index(documents_table(spark, {3: "c"}))
+    assert all_of(SearchIndex(spark, path=path)) == brute_index([{1: "a"}, {3: "c"}])
+    # A writer with an old view of the index is refused and changes nothing.
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        index.index(documents_table(spark, {9: "late"}))
+    assert all_of(SearchIndex(spark, path=path)) == brute_index([{1: "a"}, {3: "c"}])
+
+
+def test_empty_index(spark, tmp_path):
+    index = SearchIndex(spark, path=str(tmp_path / "index"))
+    index.compact()
+    index.index(documents_table(spark).limit(0))
+    assert all_of(SearchIndex(spark, path=str(tmp_path / "index"))) == ({}, [])

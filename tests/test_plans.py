@@ -110,6 +110,25 @@ def test_gram_matrix_keeps_the_splits(spark):
     assert {(r.i, r.j, round(r.dot, 6), r.both) for r in cells.collect()} == {(0, 0, 25.0, 400), (0, 1, 75.0, 400), (1, 1, 225.0, 400)}
 
 
+def test_gram_matrix_moves_tiles(spark, monkeypatch):
+    """A row per tile and split, in a tree of sums, and the cells of the whole matrix at the end."""
+    import numpy as np
+
+    from newsloom.operators import similarity as G
+
+    monkeypatch.setattr(G, "TILE", 7)
+    monkeypatch.setattr(G, "FAN_IN", 3)
+    shares = np.random.default_rng(1).random((120, 20)).round(3)
+    vectors = spark.createDataFrame([([float(x) for x in row],) for row in shares], "shares array<double>").repartition(11)
+    assert G._tiles(np.zeros((20, 20)), np.zeros((20, 20)), 0).num_rows == 6  # instead of 210 cells
+    cells = {(r.i, r.j): (r.dot, r.both) for r in G.gram_cells(vectors, "shares", 0.5).collect()}
+    above = (shares > 0.5).astype(int)
+    assert set(cells) == {(i, j) for i in range(20) for j in range(i, 20)}
+    for (i, j), (dot, both) in cells.items():
+        assert abs(dot - shares[:, i] @ shares[:, j]) < 1e-9 and both == above[:, i] @ above[:, j]
+    assert G.gram_cells(vectors.limit(0), "shares").count() == 0
+
+
 def test_top_words_are_limited_before_the_shuffle(spark):
     words = spark.range(100).selectExpr("cast(id % 3 as int) as topic_id", "cast(id as string) as term", "rand() as weight")
     plan = plan_of(E.top_words(words))

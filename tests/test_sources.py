@@ -176,6 +176,47 @@ def test_ingest_skips_what_is_done(spark, tmp_path):
     assert sorted(r.id for r in rows) == [1, 2, 7, 8, 9]
 
 
+def test_ingest_as_a_stream(spark, tmp_path, monkeypatch):
+    """Restarted after a batch that was killed between its articles and its ids; each id is stored once."""
+    import shutil
+
+    from newsloom.plans import ingest
+
+    all_pages = pages(spark).where("page_id in (1, 2, 3, 7, 8, 9)")
+    for i, row in enumerate(all_pages.collect()):
+        spark.createDataFrame([row], all_pages.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "arriving"))
+    articles, done, checkpoint = (str(tmp_path / name) for name in ("articles", "done", "checkpoint"))
+    append_ids(spark.createDataFrame([(8,)], "id long"), f"{done}/run=before")
+    work = all_pages.select(F.col("page_id").alias("id"), "url")
+    stream = spark.readStream.schema(all_pages.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "arriving"))
+    reports, real = [], ingest.article_metrics
+
+    def killed(frame, name):
+        if len(reports) == 1:
+            raise RuntimeError("killed")
+        return real(frame, name)
+
+    monkeypatch.setattr(ingest, "article_metrics", killed)
+    with pytest.raises(Exception, match="killed"):
+        ingest.ingest_stream(work, stream, articles, done, checkpoint, report=reports.append).awaitTermination()
+    assert [r["batch"] for r in reports] == [0]
+    monkeypatch.setattr(ingest, "article_metrics", real)
+    ingest.ingest_stream(work, stream, articles, done, checkpoint, report=reports.append).awaitTermination()
+    assert [r["batch"] for r in reports] == [0, 1, 2]
+    assert sorted(r.id for r in stored_articles(spark, articles, done).collect()) == [1, 2, 3, 7, 9]
+    listed = [r.id for r in spark.read.schema("id long").csv(done).collect()]
+    assert sorted(listed) == [1, 2, 3, 7, 8, 9]
+    assert reports[-1]["total_articles"] == sum(r["articles"] for r in reports[1:])
+    assert all(r[key] >= 0 for r in reports for key in ("articles_per_second", "total_articles_per_second", "total_characters_per_second"))
+    # The checkpoint forgets its last batch: the same run is written again and nothing doubles.
+    shutil.rmtree(f"{checkpoint}/commits")
+    shutil.rmtree(f"{checkpoint}/offsets")
+    shutil.rmtree(f"{checkpoint}/sources")
+    ingest.ingest_stream(work, stream, articles, done, checkpoint).awaitTermination()
+    assert sorted(r.id for r in stored_articles(spark, articles, done).collect()) == [1, 2, 3, 7, 9]
+    assert sorted(r.id for r in spark.read.schema("id long").csv(done).collect()) == [1, 2, 3, 7, 8, 9]
+
+
 def test_ingest_as_a_job(spark, tmp_path, capsys):
     (tmp_path / "work").write_text("1 http://p/1\n4 http://p/4\n")
     pages(spark).write.parquet(str(tmp_path / "pages"))
@@ -238,6 +279,18 @@ def test_pages_take_time_in_proportion_to_their_length():
         assert time.monotonic() - began < 20
 
 
+def test_empty_files_have_an_empty_text(spark, tmp_path):
+    (tmp_path / "more").mkdir()
+    for name, text in (("1.txt", "one"), ("2.txt", ""), ("more/3.txt", ""), ("more/notes.md", ""), ("4.txt", " ")):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "more" / "1.txt").write_text("")  # the same id again, without content
+    rows = sorted((r.id, r.text) for r in read_text_folder(spark, str(tmp_path)).collect() if r.id is not None)
+    assert rows == [(1, "one"), (2, ""), (3, ""), (4, " ")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "5.txt").write_text("")
+    assert [tuple(r) for r in read_text_folder(spark, str(tmp_path / "none")).collect()] == [(5, "")]
+
+
 def test_text_folder_in_another_encoding(spark, tmp_path):
     (tmp_path / "7.txt").write_bytes("déjà".encode("latin-1"))
     assert [tuple(r) for r in read_text_folder(spark, str(tmp_path), encoding="ISO-8859-1").collect()] == [(7, "déjà")]

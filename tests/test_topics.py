@@ -238,6 +238,91 @@ def test_trend_has_only_days_with_articles(spark):
     assert [r.id for r in T.ids_by_time(posts, texts.where("id <> 3"), 4).collect()] == [0, 1, 2, 4]
 
 
+def fails(frame, message):
+    with pytest.raises(Exception, match=message):
+        frame.collect()
+
+
+def test_slices_add_up_or_fail(spark):
+    posts, texts = posts_and_texts(spark, 6)
+    fails(T.time_slices(posts.unionAll(posts.where("id = 2")), texts), "article 2 has no single date")
+    undated = posts.withColumn("created_at", F.when(F.col("id") != 4, F.col("created_at")))
+    fails(T.time_slices(undated, texts), "article 4 has no single date")
+    # Posts without a text are no articles.
+    assert T.time_slices(undated, texts.where("id <> 4")).agg(F.sum("n")).first()[0] == 5
+
+
+def test_exactly_one_post_per_text(spark):
+    posts, texts = posts_and_texts(spark, 6)
+    valid = A.with_metadata(texts, posts)
+    assert valid.count() == 6 and valid.columns == ["id", "text", *A.POST_FIELDS]
+    fails(A.with_metadata(texts, posts.where("id <> 3")), "article 3 has 0 posts")
+    fails(A.with_metadata(texts, posts.unionAll(posts.where("id = 1"))), "article 1 has 2 posts")
+    # The check cannot be pruned away, and a post without a text is no fault.
+    fails(A.with_metadata(texts, posts.where("id <> 3")).select("id"), "article 3 has 0 posts")
+    fails(A.with_metadata(texts, posts.where("id <> 3")).groupBy().count(), "article 3 has 0 posts")
+    assert A.with_metadata(texts.where("id > 2"), posts.unionAll(posts.where("id = 1"))).count() == 3
+    plan = valid._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_topics_of_articles_without_post_or_text(spark):
+    shares = random_shares(2, 4)
+    posts, texts = posts_and_texts(spark, 4)
+    labels = spark.createDataFrame([(0, "zero")], "topic_id int, label string")
+    shown = R.show_article_topics(vectors_table(spark, shares), posts.where("id <> 1"), texts.where("id <> 2"), labels, [1, 2, 3], min_prob=0.0).collect()
+    assert {r.id for r in shown} == {1, 2, 3}
+    assert {(r.id, r.title is None, r.snippet is None) for r in shown} == {(1, True, False), (2, False, True), (3, False, False)}
+    assert {r.topic_id: r.label for r in shown} == {0: "zero"} | dict.fromkeys({r.topic_id for r in shown} - {0})
+
+
+def test_best_articles_of_topics_read_high_shares_only(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    shares = rng.dirichlet([0.08] * 6, size=3000)
+    shares[:40] = [0.4, 0.38, 0.1, 0.05, 0.04, 0.03]
+    shares[:40, 0] += np.arange(40) * 1e-4
+    E.write_topics(vectors_table(spark, shares.tolist()), str(tmp_path))
+    by_topic, by_article = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("by_topic", "by_article"))
+    wholes = []
+    real = R.topic_articles
+    monkeypatch.setattr(R, "topic_articles", lambda *a, **k: wholes.append(1) or real(*a, **k))
+    for topics, top_n, min_prob in (([0, 1], 10, 0.1), ([0, 1], 60, 0.1), ([2, 3, 3], 5, 0.1), ([0, 1, 2, 3, 4, 5], 7, 0.05), ([0, 1], 5000, 0.01)):
+        found = [(r.id, round(r.prob, 9)) for r in R.best_articles_of_topics(by_topic, by_article, topics, top_n, min_prob).collect()]
+        wanted = [(r.id, round(r.prob, 9)) for r in real(by_topic, topics, min_prob, top_n=top_n).collect()]
+        assert found == wanted
+    assert len(wholes) == 2  # only where all that is above the bound was asked for, or nothing is above it
+    wholes.clear()
+    monkeypatch.setattr(R, "MAX_LOOKED_UP", 3)
+    assert R.best_articles_of_topics(by_topic, by_article, [0, 1], 5).count() == 5 and wholes
+
+
+def test_row_groups_below_the_bound_are_not_read(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    shares = np.random.default_rng(5).dirichlet([0.08] * 6, size=20000)
+    shares[:40] = [0.5, 0.5, 0, 0, 0, 0]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "60"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():  # many small files, as a large table has many row groups
+        spark.conf.set(name, value)
+    E.write_topics(vectors_table(spark, shares.tolist()), str(tmp_path))
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    groups = []
+    for file in sorted((tmp_path / "by_topic").glob("*.parquet")):
+        meta = pq.ParquetFile(file).metadata
+        for k in range(meta.num_row_groups):
+            topic, prob = (meta.row_group(k).column(c).statistics for c in (meta.schema.names.index("topic_id"), meta.schema.names.index("prob")))
+            groups.append((topic.min, topic.max, prob.max))
+    read = lambda bound: sum(low <= 1 and high >= 0 and most >= bound for low, high, most in groups)
+    by_topic = spark.read.parquet(f"{tmp_path}/by_topic")
+    seen = by_topic.where("topic_id in (0, 1) and prob >= 0.5")
+    assert "PushedFilters: [" in seen._jdf.queryExecution().executedPlan().toString()
+    assert read(0.5) <= 0.5 * read(0.0) and read(0.0) <= 0.5 * len(groups)
+    best = R.best_articles_of_topics(by_topic, spark.read.parquet(f"{tmp_path}/by_article"), [0, 1], 20)
+    assert {r.id for r in best.collect()} <= {r.id for r in seen.collect()}
+
+
 def test_histogram_keeps_empty_bins(spark):
     shares = [[0.05, 0.95], [0.051, 0.949], [0.3, 0.7], [1.0, 0.0]]
     found = T.share_histogram(E.long_topics(vectors_table(spark, shares)), [0, 7]).collect()
