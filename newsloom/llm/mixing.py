@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from newsloom.functions.staging import stage
+from newsloom.llm.text import free_names
 
 MAX_COPIES = 3
 # What a token costs when used for the first, second and third time.
@@ -231,15 +232,14 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Rows that share an id share their copies; if ids repeat, the copies of the id are its mean.
     """
+    own_id, copies, copy = free_names(docs.columns, "_id", "_copies", "_copy")
     chosen = mix(docs, F.array(F.col("source").cast("string")), seed=seed).documents
-    copies = (
+    number = (
         chosen.where("taken > 0")
         .groupBy("doc_id")
-        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
-        .where("_copies > 0")
-        .select(F.col("doc_id").alias("_id"), "_copies")
+        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(copies))
+        .where(F.col(copies) > 0)
+        .select(F.col("doc_id").alias(own_id), copies)
     )
-    kept = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[docs[c] for c in docs.columns])
-
-
+    kept = docs.join(number, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)))
+    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).drop(own_id, copies, copy)

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from newsloom.functions.staging import stage
 from newsloom.llm.graph import connected_components
-from newsloom.llm.text import mix, pieces, shingles, words
+from newsloom.llm.text import free_names, mix, pieces, shingles, words
 
 WIDTH = 5
 PERCENT = 75
@@ -235,8 +235,9 @@ def _prefix_rest(n: Column, percent: int) -> Column:
 class _Sets:
     """The sets of some classes, made from the texts when they are first asked for and then kept."""
 
-    def __init__(self, docs: DataFrame, width: int):
+    def __init__(self, docs: DataFrame, width: int, signatures: DataFrame):
         self.docs, self.width = docs, width
+        self.signatures = signatures.dropDuplicates(["set_id"])
         self.parts: list[DataFrame] = []
 
     def fetch(self, wanted: DataFrame) -> None:
@@ -350,9 +351,8 @@ def _far_apart(percent: int) -> Column:
     Sets that link differ in ``(n_a + n_b) (100 - percent) / (100 + percent)`` shingles at most, and each
     member differs from its leader in ``slack`` at most.
     """
-    bits = sum((F.bit_count(F.col(name).bitwiseXOR(F.col(f"{name}_b"))) for name in SIGNATURE), F.lit(0))
     allowed = (F.col("high") + F.col("high_b")) * F.lit((100 - percent) / (100 + percent)) + F.col("slack") + F.col("slack_b")
-    return bits > allowed + 1e-6
+    return _bits_apart("", "_b") > allowed + 1e-6
 
 
 def _group_pairs(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -393,7 +393,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
     central = central.select("set_id", "met", (F.col("met") / prefix).alias("central"))
     lists = stage(shared.join(central, "set_id"), "lists")
 
-    known_sets = _Sets(docs, width)
+    known_sets = _Sets(docs, width, sets.where("n > 0").select("set_id", *SIGNATURE))
     led, known = _follow_leaders(lists, known_sets, percent)
     differ = F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")
     nearest = F.min(F.struct((F.col("n_a") - F.col("overlap")).alias("apart"), "b", differ.alias("slack")))
@@ -415,8 +415,7 @@ def link_classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) ->
     )
     classes = stage(classes, "classes")
     leaders = classes.select("group").distinct()
-    signatures = sets.select(F.col("set_id").alias("group"), *SIGNATURE).join(leaders, "group", "left_semi").dropDuplicates(["group"])
-    signatures = stage(signatures, "signatures")
+    signatures = stage(known_sets.signatures.withColumnRenamed("set_id", "group").join(leaders, "group", "left_semi"), "signatures")
     entries = stage(opened.join(classes.select("set_id", "group"), "set_id"), "entries")
     later = _links_between_groups(entries, classes, signatures, known_sets, percent)
     return sets, led.select("a", "b").unionByName(later)
@@ -453,25 +452,48 @@ def _links_between_groups(entries: DataFrame, classes: DataFrame, signatures: Da
         F.col("only_a").alias("a"), F.col("only_b").alias("b"), F.col("low_a").alias("n_a"), F.col("low_b").alias("n_b")
     )
     # Pairs with larger groups: skipped as a whole if their leaders are too far apart.
-    wide = pairs.where(~single).select("a", "b", "low_a", "low_b", "apart_a", "apart_b")
+    wide = pairs.where(~single).select("a", "b", "low_a", "low_b", "apart_a", "apart_b", "members_a", "members_b")
     reach = F.col("overlap") + F.col("apart_a") + F.col("apart_b")
     near = sets.with_overlaps(wide).where(reach >= _least_overlap(F.col("low_a"), F.col("low_b"), percent))
-    columns = ("group", "set_id", "n", "place", "component")
-    left, right = (entries.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
-    inner = (
-        stage(near.select(F.col("a").alias("group_a"), F.col("b").alias("group_b")), "near_groups")
-        .join(left, "group_a")
-        .join(right, ["shingle", "group_b"])
-        .where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & (F.col("component_a") != F.col("component_b")))
-        .groupBy(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"), "n_a", "n_b")
-        .agg(F.count("*").alias("shared"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-        .where(_may_reach(F.col("shared"), F.col("n_a"), F.col("n_b"), F.col("last_a"), F.col("last_b"), percent))
-        .select("a", "b", "n_a", "n_b")
-    )
+    swapped = F.col("members_a") > F.col("members_b")
+    turned = F.when(swapped, F.struct(F.col("b").alias("few"), F.col("a").alias("many"))).otherwise(F.struct(F.col("a").alias("few"), F.col("b").alias("many")))
+    near = stage(near.select(turned.alias("t")).select("t.few", "t.many"), "near_groups")
+    inner = _pairs_of_members(near, classes, groups.join(signatures, "group"), sets, percent)
     possible = stage(between.unionByName(inner), "possible")
     return sets.with_overlaps(possible).where(_is_link(percent)).select("a", "b")
 
 
+def _bits_apart(left: str, right: str) -> Column:
+    """In how many bits the signatures of two sides of a row differ."""
+    return sum((F.bit_count(F.col(f"{name}{left}").bitwiseXOR(F.col(f"{name}{right}"))) for name in SIGNATURE), F.lit(0))
+
+
+def _pairs_of_members(near: DataFrame, classes: DataFrame, groups: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Pairs ``(a, b, n_a, n_b)`` of members of near groups ``(few, many)`` that may link.
+
+    Each member of the smaller group is counted against the leader of the larger one. What it shares with
+    the leader's members follows: as much at most, and what the member does not share with its leader.
+    Only members of the larger group that can reach the similarity by this, and by signature, make a pair.
+    """
+    spread = (100 - percent) / (100 + percent)
+    own = classes.select("set_id", "n", "component", "group", "apart")
+    own = stage(own.join(sets.signatures, "set_id"), "members")
+    members = own.select(F.col("group").alias("few"), F.col("set_id").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SIGNATURE])
+    leaders = groups.select(F.col("group").alias("many"), "low", "high", F.col("apart").alias("most_apart"), "slack", *[F.col(c).alias(f"{c}_l") for c in SIGNATURE])
+    # Members differ from a set as much at least as their leader does, less their distance to it.
+    within = _bits_apart("_a", "_l") <= (F.col("n_a") + F.col("high")) * F.lit(spread) + F.col("slack") + 1e-6
+    fit = (F.lit(100) * F.col("n_a") >= F.lit(percent) * F.col("low")) & (F.lit(100) * F.col("high") >= F.lit(percent) * F.col("n_a"))
+    asked = near.join(leaders, "many").join(members, "few").where(within & fit).withColumn("b", F.col("many"))
+    counted = sets.with_overlaps(stage(asked.drop("few", *[f"{c}_l" for c in SIGNATURE]), "asked"))
+    counted = counted.where(F.col("overlap") + F.col("most_apart") >= _least_overlap(F.col("n_a"), F.greatest("low", F.ceil(F.lit(percent) * F.col("n_a") / 100)), percent))
+    counted = stage(counted.select("many", "a", "n_a", "overlap", *[f"{c}_a" for c in SIGNATURE]), "counted")
+    others = own.select(F.col("group").alias("many"), F.col("set_id").alias("b"), F.col("n").alias("n_b"), "apart", *[F.col(c).alias(f"{c}_b") for c in SIGNATURE])
+    reached = F.col("overlap") + F.col("apart") >= _least_overlap(F.col("n_a"), F.col("n_b"), percent)
+    close = _bits_apart("_a", "_b") <= (F.col("n_a") + F.col("n_b")) * F.lit(spread) + 1e-6
+    found = counted.join(others, "many").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent) & reached & close)
+    return found.select("a", "b", "n_a", "n_b")
+
+
 def group_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, set_id)`` of every document."""
     return _grouped(docs, percent, width).drop("component")
@@ -501,27 +523,32 @@ NO_ID = -(1 << 63)
 
 def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` with one row of each group of similar texts: the one with the smallest id,
-    or a row without id where no row has one. Texts without words are no copies of each other and all
-    stay."""
+    or a row without id where no row has one. Of rows equal in id those count whose set has the smallest
+    hash, and of these the row with the smallest text, then the smallest other columns. Texts without
+    words are no copies of each other and all stay."""
+    own_id, own_set, row = free_names(docs.columns, "_id", "_set", "_row")
 
     @F.pandas_udf(T.LongType())
     def set_of(texts: pd.Series) -> pd.Series:
         out = [pd.Series([], dtype="Int64")]
-        for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], 0):
+        for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], 0, PIECE_BYTES):
             _, bounds, ids = _sets(piece.column(0), width)
             out.append(pd.Series(ids).where(np.diff(bounds) > 0).astype("Int64"))
         return pd.concat(out, ignore_index=True)
 
     text = F.coalesce("text", F.lit("")).cast("binary")
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_set", set_of(text))
+    named = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own_set, set_of(text))
     last = F.lit((1 << 63) - 1)
     chosen = (
         _grouped(docs, percent, width)
         .where("n_shingles > 0")
         .groupBy("component")
         .agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "set_id")).alias("kept"))
-        .select(F.when(F.col("kept.id") == last, F.lit(NO_ID)).otherwise(F.col("kept.id")).alias("_id"), F.col("kept.set_id").alias("_set"))
+        .select(F.when(F.col("kept.id") == last, F.lit(NO_ID)).otherwise(F.col("kept.id")).alias(own_id), F.col("kept.set_id").alias(own_set))
     )
-    keys = ["_id", "_set"]
-    kept = named.where("_set is not null").join(stage(chosen, "kept"), keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(named.where("_set is null")).select(*docs.columns)
+    keys = [own_id, own_set]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(whole, F.struct(F.col("text"), F.to_json(whole)))
+    kept = named.where(F.col(own_set).isNotNull()).join(stage(chosen, "kept"), keys, "left_semi").groupBy(*keys).agg(first.alias(row))
+    rest = named.where(F.col(own_set).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.col(row).getField(c).alias(c) for c in docs.columns]).unionByName(rest)

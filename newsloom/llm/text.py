@@ -140,3 +140,15 @@ def pieces(batches, column: int, limit: int = 8 << 20):
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows])).tolist()
         for low, high in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(low, high - low)
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Names for columns that an operator adds, longer by underscores where a table has them already."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -119,3 +119,11 @@ def test_too_many_patterns(spark):
     docs = spark.createDataFrame([(i, "w", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
     with pytest.raises(ValueError, match="patterns"):
         mixing.mix(docs, F.array("source"), max_patterns=4)
+
+
+def test_copies_keep_columns_of_any_name(spark):
+    rows = [(i, "a b c", f"s{i % 2}", f"k{i}", i, -i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, _copies int, _copy int")
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns
+    assert out.count() > 0 and set(map(tuple, out.collect())) <= set(rows)

@@ -28,7 +28,20 @@ def test_whole_run(spark):
     assert len(kept) - len(set(kept)) <= 0.02 * len(kept)
 
 
+def test_whole_run_on_odd_rows(spark, odd_documents, tmp_path):
+    """Columns that the operators would use themselves, nulls, repeated rows and long texts, stage after stage."""
+    odd = odd_documents.withColumnsRenamed({"n": "_id", "size": "_set", "pattern": "_copies", "key": "_row", "part": "_copy"})
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF_DIR}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    found = [r["doc_id"] for r in out.collect()]
+    assert set(found) <= {None, 1, 2, 3, 4, 5, 6, 7, 8} and found.count(1) <= 3
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{SF_DIR}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_every_operator_is_registered():
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in queries()) == 1
     assert "pipeline" in queries() and set(oracle_sql()) <= set(queries())

@@ -114,6 +114,33 @@ def test_one_is_kept_per_group_whatever_the_ids(spark):
     assert sorted(kept, key=str) == [7, 7, None]
 
 
+def test_the_row_kept_is_the_smallest_and_columns_stay(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, words.upper(), "x", "s1", "b"), (1, words, "y", "s2", "c"), (1, words, "y", "s2", "a"), (2, words + " w20", "z", None, "d"), (3, "other words here", "q", "s3", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _set string, _row string")
+    for order in (docs, docs.orderBy(docs["_row"].desc()).repartition(3)):
+        kept = set_join.keep_one_per_group(order)
+        assert kept.columns == docs.columns
+        # Upper case comes before lower case.
+        assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[4]]
+    kept = set_join.keep_one_per_group(docs.where("_row <> 'b'"))
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[2], rows[4]]
+
+
+def test_signatures_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(1)
+    base = rng.integers(1 << 63, size=400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, size=n, replace=False)) for n in (0, 1, 5, 50, 300, 390)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    found = np.array(set_join._signatures(np.concatenate(sets), bounds)).T
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = int(np.bitwise_count((found[i] ^ found[j]).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(a, b))
+            assert (len(np.setxor1d(a, b)) - bits) % 2 == 0
+    assert not found[0].any()
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100), (201, 200), (200, 202), (None, 3)]
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
