@@ -5,7 +5,7 @@ holds a boundary per part and the rank of each part with the next one. The small
 scan, its boundary is deleted and the two neighbouring ranks are looked up anew. The arrays of all new
 words of one length are worked on together. A scan costs the length of the word, so words longer than
 ``SHORT`` bytes keep their ranks in a heap instead; the merges and so the ids are the same. Each Python
-worker remembers the ids of about ``CACHE`` words and starts afresh beyond that.
+worker remembers the ids of words up to about ``CACHE_BYTES`` and starts afresh beyond that.
 
 Nulls are empty texts. An empty text has no ids. Repeated rows give repeated results. Special tokens in
 a text are matched, longest first, unless ``special_as_text`` is set.
@@ -14,7 +14,6 @@ a text are matched, longest first, unless ``special_as_text`` is set.
 from __future__ import annotations
 
 import heapq
-import itertools
 import json
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
@@ -30,7 +29,9 @@ from pyspark.sql import functions as F
 from newsloom.llm.text import pieces
 
 SHORT = 64
-CACHE = 1 << 18
+# A worker remembers words until they take about so many bytes; what an entry takes besides its bytes.
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 150
 GROUP = 1 << 21
 MAX_FILE = 64 << 20
 ID_SPAN = 1 << 31
@@ -86,7 +87,9 @@ class ByteBpe:
         self.piece_starts = np.cumsum(lengths)
         self.piece_bytes = np.frombuffer(b"".join(self.pieces[i] for i in sorted(self.pieces)), np.uint8)
         self.pattern = regex.compile(WORD_PATTERN)
-        self.words: dict[str, list[int]] = {}
+        # Ids of words met, four bytes each, and about how many bytes they take.
+        self.words: dict[str, bytes] = {}
+        self.cached = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string array, one after the other, and the offsets of the texts."""
@@ -135,21 +138,24 @@ class ByteBpe:
     def _look_up(self, names: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct cuttings, one after the other, and their offsets; a number is itself an id."""
         words = self.words
-        if len(words) > CACHE:
+        if self.cached > CACHE_BYTES:
             words.clear()
+            self.cached = 0
         several = {c: self._pieces(c) for c in names if c not in words and c.__class__ is str}
         missing = sorted({w for found in several.values() for w in found} - words.keys(), key=len)
-        words.update(zip(missing, self.merge([w.encode() for w in missing]), strict=True))
+        for word, ids in zip(missing, self.merge([w.encode() for w in missing]), strict=True):
+            words[word] = packed = np.array(ids, dtype="<u4").tobytes()
+            self.cached += ENTRY_BYTES + len(word) + len(packed)
         lists = []
         for c in names:
             if c in words:
                 lists.append(words[c])
             elif c.__class__ is str:
-                lists.append([i for w in several[c] for i in words[w]])
+                lists.append(b"".join([words[w] for w in several[c]]))
             else:
-                lists.append((c,))
-        flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64)
-        return flat, np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))))
+                lists.append(c.to_bytes(4, "little"))
+        flat = np.frombuffer(b"".join(lists), dtype="<u4").astype(np.int64)
+        return flat, np.concatenate(([0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)) // 4)))
 
     def _pieces(self, cutting: str) -> Sequence[str]:
         """Words of the pattern; the two commonest forms, letters and letters with a mark, need no search."""
