@@ -14,15 +14,19 @@ of the patterns, without documents in which a long match was dropped; variants o
 learns forms the patterns do not have.
 
 Null texts are empty; texts without personal data have no spans. Whole texts are searched, in time in
-proportion to their length. Positions are code points, ends exclusive. Repeated rows give equal results.
+proportion to their length; memory is a small multiple of the tokens of the longest text that hold a digit or
+an ``@``. Positions are code points, ends exclusive. Repeated rows give equal results, an empty table an empty
+one. Only ``doc_id`` and ``text`` are read; ``redact`` carries all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,9 @@ MAX_GAP = 4
 ROUNDS = 20
 SEED = 1
 FEATURES = 1 << 14
+# Edges whose messages are renewed at once, and tokens whose features a document remembers.
+EDGES = 1 << 16
+KNOWN = 1 << 15
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -143,32 +150,41 @@ def nodes_of(text: str) -> Nodes:
 
 def _shape(token: str) -> str:
     """Runs of letters as ``a``, of digits as ``d`` and their number, marks as they are."""
-    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", re.sub(r"[^\W\d_]+", "a", token[:MAX_TOKEN]))
+    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", re.sub(r"[^\W\d_]+", "a", token))
 
 
+@lru_cache(maxsize=1 << 16)
 def _feature(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest(), "little") % FEATURES
 
 
-def node_features(nodes: Nodes) -> list[list[int]]:
+def _features_of(token: str, shape: str, before: str, after: str) -> array:
+    digits = _digits(token)
+    names = ["bias", f"s={shape}", f"r={re.sub(r'd[0-9]+', 'd', shape)}", f"n={min(len(digits), 20)}"]
+    names += [f"p={before}", f"f={after}", f"p+={before}+{shape}", f"f+={shape}+{after}"]
+    if 13 <= len(digits) <= 19:
+        names.append(f"luhn={luhn(digits)}")
+    parts = re.split(r"[^0-9]+", token.strip(".,;:!?\"'()[]"))
+    if len(parts) == 4 and all(parts):
+        names.append(f"octets={_octets_fit('.'.join(parts))}")
+    if "@" in token:
+        names.append(f"dot={'.' in token.rpartition('@')[2].strip('.')}")
+    return array("H", [_feature(n) for n in names])
+
+
+def node_features(nodes: Nodes) -> Iterator[array]:
     """Hashed features of each token, and of the shapes of the tokens that touch it."""
     shapes = [_shape(t.strip(".,;:!?\"'")) for t in nodes.tokens]
     before, after = {j: i for i, j in nodes.chain}, dict(nodes.chain)
-    out = []
+    known: dict[tuple[str, str, str], array] = {}  # the same token between the same shapes is common
     for i, (token, shape) in enumerate(zip(nodes.tokens, shapes, strict=True)):
-        digits = _digits(token)
-        names = ["bias", f"s={shape}", f"r={re.sub(r'd[0-9]+', 'd', shape)}", f"n={min(len(digits), 20)}"]
-        names += [f"p={shapes[before[i]] if i in before else ''}", f"f={shapes[after[i]] if i in after else ''}"]
-        names += [f"p+={shapes[before[i]] if i in before else ''}+{shape}", f"f+={shape}+{shapes[after[i]] if i in after else ''}"]
-        if 13 <= len(digits) <= 19:
-            names.append(f"luhn={luhn(digits)}")
-        parts = re.split(r"[^0-9]+", token.strip(".,;:!?\"'()[]"))
-        if len(parts) == 4 and all(parts):
-            names.append(f"octets={_octets_fit('.'.join(parts))}")
-        if "@" in token:
-            names.append(f"dot={'.' in token.rpartition('@')[2].strip('.')}")
-        out.append([_feature(n) for n in names])
-    return out
+        key = (token, shapes[before[i]] if i in before else "", shapes[after[i]] if i in after else "")
+        own = known.get(key)
+        if own is None:
+            if len(known) >= KNOWN:
+                known.clear()
+            own = known[key] = _features_of(token, shape, *key[1:])
+        yield own
 
 
 def labels_of(nodes: Nodes, spans: list[tuple[int, int, int]]) -> list[int]:
@@ -241,21 +257,25 @@ class Graph:
 
     def scores(self, state: np.ndarray) -> np.ndarray:
         out = np.zeros((self.size, LABELS))
-        np.add.at(out, self.rows, state[self.features])
+        for k in range(LABELS if self.size else 0):
+            out[:, k] = np.bincount(self.rows, weights=state[self.features, k], minlength=self.size)
         return out
 
 
 def build_graph(documents: list[Nodes]) -> Graph:
-    features, rows, chain, skip, size = [], [], [], [], 0
+    features, counts, pairs, size = array("H"), array("B"), (array("i"), array("i")), 0
     for nodes in documents:
-        for i, own in enumerate(node_features(nodes)):
-            features += own
-            rows += [size + i] * len(own)
-        chain += [(size + i, size + j) for i, j in nodes.chain]
-        skip += [(size + i, size + j) for i, j in nodes.skip]
+        for own in node_features(nodes):
+            features.extend(own)
+            counts.append(len(own))
+        for flat, edges in zip(pairs, (nodes.chain, nodes.skip), strict=True):
+            for i, j in edges:
+                flat.append(size + i)
+                flat.append(size + j)
         size += len(nodes.tokens)
-    pairs = lambda p: np.array(p, dtype=np.int64).reshape(-1, 2)
-    return Graph(np.array(features, dtype=np.int64), np.array(rows, dtype=np.int64), size, pairs(chain), pairs(skip))
+    rows = np.repeat(np.arange(size, dtype=np.int32), np.frombuffer(counts, dtype=np.uint8) if size else 0)
+    chain, skip = (np.array(flat, dtype=np.int32).reshape(-1, 2) for flat in pairs)
+    return Graph(np.array(features, dtype=np.int32), rows, size, chain, skip)
 
 
 def train(documents: list[Nodes], labels: list[list[int]], steps: int = 300, rate: float = 0.1) -> Field:
@@ -289,28 +309,50 @@ def train(documents: list[Nodes], labels: list[list[int]], steps: int = 300, rat
     return Field(*field)
 
 
+def _sum_at(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add each row of ``values`` to the row of ``out`` it belongs to."""
+    for k in range(out.shape[1]):
+        out[:, k] += np.bincount(rows, weights=values[:, k], minlength=len(out))
+
+
 def marginals(graph: Graph, field: Field, rounds: int = ROUNDS) -> np.ndarray:
-    """Probabilities of the labels of each node by damped sum-product messages."""
+    """Probabilities of the labels of each node by damped sum-product messages.
+
+    One message per edge and direction is kept; what it takes to renew them is held for ``EDGES`` of them
+    at a time, so that memory is a small multiple of the number of edges.
+    """
     scores = graph.scores(field.state)
-    kinds = [(graph.chain, field.chain), (graph.skip, field.skip)]
-    senders = np.concatenate([np.concatenate((p[:, 0], p[:, 1])) for p, _ in kinds])
-    takers = np.concatenate([np.concatenate((p[:, 1], p[:, 0])) for p, _ in kinds])
-    back = np.concatenate([np.concatenate((np.arange(len(p)) + len(p), np.arange(len(p)))) + 2 * base for (p, _), base in zip(kinds, (0, len(graph.chain)), strict=True)])
-    tables = np.concatenate([np.concatenate((np.broadcast_to(t, (len(p), LABELS, LABELS)), np.broadcast_to(t.T, (len(p), LABELS, LABELS)))) for p, t in kinds])
-    messages = np.zeros((len(senders), LABELS))
-    for _ in range(rounds if len(senders) else 0):
-        belief = scores.copy()
-        np.add.at(belief, takers, messages)
-        sent = (belief[senders] - messages[back])[:, :, None] + tables
-        top = sent.max(axis=1)
-        new = top + np.log(np.exp(sent - top[:, None]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        change = np.abs(new - messages).max()
-        messages = 0.5 * messages + 0.5 * new
+    # Sender, taker and table of all messages of a kind and direction, and where the messages back stand.
+    kinds, at = [], 0
+    for pairs, table in ((graph.chain, field.chain), (graph.skip, field.skip)):
+        n = len(pairs)
+        kinds += [(at, pairs[:, 0], pairs[:, 1], table, at + n), (at + n, pairs[:, 1], pairs[:, 0], table.T, at)]
+        at += 2 * n
+    messages = np.zeros((at, LABELS), dtype=np.float32)
+
+    def beliefs() -> np.ndarray:
+        out = scores.copy()
+        for first, senders, takers, _, _ in kinds:
+            _sum_at(out, takers, messages[first : first + len(senders)])
+        return out
+
+    for _ in range(rounds if at else 0):
+        belief, change = beliefs(), 0.0
+        renewed = np.empty_like(messages)
+        for first, senders, _, table, back in kinds:
+            for low in range(0, len(senders), EDGES):
+                own = slice(low, min(low + EDGES, len(senders)))
+                sent = (belief[senders[own]] - messages[back + own.start : back + own.stop])[:, :, None] + table
+                top = sent.max(axis=1)
+                new = top + np.log(np.exp(sent - top[:, None]).sum(axis=1))
+                new -= new.max(axis=1, keepdims=True)
+                old = messages[first + own.start : first + own.stop]
+                change = max(change, float(np.abs(new - old).max()))
+                renewed[first + own.start : first + own.stop] = 0.5 * old + 0.5 * new
+        messages = renewed
         if change < 1e-4:
             break
-    belief = scores
-    np.add.at(belief, takers, messages)
+    belief = beliefs()
     out = np.exp(belief - belief.max(axis=1, keepdims=True))
     return out / out.sum(axis=1, keepdims=True)
 

@@ -80,7 +80,8 @@ def test_repeated_tokens_share_their_label():
     field = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), 5.0 * np.eye(pii.LABELS))
     nodes = pii.nodes_of("id 5551234567 stands here, later again 555-123-4567.")
     assert nodes.skip == [(0, 1)] and nodes.chain == []
-    clear = next(f for f in pii.node_features(nodes)[0] if f not in pii.node_features(nodes)[1])
+    features = list(pii.node_features(nodes))
+    clear = next(f for f in features[0] if f not in features[1])
     field.state[clear, 3] = 6.0
     alone = pii.marginals(pii.build_graph([pii.nodes_of("555-123-4567.")]), field)
     both = pii.marginals(pii.build_graph([nodes]), field)
@@ -128,3 +129,27 @@ def test_redact(documents, odd_documents, no_documents):
 def test_mask():
     assert pii.mask("ab 12 cd", [(3, 3, 5)]) == "ab [PHONE] cd"
     assert pii.mask("0123456789", [(1, 2, 6), (2, 4, 8)]) == "01[IP]89"
+
+
+def test_long_texts_of_digits_take_bounded_memory_and_linear_time():
+    """In a process of its own: 2 MB of tokens that all repeat each other."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import resource, time, numpy as np
+from newsloom.llm import pii
+field = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS,) * 2), np.zeros((pii.LABELS,) * 2))
+field.state[:, pii.OUTSIDE] = 1.0
+seconds = []
+for n in (1 << 17, 1 << 20, 1 << 21):
+    began = time.monotonic()
+    assert pii.find_spans(["17 " * (n // 3)], field) == [([], [])]
+    seconds.append(time.monotonic() - began)
+assert seconds[2] < 4 * seconds[1] + 1, seconds
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 900_000, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+"""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
