@@ -3,8 +3,9 @@
 Documents are aggregated by membership pattern (the set of sources they belong to). Token capacity flows
 from the patterns to the quotas of the sources: the first use of a token is cheap, each repetition costs
 more, and a document is used at most ``MAX_COPIES`` times. The flow has one row per pattern and source,
-so it is solved where the job starts; the number of patterns is checked against ``max_patterns``. The
-flow of a pattern is then spread over its documents: whole rounds over all of them, and for the rest the
+so it is solved where the job starts; the number of patterns is checked against ``max_patterns``. Where every
+document has one source, more sources than that have an exact way: their flow is known and is computed in
+DataFrames, with the same rows. The flow of a pattern is then spread over its documents: whole rounds over all of them, and for the rest the
 documents that come first in the order of a seeded hash. One document per pattern may be taken in part,
 so that the flow is met exactly.
 
@@ -177,7 +178,7 @@ def mix(
     return Mix(taken, {s: (sizes[s], wanted[s]) for s in sizes}, flows)
 
 
-def _spread(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def _spread(sized: DataFrame, plan: DataFrame, few: bool = True) -> DataFrame:
     """Take whole rounds of a pattern and its rest from the documents that come first by ``place``.
 
     Sizes are summed by the leading bits of the place; only the documents in the one bucket of a pattern
@@ -197,7 +198,9 @@ def _spread(sized: DataFrame, plan: DataFrame) -> DataFrame:
         .groupBy("pattern")
         .agg(F.min("bucket").alias("cut"), F.min(F.struct("bucket", "before"))["before"].alias("before"))
     )
-    planned = placed.join(plan.join(cuts, "pattern", "left").hint("broadcast"), "pattern")
+    planned = plan.join(cuts, "pattern", "left")
+    # Of patterns that are too many to send, a hot one is split by adaptive execution.
+    planned = placed.join(planned.hint("broadcast") if few else stage(planned, "plan"), "pattern")
     inside = F.col("bucket") == F.col("cut")
     order = Window.partitionBy("pattern").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = planned.where(inside).withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
@@ -211,12 +214,78 @@ def _spread(sized: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Add ``number``, the place in an order from 0, without a task that sees all rows."""
+    within = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = stage(within.withColumn("task", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND((1 << 33) - 1)), "numbered")
+    # One row per task.
+    counts = placed.groupBy("task").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("task", before.alias("start")))
+    return placed.join(starts, "task").withColumn("number", F.col("start") + F.col("at")).drop("task", "at", "start")
+
+
+def _filled(sources: DataFrame, total: int) -> float:
+    """The unit at which ``weight * unit``, but ``MAX_COPIES`` times the size at most, adds up to ``total``.
+
+    A source is full below the unit that its size stands for. Each step gives what full sources leave over
+    to the others, which raises the unit, until no further source is full.
+    """
+    room = MAX_COPIES * F.col("size")
+    unit = -1.0
+    while True:
+        full = F.col("weight") * F.lit(unit) > room
+        taken, free = sources.agg(F.coalesce(F.sum(F.when(full, room)), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        raised = (total - taken) / free if free else unit
+        if not free or raised <= unit:
+            return unit
+        unit = raised
+
+
+def mix_of_single_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """What ``mix`` gives where every document has one source, for any number of sources.
+
+    A pattern is a source then, and the flow is known: each source takes its target, rounded, or all that its
+    documents can give. Returns ``(doc_id, pattern, size, taken)`` and ``(pattern, source_size, target)``.
+    """
+    source = F.col("source").cast("string")
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.to_json(F.array(source)).alias("pattern"),
+        source.alias("source"),
+        word_count("text").alias("size"),
+        F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed)).alias("place"),
+    )
+    sized = stage(sized, "sizes")
+    sources = sized.groupBy("pattern", "source").agg(F.sum("size").alias("size"))
+    cycle = F.array(*[F.lit(float(w)) for w in weights])
+    numbered = _numbered(sources, [F.col("source").isNull(), F.encode(F.coalesce("source", F.lit("")), "UTF-8")])
+    weighed = stage(numbered.withColumn("weight", F.get(cycle, (F.col("number") % len(weights)).cast("int"))), "weighed")
+    total = weighed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    room = MAX_COPIES * F.col("size")
+    target = F.least(F.col("weight") * F.lit(_filled(weighed, total)), room.cast("double"))
+    aimed = stage(weighed.select("pattern", F.col("size").alias("source_size"), target.alias("target")), "targets")
+    amount = F.least(F.bround("target").cast("long"), MAX_COPIES * F.col("source_size"))
+    size = F.col("source_size")
+    rounds = F.when(size > 0, F.least(F.lit(MAX_COPIES), F.expr("amount div source_size"))).otherwise(F.lit(0))
+    plan = aimed.withColumn("amount", amount).withColumn("rounds", rounds.cast("long"))
+    plan = plan.select("pattern", "rounds", (F.col("amount") - F.col("rounds") * size).alias("rest"))
+    return _spread(sized.drop("source"), plan, few=False), aimed
+
+
+def _mixed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents and the sources of a mix: by the flow, or beyond what it is solved for by its known answer."""
+    source = F.col("source").cast("string")
+    if docs.select(source.alias("source")).distinct().limit(MAX_PATTERNS + 1).count() > MAX_PATTERNS:
+        return mix_of_single_sources(docs, seed=seed)
+    chosen = mix(docs, F.array(source), seed=seed)
+    return chosen.documents, F.broadcast(_source_table(docs, chosen))
+
+
 def mix_by_source(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for documents that have one source each."""
-    chosen = mix(docs, F.array(F.col("source").cast("string")), seed=seed)
-    return chosen.documents.join(F.broadcast(_source_table(docs, chosen)), "pattern").select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
+    documents, sources = _mixed(docs, seed)
+    return documents.join(sources, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _source_table(docs: DataFrame, chosen: Mix) -> DataFrame:
@@ -233,7 +302,7 @@ def apply_mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     Rows that share an id share their copies; if ids repeat, the copies of the id are its mean.
     """
     own_id, copies, copy = free_names(docs.columns, "_id", "_copies", "_copy")
-    chosen = mix(docs, F.array(F.col("source").cast("string")), seed=seed).documents
+    chosen, _ = _mixed(docs, seed)
     number = (
         chosen.where("taken > 0")
         .groupBy("doc_id")

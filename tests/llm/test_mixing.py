@@ -127,3 +127,35 @@ def test_copies_keep_columns_of_any_name(spark):
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns
     assert out.count() > 0 and set(map(tuple, out.collect())) <= set(rows)
+
+
+def test_any_number_of_single_sources(spark):
+    """More sources than a flow is solved for; targets as of the plain rule, everything near them."""
+    n = mixing.MAX_PATTERNS + 2000
+    docs = spark.range(n).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") > 0, F.concat(F.lit("é"), F.hex("id"))).alias("source"),
+        F.array_join(F.array_repeat(F.lit("w"), (F.xxhash64("id") % 7 + 7).cast("int")), " ").alias("text"),
+    )
+    rows = mixing.mix_by_source(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sizes = {r["source"]: r["source_size"] for r in rows}
+    wanted = mixing.targets(sizes, mixing.cyclic_weights(list(sizes)), sum(sizes.values()))
+    assert len(rows) == n
+    for r in rows:
+        assert r["target"] == pytest.approx(wanted[r["source"]])
+        assert r["taken"] <= 3 * r["size"] and abs(r["taken"] - r["target"]) <= 0.5
+    assert mixing.apply_mix(docs).count() > 0
+
+
+@pytest.mark.parametrize("sizes", [[5], [1, 1, 100], [0, 0, 3], [0], [10, 10, 10, 1000, 1, 1], [3, 0, 50, 2]])
+def test_single_sources_equal_the_flow(spark, sizes):
+    rows = [(10 * i + k, f"s{i}" if i else None, " ".join(["w"] * (n // 2 if k else n - n // 2))) for i, n in enumerate(sizes) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    chosen = mixing.mix(docs, F.array("source"))
+    plain = {(r["doc_id"], r["size"], r["taken"]) for r in chosen.documents.collect()}
+    documents, sources = mixing.mix_of_single_sources(docs)
+    found = documents.join(sources, "pattern").collect()
+    assert {(r["doc_id"], r["size"], r["taken"]) for r in found} == plain
+    assert {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_by_source(docs).collect()} == plain
+    by_doc = {d: s for d, s, _ in rows}
+    assert all((r["source_size"], r["target"]) == pytest.approx(chosen.sources[by_doc[r["doc_id"]]]) for r in found)
