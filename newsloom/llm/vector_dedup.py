@@ -6,9 +6,9 @@ a cosine of ``LEAST`` or more are links; links of all passes are united into com
 are one class and are compared once.
 
 Where many vectors lie close without linking they share leading signs and fill each other's windows, so
-runs of equal leading signs are compared whole as well, all pairs of a run, tile by tile. How many signs
-make a run follows from the table: as many as make the comparisons fewest, none for small tables, which
-are compared exactly. Each link shares the leading signs of a pass with a chance that depends on its
+runs of equal leading signs are compared whole as well, all pairs of a run, tile by tile, in every pass. How
+many signs make a run follows from the table: as many as make the comparisons fewest, ``FEWEST_BITS`` at
+least. With these and ``PASSES`` passes a link of exactly ``LEAST`` is missed with a chance of 3 in a million. Each link shares the leading signs of a pass with a chance that depends on its
 cosine only, not on the other vectors; there are as many passes as find a link of exactly ``LEAST`` with
 a chance of ``RECALL``. Dense runs cost the square of their size, and nothing is left out of them.
 
@@ -19,7 +19,9 @@ compared whole, which counts links without listing them and needs no group in on
 Vectors that are null, empty, all zero or hold null or non-finite components link with nothing, as do
 vectors of different lengths with each other. Repeated rows are separate vectors that link. A row
 without id takes part and is never kept; a component without any id is null. Cosines are computed in
-double precision on the original components.
+double precision on vectors scaled by their largest component, so that lengths neither over- nor underflow;
+whatever decides a link, a product too near to the bound is computed again for the pair alone. Other
+columns are not read and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.staging import stage
 from newsloom.llm.graph import connected_components
-from newsloom.llm.vectors import is_valid, stack, to_bytes
+from newsloom.llm.vectors import cosine, is_valid, stack, to_bytes, unit_rows
 
 LEAST = 0.95
 PASSES = 12
@@ -50,6 +52,9 @@ MOST_BITS = 24
 # A further pass costs as much for each vector as so many comparisons.
 PASS_COST = 2048
 RUN_TILE = 512
+# Runs share so many signs at least, also in small tables; what products of unit vectors may be off by.
+FEWEST_BITS = 4
+ROUNDING = 1e-9
 SEED = 1
 
 
@@ -63,7 +68,7 @@ def _codes(classes: DataFrame, passes: int, seed: int) -> DataFrame:
             for dim, rows in frame.groupby("dim"):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).normal(size=(dim, passes * BITS))
-                signs = (stack(rows["vector"]) @ planes[dim] > 0).reshape(len(rows), passes, BITS)
+                signs = (unit_rows(rows["vector"]) @ planes[dim] > 0).reshape(len(rows), passes, BITS)
                 codes = (signs * weights).sum(axis=2, dtype=np.uint64) ^ np.uint64(1 << 63)
                 for turn in range(passes):
                     yield rows.assign(turn=turn, code=codes[:, turn].view(np.int64))[
@@ -116,14 +121,13 @@ def _window_links(ranked: DataFrame, least: float, window: int) -> DataFrame:
             return i
 
         for _, part in rows.groupby(["turn", "dim"]):
-            matrix = stack(part["vector"])
-            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+            matrix = unit_rows(part["vector"])
             at = part.index.to_numpy()
             for low in range(0, len(part), 256):
                 near = matrix[low : low + 256] @ matrix[low : low + 256 + window].T
-                i, j = np.nonzero(near >= least - 1e-9)
+                i, j = np.nonzero(near >= least - ROUNDING)
                 for a, b in zip(i[(j > i) & (j - i <= window)] + low, j[(j > i) & (j - i <= window)] + low, strict=True):
-                    if top(at[a]) != top(at[b]) and _cosine(part["vector"].iloc[a], part["vector"].iloc[b]) >= least:
+                    if top(at[a]) != top(at[b]) and cosine(part["vector"].iloc[a], part["vector"].iloc[b]) >= least:
                         root[top(at[a])] = top(at[b])
                         found.append((keys[at[a]], keys[at[b]]))
         return pd.DataFrame(found, columns=["a", "b"])
@@ -141,23 +145,23 @@ def passes_needed(bits: int, least: float) -> int:
     return 1 if shared >= RECALL else math.ceil(math.log(1 - RECALL) / math.log1p(-shared))
 
 
-def _run_bits(classes: DataFrame, least: float, seed: int) -> int:
+def _run_bits(classes: DataFrame, least: float, passes: int, seed: int) -> int:
     """How many leading signs make a run, so that all passes together cost least on this table."""
     coded = _codes(classes, 1, seed)
     head = F.shiftrightunsigned("code", BITS - MOST_BITS).alias("head")
     heads = coded.groupBy("dim", head).agg(F.count("*").alias("n"))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(MOST_BITS))).alias("bits")
+    bits = F.explode(F.sequence(F.lit(FEWEST_BITS), F.lit(MOST_BITS))).alias("bits")
     runs = heads.select("dim", "head", "n", bits).groupBy("bits", "dim", F.expr(f"shiftrightunsigned(head, {MOST_BITS} - bits)"))
     # One row per number of bits.
     pairs = runs.agg(F.sum("n").alias("n")).groupBy("bits").agg(F.sum("n").alias("n"), F.sum(F.col("n").cast("double") ** 2).alias("pairs"))
-    costs = {r["bits"]: passes_needed(r["bits"], least) * (r["pairs"] / 2 + PASS_COST * r["n"]) for r in pairs.collect()}
-    return min(sorted(costs), key=costs.get, default=0)
+    costs = {r["bits"]: max(passes, passes_needed(r["bits"], least)) * (r["pairs"] / 2 + PASS_COST * r["n"]) for r in pairs.collect()}
+    return min(sorted(costs), key=costs.get, default=FEWEST_BITS)
 
 
 def _run_links(ranked: DataFrame, least: float, bits: int) -> DataFrame:
     """Links found by comparing all vectors of a run, as few as keep what they connect."""
-    run = F.shiftrightunsigned("code", BITS - bits) if bits else F.lit(0).cast("long")
-    rows = ranked.where(F.col("turn") < passes_needed(bits, least)).select("turn", "dim", run.alias("run"), "key", "vector")
+    run = F.shiftrightunsigned("code", BITS - bits)
+    rows = ranked.select("turn", "dim", run.alias("run"), "key", "vector")
     names = ["turn", "dim", "run"]
     sizes = rows.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / F.lit(RUN_TILE)).cast("long")
@@ -168,15 +172,9 @@ def _run_links(ranked: DataFrame, least: float, bits: int) -> DataFrame:
     )
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = stack(rows["vector"])
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        keys, vectors = rows["key"].to_numpy(), rows["vector"].to_numpy()
-        near = np.triu(matrix @ matrix.T, 1)
-        i, j = np.nonzero(near >= least - 1e-9) if least > 1e-9 else np.triu_indices(len(rows), 1)
-        sure = near[i, j] >= least + 1e-9
-        for at in np.flatnonzero(~sure):
-            sure[at] = _cosine(vectors[i[at]], vectors[j[at]]) >= least
-        first = _first_linked(i[sure], j[sure], len(rows))
+        keys = rows["key"].to_numpy()
+        i, j = np.nonzero(np.triu(_linked(unit_rows(rows["vector"]), rows["vector"].to_numpy(), least), 1))
+        first = _first_linked(i, j, len(rows))
         linked = np.flatnonzero(first != np.arange(len(rows)))
         return pd.DataFrame({"a": keys[linked], "b": keys[first[linked]]})
 
@@ -196,9 +194,14 @@ def _first_linked(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         first = lower
 
 
-def _cosine(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, "<f8"), np.frombuffer(b, "<f8")
-    return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
+def _linked(matrix: np.ndarray, vectors: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of unit vectors link; products too near to the bound to tell are computed singly."""
+    product = matrix @ matrix.T
+    near = product >= least
+    for i, j in zip(*np.nonzero(np.triu(np.abs(product - least) < ROUNDING, 1)), strict=True):
+        near[i, j] = near[j, i] = cosine(vectors[i], vectors[j]) >= least
+    np.fill_diagonal(near, False)
+    return near
 
 
 def _count_links(members: DataFrame, least: float) -> DataFrame:
@@ -214,10 +217,7 @@ def _count_links(members: DataFrame, least: float) -> DataFrame:
     )
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
-        matrix = stack(rows["vector"])
-        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-        near = matrix @ matrix.T >= least
-        np.fill_diagonal(near, False)
+        near = _linked(unit_rows(rows["vector"]), rows["vector"].to_numpy(), least)
         if rows["low"].iloc[0] != rows["high"].iloc[0]:
             tile = rows["tile"].to_numpy()
             near &= tile[:, None] != tile[None, :]
@@ -240,7 +240,7 @@ def near_duplicates(
     classes = keyed.groupBy("key", "dim", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = stage(classes, "classes")
     vectors = classes.select("key", "dim", "copies", "vector")
-    bits = _run_bits(vectors, least, seed)
+    bits = _run_bits(vectors, least, passes, seed)
     ranked = _ranked(_codes(vectors, max(passes, passes_needed(bits, least)), seed))
     links = stage(_window_links(ranked, least, window).unionByName(_run_links(ranked, least, bits)), "links")
     components = connected_components(links).withColumnRenamed("node", "key")

@@ -30,6 +30,22 @@ def stack(values: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(values), dtype="<f8").reshape(len(values), -1)
 
 
+def unit_rows(values: pd.Series) -> np.ndarray:
+    """Vectors scaled to length 1, first by their largest component, so that no square over- or underflows."""
+    matrix = stack(values)
+    if not len(matrix):
+        return matrix
+    matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def cosine(a: bytes, b: bytes) -> float:
+    """In double precision, of the original components but for the scale of each vector."""
+    x, y = (np.frombuffer(v, "<f8") for v in (a, b))
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
+    return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
+
+
 def valid_vectors(table: DataFrame) -> DataFrame:
     """``(vec_id, vector, dim)`` of the vectors that take part."""
     vector = F.col("embedding").cast("array<double>")

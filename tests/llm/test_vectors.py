@@ -191,3 +191,28 @@ def test_small_tables_are_exact(spark):
     }
     assert found_neighbours(table(spark, [])) == {}
     assert found_neighbours(table(spark, [(None, [1.0] * 16)])) == {}
+
+
+def test_lengths_neither_overflow_nor_underflow(spark):
+    base = [0.3, -0.2, 0.9]
+    rows = [(i, [x * 10.0**power for x in base]) for i, power in enumerate((-300, -200, 0, 0, 200, 300))] + [(9, [-0.3, 0.2, -0.9])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {i: (5, 0, i == 0) for i in range(6)} | {9: (0, 9, True)}
+
+
+def test_links_at_the_bound_are_counted_as_they_are_found(spark):
+    """Pairs whose cosine is the bound itself, up to rounding: links and their number agree."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(30):
+        a = rng.normal(size=8)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=8)
+        b -= (b @ a) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, (a * 10.0 ** (i - 15)).tolist()), (2 * i + 1, (0.95 * a + np.sqrt(1 - 0.95**2) * b).tolist())]
+    found = vector_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    by_component = {}
+    for r in found:
+        by_component.setdefault(r["component_id"], []).append(r["n_links"])
+    assert all(n == [0] if len(n) == 1 else min(n) >= 1 for n in by_component.values())
