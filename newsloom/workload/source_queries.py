@@ -258,7 +258,9 @@ def progress_counts(t):
 
 @query("b6_tokens_of_articles", sql(TOKEN_DIGESTS_SQL + " FROM tokens WHERE id IN (SELECT doc_id FROM labels)", "tokens"))
 def tokens_of_articles(t):
-    return token_digests(tokenise(rows_of(t.texts, t.label_ids)))
+    """From stored tokens, clustered by id."""
+    stored = materialise_tokens(t.spark, scratch_path(t.spark, "tokens"), t.texts, tokenise)
+    return token_digests(rows_of(stored, t.label_ids))
 
 
 @query(

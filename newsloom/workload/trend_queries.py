@@ -53,6 +53,15 @@ def topic_trends_odd_window(t):
     return shown(T.topic_trends(t.vectors, t.dates, window_size=5))
 
 
+@query("t3_one_topic_trend", sql(f"SELECT * FROM ({trends_sql(30)}) WHERE topic_id = 3", "doc_topics", "posts"))
+def one_topic_trend(t):
+    """Read from the layout by topic and share: only the shares of this topic above the bound."""
+    path = scratch_path(t.spark, "topics")
+    E.write_topics(t.vectors, path)
+    by_article, by_topic = (t.spark.read.parquet(f"{path}/{name}") for name in ("by_article", "by_topic"))
+    return shown(T.topic_trends(by_article, t.dates, 3, doc_topics=by_topic))
+
+
 @query(
     "t4_trend_series",
     sql(

@@ -225,6 +225,7 @@ def test_unknown_words_and_other_columns(spark, model):
     assert sum(by_id[3].shares) == pytest.approx(1) and by_id[3].part == 9 and by_id[3].row == "b"
 
 
+@pytest.mark.parametrize("model", ["variational"], indirect=True)
 def test_round_trip_next_to_other_models(spark, corpus, model, tmp_path):
     path = str(tmp_path / "model")
     E.save_model(model, path)
@@ -236,6 +237,7 @@ def test_round_trip_next_to_other_models(spark, corpus, model, tmp_path):
     assert isinstance(E.load_model(spark, path), E.TopicModel)
 
 
+@pytest.mark.parametrize("model", ["gibbs"], indirect=True)
 def test_explorer_over_a_table_model(corpus, model, tmp_path):
     explorer = TopicExplorer.from_model(corpus, model, str(tmp_path / "tables"))
     assert explorer.topics_table().count() == 3
@@ -244,6 +246,7 @@ def test_explorer_over_a_table_model(corpus, model, tmp_path):
     assert explorer.similar_pairs().count() == 3
 
 
+@pytest.mark.parametrize("model", ["gibbs"], indirect=True)
 def test_streams_are_tagged_in_batches(spark, corpus, model, tmp_path, monkeypatch):
     """Any model, with phrases and lemmas that are joined because they are too many for a row."""
     texts = corpus.texts.withColumn("text", F.regexp_replace("text", "apple", "apples"))
