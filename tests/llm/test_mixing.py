@@ -147,7 +147,7 @@ def test_any_number_of_single_sources(spark):
     assert mixing.apply_mix(docs).count() > 0
 
 
-@pytest.mark.parametrize("sizes", [[5], [1, 1, 100], [0, 0, 3], [0], [10, 10, 10, 1000, 1, 1], [3, 0, 50, 2]])
+@pytest.mark.parametrize("sizes", [[0], [0, 0, 3], [10, 10, 10, 1000, 1, 1]])
 def test_single_sources_equal_the_flow(spark, sizes):
     rows = [(10 * i + k, f"s{i}" if i else None, " ".join(["w"] * (n // 2 if k else n - n // 2))) for i, n in enumerate(sizes) for k in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
