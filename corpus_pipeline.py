@@ -4,7 +4,8 @@ Each stage takes the documents its predecessor kept, is written to the shared fo
 stages but the last return the columns of ``documents``; every column a table has is carried along.
 
 Documents without an id keep their place in every stage; a group of copies keeps the row with the
-smallest id, and of rows equal in id the one with the smallest text.
+smallest id. Of rows equal in id those count whose set of shingles has the smallest hash, and of these the
+row with the smallest text, then the smallest other columns. Columns may have any name.
 """
 
 from __future__ import annotations
