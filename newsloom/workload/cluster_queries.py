@@ -90,9 +90,43 @@ def selected_similarities(t):
     return rounded(H.selected_similarities(similarities(t), _excluded(t)))
 
 
-@query("h2_spectral_clusters", sql("SELECT topic_id, 3 AS n_clusters, true AS is_unit FROM topics", "topics"))
+# Nations as topics, similar within their region: each cluster is a region, named by its first nation.
+REGIONS_SQL = """SELECT 'nation' AS source, CAST(n_nationkey AS INTEGER) AS topic_id, {columns}
+    CAST(min(n_nationkey) OVER (PARTITION BY n_regionkey) AS INTEGER) AS first_topic FROM nation"""
+
+
+def _region_similarities(t):
+    """``(i, j)`` and every metric: 0.8 within a region and 0 elsewhere; a cell per pair of nations."""
+    nations = t.read("nation").select(F.col("n_nationkey").cast("int").alias("i"), F.col("n_regionkey").alias("region_i"))
+    others = nations.select(F.col("i").alias("j"), F.col("region_i").alias("region_j"))
+    sim = F.when(F.col("i") == F.col("j"), 0.0).when(F.col("region_i") == F.col("region_j"), 0.8).otherwise(0.0)
+    cells = nations.crossJoin(F.broadcast(others)).withColumn("sim", sim)
+    return cells.select("i", "j", *[F.col("sim").alias(metric) for metric in METRICS])
+
+
+def _named_by_first(clusters):
+    clusters = stage(clusters, "region_clusters")
+    first = clusters.groupBy("cluster").agg(F.min("topic_id").alias("first_topic"))
+    return clusters.join(first, "cluster").drop("cluster").withColumn("source", F.lit("nation"))
+
+
+@query(
+    "h2_spectral_clusters",
+    sql(
+        REGIONS_SQL.format(columns="CAST(NULL AS INTEGER) AS n_clusters, CAST(NULL AS BOOLEAN) AS is_unit,")
+        + """ UNION ALL BY NAME SELECT 'rule' AS source, topic_id, 3 AS n_clusters, true AS is_unit,
+        CAST(NULL AS INTEGER) AS first_topic FROM topics""",
+        "topics",
+    ),
+)
 def spectral_clusters(t):
-    """Each topic is in one of three clusters, and all three are used."""
+    """The clusters of nations are the regions; each rule topic is in one of three clusters, and all are used."""
+    regions = _region_similarities(t).select("i", "j", F.col("word_doc_sim").alias("sim"))
+    exact = _named_by_first(H.spectral_clusters(regions, n_clusters=5))
+    return exact.unionByName(_rule_clusters(t).withColumn("source", F.lit("rule")), allowMissingColumns=True)
+
+
+def _rule_clusters(t):
     matrix = H.selected_similarities(similarities(t), t.spark.createDataFrame([], "topic_id int, kind string"))
     clusters = H.spectral_clusters(matrix, n_clusters=3)
     used = clusters.agg(F.count_distinct("cluster").cast("int").alias("n_clusters"))
@@ -116,9 +150,24 @@ def clustered_kinds(t):
     return clusters.select("topic_id", "kind", F.col("cluster").isNotNull().alias("has_cluster"))
 
 
-@query("h2_cluster_topics", sql("SELECT topic_id, 'cluster' AS kind, true AS is_silhouette FROM topics", "topics"))
+@query(
+    "h2_cluster_topics",
+    sql(
+        REGIONS_SQL.format(columns="'cluster' AS kind, CAST(1.0 AS DOUBLE) / 1.0 * 0.8 AS silhouette, CAST(NULL AS BOOLEAN) AS is_silhouette,")
+        + """ UNION ALL BY NAME SELECT 'rule' AS source, topic_id, 'cluster' AS kind, CAST(NULL AS DOUBLE) AS silhouette,
+        true AS is_silhouette, CAST(NULL AS INTEGER) AS first_topic FROM topics""",
+        "topics",
+    ),
+)
 def cluster_topics(t):
-    """The silhouette of each topic is the one that its mean distances to the clusters found give."""
+    """Nations within a region have the distance 0.2, to the others 1; the silhouette of each rule topic is the
+    one that its mean distances to the clusters found give."""
+    clusters = H.cluster_topics(_region_similarities(t), 25, n_clusters=5, threshold_percentile=None)
+    exact = _named_by_first(clusters).withColumn("silhouette", F.round("silhouette", 9))
+    return exact.unionByName(_rule_silhouettes(t).withColumn("source", F.lit("rule")), allowMissingColumns=True)
+
+
+def _rule_silhouettes(t):
     sims = similarities(t)
     clusters = stage(H.cluster_topics(sims, NUM_TOPICS, n_clusters=3), "clusters")
     matrix = H.selected_similarities(sims, t.spark.createDataFrame([], "topic_id int, kind string"))
