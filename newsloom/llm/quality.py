@@ -43,8 +43,8 @@ PRIOR = 10.0
 LEAST_LOG_WEIGHT = -2.0
 SEED = 1
 BINS = 4096
-# Texts whose features are held at once.
-PIECE_BYTES = 4 << 20
+# Texts whose features are held at once; they need about thirty times as much.
+PIECE_BYTES = 1 << 20
 
 KINDS = np.arange(256, dtype=np.uint8)
 KINDS[ord("a") : ord("z") + 1] = ord("a")
@@ -65,7 +65,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     kept = np.ones(len(data), dtype=bool)
     kept[1:] = kinds[1:] != kinds[:-1]
     kept[starts] = True
-    at = np.concatenate(([0], np.cumsum(kept)))
+    at = np.zeros(len(data) + 1, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(kept, out=at[1:])
     shapes = hash_spans(kinds[kept], at[starts], at[ends])
     again = np.zeros(len(starts), dtype=bool)
     again[1:] = (of_words[1:] == of_words[:-1]) & ~first[1:]

@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from newsloom.llm import quality
+from newsloom.llm.text import pieces
 
 
 def labels_of(spark, rows):
@@ -93,3 +95,15 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and kept.count() == out.where("kept").count()
     assert quality.resample(no_documents, labels).count() == 0
     assert quality.select(odd_documents, labels.limit(0)).count() == odd_documents.count()
+
+
+def test_features_need_little_memory():
+    texts = [" ".join(f"{w}{k % 97}" for k in range(800) for w in ("Alpha", "beta,", "the")) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts])], names=["text"])
+    ratios = np.arange(quality.STARTS[-1]) * 1e-3
+    quality._log_weights(batch.column(0).slice(0, 1), ratios)
+    tracemalloc.start()
+    weights = [quality._log_weights(p.column(0), ratios) for p in pieces([batch], 0, quality.PIECE_BYTES)]
+    assert tracemalloc.get_traced_memory()[1] < 70 << 20
+    tracemalloc.stop()
+    assert np.array_equal(np.concatenate(weights), np.concatenate([quality._log_weights(batch.column(0).slice(k, 1), ratios) for k in range(600)]))
