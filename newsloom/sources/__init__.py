@@ -5,6 +5,7 @@ from newsloom.sources.articles import (
     read_text_folder,
     read_work_list,
     write_articles,
+    write_text_folder,
 )
 from newsloom.sources.pages import article_text_from_html, extract_articles, rejected_pages
 from newsloom.sources.posts import POSTS_SCHEMA, read_posts
@@ -30,4 +31,5 @@ __all__ = [
     "rejected_pages",
     "throughput",
     "write_articles",
+    "write_text_folder",
 ]

@@ -1,5 +1,7 @@
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from newsloom.functions.staging import path_is_complete
 from newsloom.functions.text import alphabetic_words, first_bytes, surface_tokens
 from newsloom.operators.features import tokenise
 from newsloom.plans.ingest import ingest_pages, main, stored_articles
+from newsloom.sources import pages as page_texts
 from newsloom.sources import (
     append_ids,
     extract_articles,
@@ -19,6 +22,7 @@ from newsloom.sources import (
     read_topic_keys_file,
     read_work_list,
     rejected_pages,
+    write_text_folder,
 )
 
 
@@ -294,3 +298,25 @@ def test_empty_files_have_an_empty_text(spark, tmp_path):
 def test_text_folder_in_another_encoding(spark, tmp_path):
     (tmp_path / "7.txt").write_bytes("déjà".encode("latin-1"))
     assert [tuple(r) for r in read_text_folder(spark, str(tmp_path), encoding="ISO-8859-1").collect()] == [(7, "déjà")]
+
+
+def test_texts_are_written_without_a_folder_for_each(spark, tmp_path):
+    path = f"{tmp_path}/texts"
+    rows = [(k, f"text {k}\nnaïve") for k in range(100)] + [(7, "again"), (200, None)]
+    write_text_folder(spark.createDataFrame(rows, "id long, text string"), path)
+    assert len(list((tmp_path / "texts").iterdir())) < 50
+    found = {r.id: r.text for r in read_text_folder(spark, path, r"/id=([0-9]+)\.txt$").collect()}
+    assert sorted(found.pop(7).split("\n")) == ["", "again", "naïve", "text 7"]
+    assert found == {k: f"text {k}\nnaïve\n" for k in range(100) if k != 7} | {200: "\n"}
+
+
+def test_pages_are_read_in_pieces(monkeypatch):
+    html = pa.array([f"<article>{k} {'x' * 30_000}</article>" for k in range(200)] + [None, "", "y" * 3_000_000])
+    tracemalloc.start()
+    lengths = page_texts._texts(html, lambda page: str(len(page)))
+    assert tracemalloc.get_traced_memory()[1] < 5 << 20
+    tracemalloc.stop()
+    assert lengths.to_pylist() == [None if page is None else str(len(page)) for page in html.to_pylist()]
+    monkeypatch.setattr(page_texts, "PIECE_BYTES", 10)
+    assert [len(piece) for piece in page_texts._pieces(pa.array(["a" * 4] * 5), 10)] == [3, 2]
+    assert page_texts._texts(pa.array([], pa.string()), len).to_pylist() == []
