@@ -16,6 +16,7 @@ ENTRIES = 1 << 15
 DENSE_TOPICS = 64
 MAX_STEPS = 50
 TOLERANCE = 1e-3
+LEFT_OUT = 0.25
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -260,28 +261,34 @@ def _expected(gamma: np.ndarray) -> np.ndarray:
 
 def _settle(weights: np.ndarray, n: np.ndarray, sizes: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """The topic weights of documents with ``sizes`` entries each, whose ``weights`` are by topic and entry; a
-    document that has settled stays, so that no document's result depends on others."""
+    document that has settled stays, so that no document's result depends on others.
+
+    Its entries are left out once these are a share of ``LEFT_OUT`` together: leaving out copies all others."""
     out = alpha + np.add.reduceat(n, np.cumsum(sizes) - sizes)[:, None] / len(alpha)
-    active = np.arange(len(sizes))
+    active, going, starts = np.arange(len(sizes)), np.ones(len(sizes), dtype=bool), np.cumsum(sizes) - sizes
+    gamma = out.copy()
     for _ in range(MAX_STEPS):
-        starts = np.cumsum(sizes) - sizes
-        gamma = out[active]
         theta = _expected(gamma)
         share = np.full(len(n), 1e-100)
         for own, of_topic in zip(theta.T, weights, strict=True):
-            share += np.repeat(own, sizes) * of_topic
+            part = np.repeat(own, sizes)
+            part *= of_topic
+            share += part
         np.divide(n, share, out=share)
         new = np.empty_like(gamma)
         for k, of_topic in enumerate(weights):
-            new[:, k] = np.add.reduceat(of_topic * share, starts)
+            np.multiply(of_topic, share, out=part)
+            new[:, k] = np.add.reduceat(part, starts)
         new = alpha + theta * new
-        out[active] = new
-        going = np.abs(new - gamma).mean(axis=1) >= TOLERANCE
+        out[active[going]] = new[going]
+        going &= np.abs(new - gamma).mean(axis=1) >= TOLERANCE
+        gamma = new
         if not going.any():
             break
-        if not going.all():
+        if sizes[going].sum() < (1 - LEFT_OUT) * len(n):
             kept = np.repeat(going, sizes)
-            weights, n, sizes, active = weights[:, kept], n[kept], sizes[going], active[going]
+            weights, n, sizes, active, gamma = weights[:, kept], n[kept], sizes[going], active[going], gamma[going]
+            going, starts = np.ones(len(sizes), dtype=bool), np.cumsum(sizes) - sizes
     return out
 
 

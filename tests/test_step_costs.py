@@ -53,6 +53,27 @@ def test_a_stretch_does_not_cost_what_the_vocabulary_costs(monkeypatch):
     assert np.allclose(sums, wanted)
 
 
+def test_settled_documents_are_left_out_together():
+    """What is copied when documents settle is a few times the entries, however many steps it takes."""
+    copied = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, key):
+            found = super().__getitem__(key)
+            if found.ndim == 2:
+                copied.append(found.size)
+            return found
+
+    generator = np.random.default_rng(2)
+    sizes = generator.integers(1, 300, size=100)
+    weights, n = generator.random((6, sizes.sum())) ** 4, generator.integers(1, 5, size=sizes.sum()).astype(np.float64)
+    found = S._settle(weights.view(Counted), n, sizes, np.full(6, 0.1))
+    assert copied and sum(copied) <= 3 * weights.size
+    ends = np.cumsum(sizes)
+    alone = [S._settle(weights[:, end - size : end], n[end - size : end], np.array([size]), np.full(6, 0.1))[0] for size, end in zip(sizes, ends)]
+    assert np.array_equal(found, np.stack(alone))
+
+
 def test_sums_are_sent_in_pieces():
     sums = np.random.default_rng(1).random((500_000, 6))
     sums[::2] = 0
