@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.staging import stage
+from newsloom.functions.staging import small_batches, stage
 from newsloom.llm.graph import connected_components
 from newsloom.llm.text import free_names, mix, pieces, shingles, words
 
@@ -56,8 +56,8 @@ SIGNATURE_WORDS = 4
 SIGNATURE = tuple(f"bits_{k}" for k in range(SIGNATURE_WORDS))
 FILTER_BITS = 1 << 24
 BITMAP = 1 << 15
-# Texts whose sets are made at once, where nothing is gained by more.
-PIECE_BYTES = 4 << 20
+# Texts whose sets are made at once; a task needs about twenty times as much while it makes them.
+PIECE_BYTES = 2 << 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def shingle_weights(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
     bits = min(TABLE_BITS, max(8, (2 * partitions - 1).bit_length()))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE_BYTES):
             heads = np.sort((_sets(batch.column(1), width)[0] >> np.uint64(32)).astype(np.uint32))
             cuts = np.searchsorted(heads, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).tolist()
             parts = [heads[i:j] for i, j in zip(cuts, [*cuts[1:], len(heads)], strict=True)]
@@ -155,7 +155,7 @@ def _postings(docs: DataFrame, weights: Broadcast, buckets: int, percent: int, w
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = weights.value
-        for batch in pieces(batches, 1):
+        for batch in pieces(batches, 1, PIECE_BYTES):
             flat, bounds, ids = _sets(batch.column(1), width)
             sizes = np.diff(bounds)
             _, first = np.unique(ids, return_index=True)
@@ -501,7 +501,8 @@ def group_documents(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH)
 
 def _grouped(docs: DataFrame, percent: int, width: int) -> DataFrame:
     """What ``group_documents`` gives, and the ``component`` itself, which ids that repeat or are missing do not name."""
-    sets, links = link_classes(docs, percent, width)
+    with small_batches(docs.sparkSession):
+        sets, links = link_classes(docs, percent, width)
     components = connected_components(links)
     of_class = sets.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = of_class.join(components.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -533,11 +534,15 @@ def keep_one_per_group(docs: DataFrame, percent: int = PERCENT, width: int = WID
         out = [pd.Series([], dtype="Int64")]
         for piece in pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])], 0, PIECE_BYTES):
             _, bounds, ids = _sets(piece.column(0), width)
-            out.append(pd.Series(ids).where(np.diff(bounds) > 0).astype("Int64"))
+            # With a dtype that has nulls: as floats, ids would lose their last bits.
+            out.append(pd.Series(ids, dtype="Int64").mask(np.diff(bounds) == 0))
         return pd.concat(out, ignore_index=True)
 
     text = F.coalesce("text", F.lit("")).cast("binary")
     named = docs.withColumn(own_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own_set, set_of(text))
+    # Both kinds of rows, with and without words, are read from it.
+    with small_batches(docs.sparkSession):
+        named = stage(named, "named")
     last = F.lit((1 << 63) - 1)
     chosen = (
         _grouped(docs, percent, width)

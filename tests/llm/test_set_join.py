@@ -1,4 +1,8 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import set_join
@@ -146,3 +150,49 @@ def test_components(spark):
     out = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(61)} | {100: 100, 200: 200, 201: 200, 202: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("step", ["weights", "postings", "sets"])
+def test_a_task_holds_the_sets_of_few_texts(monkeypatch, step):
+    """However many texts a batch has, hashes, shingles and prefixes of some of them are held at once."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(5000, size=400).tolist()) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([x.encode() for x in texts])], names=["doc_id", "text"])
+    tasks = []
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(conf=SimpleNamespace(get=lambda name: "6")))
+
+    def kept(function, schema):
+        tasks.append(function)
+        raise StopIteration
+
+    monkeypatch.setattr(set_join, "_texts", lambda docs: SimpleNamespace(mapInArrow=kept))
+    weights = SimpleNamespace(value=np.ones(1 << set_join.TABLE_BITS, dtype=np.uint8))
+    with pytest.raises(StopIteration):
+        if step == "weights":
+            set_join.shingle_weights(docs)
+        elif step == "postings":
+            set_join._postings(docs, weights, 6, 75, 5)
+        else:
+            set_join._document_sets(docs, 5)
+    list(tasks[0](iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    rows = sum(part.num_rows for part in tasks[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows and peak < 5 * batch.nbytes, peak / batch.nbytes
+
+
+def test_sets_are_made_of_small_batches(spark, monkeypatch):
+    """Whole texts reach Python some MB at a time; the session has its own bound back afterwards."""
+    bounds = []
+    own = set_join.stage
+
+    def seen(frame, name):
+        bounds.append((name, spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)))
+        return own(frame, name)
+
+    monkeypatch.setattr(set_join, "stage", seen)
+    assert set_join.keep_one_per_group(spark.createDataFrame(planted(6, 2, 3), "doc_id long, text string")).count()
+    found = {name for name, bound in bounds if bound is not None and int(bound) <= 4 << 20}
+    assert {"document_sets", "shared", "sets", "named"} <= found
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None

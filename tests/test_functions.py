@@ -49,3 +49,33 @@ def test_staged_table_has_no_lineage(spark):
     staged = staging.stage(spark.range(5).selectExpr("id", "array(id) as a"), "t")
     assert staged.count() == 5 and "Range" not in staged._jdf.queryExecution().toString()
     assert staging.stage(spark.range(0), "empty").count() == 0
+
+
+def sizes_of_batches(docs):
+    def count(batches):
+        for batch in batches:
+            yield batch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+    return [(r.n, r.size) for r in docs.mapInArrow(count, "n long, size long").collect()]
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    docs = spark.range(2000).selectExpr("repeat('word ', if(id = 5, 2000000, 2000)) AS text").coalesce(1)
+    with staging.small_batches(spark):
+        found = sizes_of_batches(docs)
+    assert sum(n for n, _ in found) == 2000
+    assert len(found) > 4 and sorted(size for _, size in found)[-2] < 2 * staging.BATCH_BYTES
+    assert spark.conf.get(staging.BATCH_SETTING, None) is None
+
+
+def test_a_session_keeps_its_own_bound_of_batches(spark):
+    spark.conf.set(staging.BATCH_SETTING, "1m")
+    try:
+        with staging.small_batches(spark):
+            assert spark.conf.get(staging.BATCH_SETTING) == "1m"
+        assert spark.conf.get(staging.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(staging.BATCH_SETTING)
+    with pytest.raises(ZeroDivisionError), staging.small_batches(spark):
+        1 / 0
+    assert spark.conf.get(staging.BATCH_SETTING, None) is None
