@@ -196,3 +196,10 @@ def test_sets_are_made_of_small_batches(spark, monkeypatch):
     found = {name for name, bound in bounds if bound is not None and int(bound) <= 4 << 20}
     assert {"document_sets", "shared", "sets", "named"} <= found
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_rows_beside_texts_without_words_stay(spark):
+    """Set ids have 64 bits also in a batch with texts that have none."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(30)] + [(30, ""), (31, None)]
+    kept = set_join.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(32))
