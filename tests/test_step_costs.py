@@ -117,3 +117,38 @@ def test_topics_are_inferred_once(spark, monkeypatch):
     found = M.infer_topics(None, "gibbs")
     assert "MapInArrow" not in found._jdf.queryExecution().toString()
     assert sorted((r.id, r.has_terms, r.n_topics, r.is_share, r.adds_up) for r in found.collect()) == [(1, True, 2, True, True), (2, False, 2, True, True)]
+
+
+def test_many_documents_are_drawn_in_few_groups(monkeypatch):
+    """A step of a group costs the calls of a step, however many lanes it has."""
+    drawn, real = [], S._draw_dense
+    monkeypatch.setattr(S, "_draw_dense", lambda *given: drawn.append(len(given[7])) or real(*given))
+    generator = np.random.default_rng(4)
+    codes, bounds = planted(generator, 4, 200, 4000, 20)
+    topics = generator.integers(4, size=len(codes))
+    counts = S.topic_counts(codes, topics, 200, 4)
+    S.gibbs_sweep(codes, bounds, topics, counts, counts.sum(axis=0), np.full(4, 0.1), 0.01, 200, generator)
+    assert sum(drawn) == 4000 and len(drawn) <= 4
+    assert (counts == S.topic_counts(codes, topics, 200, 4)).all()
+
+
+def test_documents_are_settled_side_by_side(monkeypatch):
+    settled, real = [], S._settle
+    monkeypatch.setattr(S, "_settle", lambda *given: settled.append(len(given[2])) or real(*given))
+    generator = np.random.default_rng(5)
+    codes, bounds = generator.integers(500, size=200_000), np.arange(0, 200_001, 100)
+    S.variational(codes, np.ones(200_000), bounds, generator.random((500, 3)), np.full(3, 0.1))
+    assert settled == [2000]
+
+
+def test_statistics_of_the_prior_do_not_depend_on_how_topics_are_counted():
+    generator = np.random.default_rng(6)
+    bounds, alpha = np.array([0, 3, 3, 40]), generator.random(7)
+    topics = generator.integers(7, size=40)
+    few = S.alpha_statistics(bounds, topics, alpha)
+    sizes = np.diff(bounds)
+    in_docs = S.topic_counts(np.repeat(np.arange(3), sizes), topics, 3, 7)
+    above = (S.digamma(in_docs + alpha) - S.digamma(alpha)).sum(axis=0)
+    assert np.allclose(few, np.append(above, (S.digamma(sizes + alpha.sum()) - S.digamma(alpha.sum())).sum()))
+    wide = np.concatenate((alpha, generator.random(500)))
+    assert np.allclose(S.alpha_statistics(bounds, topics, wide)[:7], above)

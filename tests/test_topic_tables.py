@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.functions.staging import path_exists
 from newsloom.operators import features as C
 from newsloom.operators import topic_model as E
 from newsloom.operators import topic_sampling as S
@@ -290,3 +291,26 @@ def test_parts_have_about_the_tokens_they_should(spark):
     dealt = T._deal(spark.createDataFrame(rows, "id long, tokens array<string>"), 1000)
     sizes = dealt.groupBy("part").agg(F.sum(F.size("tokens")).alias("n")).collect()
     assert sum(r.n for r in sizes) == 4000 and max(r.n for r in sizes) < 3000
+
+
+@pytest.mark.parametrize("kind", ["gibbs", "variational"])
+def test_models_do_not_depend_on_buckets_and_leave_no_tokens(spark, corpus, monkeypatch, kind):
+    tokens = corpus.tokens()
+    vocabulary = C.build_vocabulary(tokens)
+    made, real = [], T.scratch_path
+    monkeypatch.setattr(T, "scratch_path", lambda session, name: made.append(real(session, name)) or made[-1])
+    found = []
+    for size in (T.BUCKET_BYTES, 64):
+        monkeypatch.setattr(T, "BUCKET_BYTES", size)
+        model = T.train_tables(tokens, vocabulary, 3, kind, iterations=3, seed=2, tokens_per_part=1000)
+        found.append({r.term: dict(zip(r.topics, r["values"], strict=True)) for r in model.weights.collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 15
+    for term, values in found[0].items():
+        # What goes to the parts has 24 bits; sums of topics are the same but for their order.
+        assert values.keys() == found[1][term].keys() and np.allclose(list(values.values()), list(found[1][term].values()), rtol=1e-4)
+    assert any("dealt" in path for path in made) and not any(path_exists(spark, path) for path in made)
+
+
+def test_parts_are_large_where_there_are_many():
+    sizes = [T._parts(tokens, None, 10) for tokens in (0, 1 << 20, 1 << 22, 1 << 25, 1 << 30)]
+    assert sizes == [1, 1, 4, 16, 256] and T._parts(1 << 30, None, 1000) == 1024
