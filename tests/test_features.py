@@ -1,10 +1,12 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions.sizing import is_small
+from newsloom.functions.staging import free_shuffles, path_exists, stage
 from newsloom.operators import features as C
 from newsloom.operators import search_index as D
 from newsloom.operators import topic_model as E
@@ -341,3 +343,41 @@ def test_empty_index(spark, tmp_path):
     index.compact()
     index.index(documents_table(spark).limit(0))
     assert all_of(SearchIndex(spark, path=str(tmp_path / "index"))) == ({}, [])
+
+
+def test_phrases_are_learned_in_passes(spark, monkeypatch):
+    """Pairs of all passes count as one, and only phrases stay stored."""
+    made, real = [], C.stage
+    rows = [(i, ["new", "york", "a" * (i % 3 + 1), "old", "town", None, "b" * (i % 7 + 1)]) for i in range(60)] + [(61, []), (62, None), (63, ["old"])]
+    tokens = spark.createDataFrame(rows, "id long, tokens array<string>")
+    whole = sorted(map(tuple, C.learn_phrases(tokens, 5, 0.2).collect()))
+    monkeypatch.setattr(C, "PASS_TOKENS", 50)
+    monkeypatch.setattr(C, "stage", lambda df, name: made.append((name, real(df, name))) or made[-1][1])
+    found = C.learn_phrases(tokens, 5, 0.2)
+    assert whole == sorted(map(tuple, found.collect())) and {("new", "york"), ("old", "town")} <= {row[:2] for row in whole}
+    assert [name for name, _ in made].count("pair_counts") == C.PAIR_PASSES
+    stored = {name for name, table in made if any(path_exists(spark, path) for path in _folders(table))}
+    assert stored == {"phrases"}
+
+
+def _folders(table):
+    return {path.rsplit("/", 1)[0] for path in table.inputFiles()}
+
+
+def test_shuffle_files_are_deleted(spark):
+    """Also those of the last query, while other tables may keep theirs."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for k in range(blocks.getAllBlocks().size()) if (name := blocks.getAllBlocks().apply(k).name()).startswith("shuffle_")}
+
+    free_shuffles(spark)
+    before = shuffles()
+    stage(spark.range(1000).select((F.col("id") % 7).alias("k")).groupBy("k").count(), "counts")
+    assert shuffles() - before
+    free_shuffles(spark)
+    for _ in range(50):
+        if not shuffles() - before:
+            return
+        time.sleep(0.1)
+    raise AssertionError("shuffle files are left")
